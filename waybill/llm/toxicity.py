@@ -31,7 +31,7 @@ SIZES = (2, 3, 4)
 class ToxicityParams:
     """The bounds of training: rows a label, and characters of a training row (longer rows are passed over)."""
 
-    rows_per_label: int = 1500
+    rows_per_label: int = 1000
     max_train_chars: int = 8_000
     window: int = 16
     stride: int = 12
