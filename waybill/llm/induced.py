@@ -119,14 +119,18 @@ class DiskQueue:
 
 
 def types(text: np.ndarray) -> np.ndarray:
-    """True where a suffix is of type S; the last symbol is a unique smallest sentinel."""
+    """True where a suffix is of type S; the last symbol is a unique smallest sentinel.  Worked out in chunks from the end."""
     n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    step[-1] = 1
-    at = np.where(step != 0, np.arange(n), n)
-    following = np.minimum.accumulate(at[::-1])[::-1]
-    return step[following] > 0
+    is_s, following = np.empty(n, bool), True
+    is_s[-1] = True
+    for end in range(n - 1, 0, -CHUNK):
+        a = max(0, end - CHUNK)
+        step = np.sign(text[a + 1 : end + 1].astype(np.int64) - text[a:end])
+        at = np.where(step != 0, np.arange(end - a), end - a)
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        is_s[a:end] = np.append(step > 0, following)[at]
+        following = is_s[a]
+    return is_s
 
 
 def run_length(text: np.ndarray, i: int) -> int:
@@ -190,19 +194,30 @@ def _named(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray) -> tuple[np.nd
     A substring runs on to the first symbol that differs from the next star's, without that symbol's
     type: so any two different substrings differ in a symbol, and not in a type alone.
     """
-    wide = text.dtype.itemsize > 2
-    code = (text.astype(np.int64) * 2 + is_s).astype(">u8" if wide else ">u4")
-    size, raw, plain = code.dtype.itemsize, code.tobytes(), (code & ~np.array(1, code.dtype)).tobytes()
+    kind = ">u8" if text.dtype.itemsize > 2 else ">u4"
+    size = np.dtype(kind).itemsize
     changes = np.append(np.flatnonzero(text[1:] != text[:-1]) + 1, len(text))
     ends = np.minimum(changes[np.searchsorted(changes, np.append(stars[1:], stars[-1]), side="right")], len(text) - 1)
-    pieces = [raw[size * a : size * b] + plain[size * b : size * b + size] for a, b in zip(stars.tolist(), ends.tolist(), strict=True)]
-    known = sorted(set(pieces))
+    del changes
+
+    def pieces() -> Iterator[list[bytes]]:
+        for i in range(0, len(stars), CHUNK):
+            first, last = stars[i : i + CHUNK], ends[i : i + CHUNK]
+            low, high = int(first[0]), int(last.max()) + 1
+            code = text[low:high].astype(np.int64) * 2
+            plain, raw = code.astype(kind).tobytes(), (code + is_s[low:high]).astype(kind).tobytes()
+            yield [raw[a:b] + plain[b : b + size] for a, b in zip(((first - low) * size).tolist(), ((last - low) * size).tolist(), strict=True)]
+
+    distinct: set[bytes] = set()
+    for part in pieces():
+        distinct.update(part)
+    known = sorted(distinct)
     number = {piece: i for i, piece in enumerate(known)}
-    names = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+    names = np.concatenate([np.fromiter(map(number.__getitem__, part), np.int64, len(part)) for part in pieces()])
     common = np.zeros(len(known), np.int64)
     before: list[int] = []
     for i, piece in enumerate(known):
-        symbols = (np.frombuffer(piece, code.dtype) >> 1).tolist()
+        symbols = (np.frombuffer(piece, kind) >> 1).tolist()
         k = 0
         for x, y in zip(before, symbols, strict=False):
             if x != y:

@@ -6,6 +6,8 @@ anchor form a region, and only regions of one anchor can hold each other's strin
 
 1. Each text is cut into regions; rows (anchor, digest of the region's bytes, place) are counted.
    An anchor that stands once in the whole table is done with: nothing in its region repeats.
+   Of the others, a region stays in the search only if another one shares the bytes for half a
+   string before or after the anchor, as two regions with an equal string must.
 2. Equal regions fold into one with its count; all of a region met twice is repeated.
 3. The distinct regions of the remaining anchors are laid end to end in shards, and the suffixes of
    a shard are sorted by external induced sorting; a start is repeated where its common prefix with
@@ -40,11 +42,14 @@ from waybill.llm.words import MIX, mix
 
 @dataclass(frozen=True)
 class SuffixParams:
-    """``memory``: bytes that a shard's queues hold before they go to disk.  ``crowd``: distinct regions of an
+    """``shard``: bytes of regions that one shard takes, while ``shards`` of them are enough.
+    ``memory``: bytes that a shard's queues hold before they go to disk.  ``crowd``: distinct regions of an
     anchor that one shard takes; beyond it the anchor is dealt over several."""
 
     length: int = 400
     gram: int = 24
+    shard: int = 1 << 21
+    shards: int = 20_000
     memory: int = 1 << 26
     crowd: int = 2_000
 
@@ -103,30 +108,59 @@ def gram_hashes(data: np.ndarray, p: SuffixParams) -> np.ndarray:
         return mix(parts * MIX)
 
 
-def cut_regions(texts: list[bytes], p: SuffixParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Regions of many texts: text number, anchor, first and last start in the texts laid end to end, whether the
-    anchor stands in the region more than once, and those bytes."""
+#: An odd base of the rolling hash of byte ranges, and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for many ranges, from one running sum."""
+    powers = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(data) - 1, base, np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers(BASE), dtype=np.uint64)])
+    return mix((sums[end] - sums[start]) * powers(INVERSE)[start])
+
+
+@dataclass
+class Regions:
+    """Regions of texts laid end to end: text number, anchor, first and last start, whether the anchor stands in the
+    region more than once, and hashes of the bytes before and after it (None where the text ends sooner)."""
+
+    joined: bytes
+    owner: np.ndarray
+    anchor: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    inner: np.ndarray
+    before: pa.Array
+    after: pa.Array
+
+
+def cut_regions(texts: list[bytes], p: SuffixParams) -> Regions:
     joined = b"".join(texts)
     data = np.frombuffer(joined, np.uint8)
-    if len(data) < p.length:
-        none = np.empty(0, np.int64)
-        return none, none, none, none, none.astype(bool), joined
-    found = Anchors(gram_hashes(data, p), p.length - p.gram + 1)
-    anchor = found.least
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
-    valid = np.arange(len(anchor)) + p.length <= ends[owner]
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]
-    at = np.flatnonzero(valid)
+    at = np.empty(0, np.int64)
+    if len(data) >= p.length:
+        found = Anchors(gram_hashes(data, p), p.length - p.gram + 1)
+        anchor = found.least
+        owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
+        at = np.flatnonzero(np.arange(len(anchor)) + p.length <= ends[owner])
     if not len(at):
         none = np.empty(0, np.int64)
-        return none, none, none, none, none.astype(bool), joined
+        return Regions(joined, none, none, none, none, none.astype(bool), pa.array(none), pa.array(none))
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]
     fresh = new[at] | np.r_[True, np.diff(at) != 1]
     first = at[fresh]
     last = np.append(at[np.flatnonzero(fresh)[1:] - 1], at[-1])
-    inner = found.first_place(first) != found.last_place(last)
-    return owner[first], anchor[first].view(np.int64), first, last, inner, joined
+    place, owner = found.first_place(first), owner[first]
+    # a string reaches half its length before the anchor, or half its length and a gram from it on
+    half = (p.length - p.gram) // 2
+    left, right = place - half, place + p.length - half
+    has_left, has_right = left >= ends[owner] - sizes[owner], right <= ends[owner]
+    hashes = lambda a, b, has: pa.array(range_hashes(data.astype(np.uint64), np.where(has, a, 0), np.where(has, b, 0)).view(np.int64), mask=~has)
+    before, after = hashes(left, place + p.gram, has_left), hashes(place, right, has_right)
+    return Regions(joined, owner, anchor[first].view(np.int64), first, last, place != found.last_place(last), before, after)
 
 
 def row_key() -> list[Column]:
@@ -135,30 +169,32 @@ def row_key() -> list[Column]:
 
 
 def region_rows(docs: DataFrame, p: SuffixParams) -> DataFrame:
-    """(anchor, digest, doc_key, text_key, start, last, inner) for each region of each row."""
+    """(anchor, digest, doc_key, text_key, start, last, inner, before, after) for each region of each row."""
 
     def make():
         import xxhash
 
         def work(doc_key, text_key, text):
             raw = [(t or "").encode("utf-8") for t in text]
-            owner, anchor, first, last, inner, joined = cut_regions(raw, p)
-            base = np.concatenate([[0], np.cumsum([len(t) for t in raw])])[owner] if len(owner) else owner
-            view = memoryview(joined)
-            digest = [xxhash.xxh3_64_intdigest(view[a : b + p.length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            r = cut_regions(raw, p)
+            base = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)[r.owner]
+            view = memoryview(r.joined)
+            digest = [xxhash.xxh3_64_intdigest(view[a : b + p.length]) for a, b in zip(r.first.tolist(), r.last.tolist(), strict=True)]
             return {
-                "anchor": anchor,
+                "anchor": r.anchor,
                 "digest": np.array(digest, np.uint64).view(np.int64),
-                "doc_key": np.array(doc_key, np.int64)[owner],
-                "text_key": np.array(text_key, np.int64)[owner],
-                "start": (first - base).astype(np.int32),
-                "last": (last - base).astype(np.int32),
-                "inner": inner,
+                "doc_key": np.array(doc_key, np.int64)[r.owner],
+                "text_key": np.array(text_key, np.int64)[r.owner],
+                "start": (r.first - base).astype(np.int32),
+                "last": (r.last - base).astype(np.int32),
+                "inner": r.inner,
+                "before": r.before,
+                "after": r.after,
             }
 
         return work
 
-    return map_batches(docs.select(*row_key(), "text"), make, "anchor bigint, digest bigint, doc_key bigint, text_key bigint, start int, last int, inner boolean")
+    return map_batches(docs.select(*row_key(), "text"), make, "anchor bigint, digest bigint, doc_key bigint, text_key bigint, start int, last int, inner boolean, before bigint, after bigint")
 
 
 def fetch_regions(wanted: DataFrame, docs: DataFrame, p: SuffixParams) -> DataFrame:
@@ -233,14 +269,21 @@ def sort_shards(regions: DataFrame, p: SuffixParams) -> DataFrame:
 def repeated_spans(docs: DataFrame, p: SuffixParams = SuffixParams()) -> DataFrame:
     """(doc_key, text_key, spans): covered byte ranges of each row that has any, as flat arrays of start, end."""
     rows = region_rows(docs, p)
-    distinct = rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_key", "text_key", "start", "last")).alias("place"), F.bool_or("inner").alias("inner"))
+    place = F.struct("doc_key", "text_key", "start", "last", "before", "after")
+    distinct = rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.bool_or("inner").alias("inner"))
     anchors = distinct.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("regions"), F.bool_or("inner").alias("any_inner")).filter("total > 1 or any_inner")
     shared = cut(distinct.join(anchors, "anchor"))
+    several = shared.filter("regions > 1 or inner")
+    sides = several.filter("not any_inner").select("anchor", "digest", F.explode(F.array("place.before", "place.after")).alias("side")).filter("side is not null")
+    met = sides.groupBy("side").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("side")
+    open_ = sides.join(met, "side", "left_semi").select("anchor", "digest").distinct()
+    wanted = several.filter("not any_inner").join(open_, ["anchor", "digest"], "left_semi").unionByName(several.filter("any_inner"))
     # an anchor of more than ``crowd`` distinct regions is dealt over parts by digest; -1: not dealt
     parts = F.ceil(F.col("regions") / p.crowd).cast("int")
     part = F.when(F.col("regions") > p.crowd, F.pmod("digest", parts)).otherwise(-1).cast("int")
-    wanted = shared.filter("regions > 1 or inner").select("anchor", "digest", part.alias("part"), "place.*")
-    shards = fetch_regions(wanted, docs, p).repartition("anchor", "part")
+    wanted = cut(wanted.select("anchor", "digest", part.alias("part"), *(F.col(f"place.{c}") for c in ("doc_key", "text_key", "start", "last"))))
+    size = wanted.agg(F.sum(F.col("last").cast("long") - F.col("start") + p.length)).first()[0] or 0
+    shards = fetch_regions(wanted, docs, p).repartition(min(p.shards, -(-size // p.shard) or 1), "anchor", "part")
     found = cut(sort_shards(shards, p))
     own = found.filter(F.size("hits") > 0).select("anchor", "digest", "hits")
     strings = found.select("anchor", "digest", F.explode("strings").alias("s")).select("anchor", "digest", "s.*")
