@@ -145,10 +145,10 @@ def discover(mentions: DataFrame, p: PiiParams) -> DataFrame:
 
 
 def find_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
-    """row, doc_id, base, added: sorted arrays of (start, rank, stop) for every row of ``docs``."""
+    """row, doc_id, text_key, base, added: sorted arrays of (start, rank, stop) for every row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    rows = cut(rows.select("row", "doc_id", "base", instances(F.col("text"), F.col("base")).alias("words")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    rows = cut(rows.select("row", "doc_id", "text_key", "base", instances(F.col("text"), F.col("base")).alias("words")))
     mentions = rows.select("row", F.explode("words").alias("w")).select("row", "w.*")
     fresh = discover(mentions.select("core", "shape", "left", "right", "seed"), p)
     added = mentions.filter("seed is null").join(fresh, "core").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "stop"))).alias("added"))
@@ -170,21 +170,26 @@ def pii_report(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
 
 
 def redact(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
-    """``docs`` with every base span's text replaced by its kind in angle brackets; n_chars follows the text.
+    """``docs`` with the text of every span, base or added, replaced by its kind in angle brackets; n_chars follows the text.
 
     The text is cut at its spans; overlapping spans are one, named by the kind that starts first.
-    Added spans are reported by find_spans, and redacted where a second pass is given their words.
+    A null text stays null.
     """
-    text, spans = F.col("text"), base_spans(F.coalesce("text", F.lit("")))
+    text = F.col("text")
+    added = find_spans(docs, p).filter(F.size("added") > 0).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("added").alias("added_"))
+    keyed = docs.withColumn("text_key_", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key_") == F.col("key_"))
+    rows = keyed.join(added.dropDuplicates(["id_", "key_"]), same, "left").select(*docs.columns, "added_")
+    rows = rows.withColumn("base_", base_spans(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("spans_", F.sort_array(F.concat("base_", F.coalesce("added_", F.array().cast(SPANS))))).drop("base_", "added_")
     blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     name = lambda s: F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1), F.lit(">"))
     step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))).otherwise(
         F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), name(s))).alias("out"))
     )
-    done = F.aggregate(F.col("spans"), blank, step)
-    masked = docs.withColumn("spans", spans).withColumn("done", done)
-    new = F.when(F.size("spans") > 0, F.concat(F.array_join("done.out", ""), F.substring(text, F.col("done.at") + 1, F.length(text)))).otherwise(text)
-    masked = masked.withColumn("text", new).drop("spans", "done")
+    rows = rows.withColumn("done_", F.when(F.size("spans_") > 0, F.aggregate("spans_", blank, step)))
+    new = F.when(F.size("spans_") > 0, F.concat(F.array_join("done_.out", ""), F.substring(text, F.col("done_.at") + 1, F.length(text)))).otherwise(text)
+    rows = rows.withColumn("text", new)
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waybill.llm import byte_bpe, html_text, language, near_dup, secrets, suffix_dedup, toxicity
+from waybill.llm import byte_bpe, decontaminate, html_text, language, near_dup, order_minhash, pii, secrets, suffix_dedup, toxicity
 from waybill.llm.common import table
 
 #: Name of the rank file in the folder of public vocabularies.
@@ -21,10 +21,18 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -37,6 +45,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.detect_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op4_near_dup, op6_html_text, op7_secrets, op8_language, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_pii, op4_near_dup, op5_decontaminate, op6_html_text, op7_secrets, op8_language, op9_fingerprint, op10_byte_bpe)}
 
 
 #: Exact form of op4: all pairs that share a shingle, full sets, smallest reachable doc_id.

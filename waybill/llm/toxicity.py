@@ -18,10 +18,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import bounded_sample, held_out, map_batches
+from waybill.llm.common import BATCH_ROWS, bounded_sample, held_out, map_batches, share_code
 from waybill.llm.words import WordTable, mean_rows, subword_buckets
 
 SIZES = (2, 3, 4)
@@ -337,3 +338,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxi
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return map_batches(rows, make, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under one half.  Rows pass through in place: no join, no shuffle."""
+    net = train_toxicity([tuple(r) for r in training_rows(docs, labels, p).collect()], p)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    share_code(docs.sparkSession)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                scores = scorer.scores(part.column("text").to_pylist())
+                yield part.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
