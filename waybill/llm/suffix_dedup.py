@@ -269,11 +269,12 @@ def sort_shards(regions: DataFrame, p: SuffixParams) -> DataFrame:
 def repeated_spans(docs: DataFrame, p: SuffixParams = SuffixParams()) -> DataFrame:
     """(doc_key, text_key, spans): covered byte ranges of each row that has any, as flat arrays of start, end."""
     rows = region_rows(docs, p)
+    anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), F.bool_or("inner").alias("any_inner")).filter("total > 1 or any_inner")
+    places = cut(rows.join(anchors.drop("total"), "anchor"))
     place = F.struct("doc_key", "text_key", "start", "last", "before", "after")
-    distinct = rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.bool_or("inner").alias("inner"))
-    anchors = distinct.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("regions"), F.bool_or("inner").alias("any_inner")).filter("total > 1 or any_inner")
-    shared = cut(distinct.join(anchors, "anchor"))
-    several = shared.filter("regions > 1 or inner")
+    distinct = places.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.bool_or("inner").alias("inner"), F.first("any_inner").alias("any_inner"))
+    shared = cut(distinct)
+    several = shared.join(shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("regions")), "anchor").filter("regions > 1 or inner")
     sides = several.filter("not any_inner").select("anchor", "digest", F.explode(F.array("place.before", "place.after")).alias("side")).filter("side is not null")
     met = sides.groupBy("side").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("side")
     open_ = sides.join(met, "side", "left_semi").select("anchor", "digest").distinct()
@@ -292,7 +293,7 @@ def repeated_spans(docs: DataFrame, p: SuffixParams = SuffixParams()) -> DataFra
     across = across.groupBy("anchor", "digest").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("hits"))
     twice = shared.filter("n > 1").select("anchor", "digest", F.array(F.lit(0), F.lit((1 << 31) - 1)).alias("hits"))
     repeated = own.unionByName(across).unionByName(twice)
-    placed = rows.join(repeated, ["anchor", "digest"])
+    placed = places.join(repeated, ["anchor", "digest"])
     ends = lambda x, i: F.when(i % 2 == 0, F.col("start") + x).otherwise(F.least(F.col("start").cast("long") + x, F.col("last").cast("long") + 1).cast("int") + (p.length - 1))
     spans = placed.select("doc_key", "text_key", F.transform("hits", ends).alias("s"))
     return spans.groupBy("doc_key", "text_key").agg(F.flatten(F.collect_list("s")).alias("spans"))
