@@ -50,6 +50,8 @@ class NearDupParams:
     rows: int = 2
     agree: float = 0.73
     seed: int = 97
+    #: Most ids of candidates that are sent to every task to pick out their texts; beyond it texts and ids meet by shuffle.
+    broadcast: int = 500_000
 
 
 class Shingler:
@@ -164,6 +166,8 @@ def _agree(p: NearDupParams, a: str, b: str):
 def verified(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full sets reach the similarity."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    if 2 * pairs.count() <= p.broadcast:  # the pairs are a written table, so this counts rows only
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
 
     def make():
