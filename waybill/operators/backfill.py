@@ -1,0 +1,51 @@
+"""Deterministic backfill of a fleet, made on the executors."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waybill.functions.columns import plus_seconds
+
+SIGNALS = ["soc", "range_km", "speed", "battery_temp", "odometer", "ignition"]
+
+
+def indexes(spark: SparkSession, vehicles: int) -> DataFrame:
+    return spark.range(vehicles).select(F.col("id").alias("i"))
+
+
+def roster(index: DataFrame) -> DataFrame:
+    i = F.col("i").cast("string")
+    return index.select(F.concat(F.lit("bf-"), i).alias("vehicle_id"), F.concat(F.lit("KA99BF"), F.lpad(i, 4, "0")).alias("reg_no"), F.lit("eT 1000").alias("model"))
+
+
+def _ticks(index: DataFrame, ticks: int) -> DataFrame:
+    return index.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(ticks - 1)))).withColumn("vehicle_id", F.concat(F.lit("bf-"), F.col("i").cast("string")))
+
+
+def readings(index: DataFrame, now: Column, ticks: int = 700, step: int = 10) -> DataFrame:
+    """Vehicles x signals x ticks, newest tick first; the odometer grows with time."""
+    rows = _ticks(index, ticks).withColumn("signal", F.explode(F.array(*map(F.lit, SIGNALS))))
+    i, t, s = F.col("i"), F.col("t"), F.col("signal")
+    wave = lambda low, high, x, period: F.round(low + high * F.abs(F.sin(x / F.lit(float(period)))), 1)
+    value = (
+        F.when(s == "odometer", F.round(80000 + i * 137 + (ticks - t) * 1.7, 1))
+        .when(s == "ignition", F.when((i + t) % 11 == 0, 0.0).otherwise(1.0))
+        .when(s == "soc", wave(12, 76, i * 7 + t, 53))
+        .when(s == "range_km", wave(35, 380, i * 7 + t, 53))
+        .when(s == "speed", wave(0, 78, i * 3 + t, 17))
+        .otherwise(wave(21, 27, i + t, 29))
+    )
+    return rows.select("vehicle_id", "signal", plus_seconds(now, -t * step).alias("event_ts"), value.alias("value"))
+
+
+def fixes(index: DataFrame, now: Column, ticks: int = 700, step: int = 10) -> DataFrame:
+    i, t = F.col("i"), F.col("t")
+    lat, lon = 12.96 + 0.055 * F.sin((i * 11 + t) / F.lit(41.0)), 77.6 + 0.055 * F.cos((i * 13 + t) / F.lit(37.0))
+    return _ticks(index, ticks).select("vehicle_id", plus_seconds(now, -t * step).alias("event_ts"), lat.alias("lat"), lon.alias("lon"), F.lit(8.0).alias("accuracy_m"))
+
+
+def percentiles(samples: DataFrame, column: str) -> DataFrame:
+    """Nearest-rank percentiles."""
+    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
+    return samples.agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.min(column).alias("low"), F.max(column).alias("high"))
