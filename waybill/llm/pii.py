@@ -108,7 +108,9 @@ def instances(text: Column, base: Column) -> Column:
     core = lambda m: F.regexp_extract(m, r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)
     placed = F.transform(words, lambda x: F.struct(core(x["m"]).alias("core"), (x["start"] + F.length(F.regexp_extract(x["m"], r"^[^\p{L}\p{N}]*", 0))).alias("start"), x["before"].alias("before"), x["after"].alias("after")))
     clean = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}=:#]", ""))
-    shape = lambda c: F.regexp_replace(F.regexp_replace(c, "[0-9]", "9"), r"\p{L}+", "a")
+    # digits as 9 one by one, but a stretch of up to three as one sign, letters as one
+    short = lambda c: F.regexp_replace(c, "(?<![0-9])[0-9]{1,3}(?![0-9])", "#")
+    shape = lambda c: F.regexp_replace(F.regexp_replace(short(c), "[0-9]", "9"), r"\p{L}+", "a")
     full = F.transform(
         placed,
         lambda x: F.struct(
