@@ -37,3 +37,12 @@ def test_query(spark, con, name):
     assert sorted(df.columns) == sorted(columns)
     assert got == rows(columns, cursor.fetchall())
     assert got
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

@@ -201,13 +201,13 @@ def _rolled(df: DataFrame) -> DataFrame:
     return df.withColumn("avg_value", F.round("avg_value", 6))
 
 
-ONE = F.col("vehicle_id") == "v7"
+ONE = "vehicle_id = 'v7'"
 
 QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "s4_new_roster_rows": lambda f: I.new_roster_rows(f.roster.unionByName(f.roster.withColumn("model", F.lit("eT 2000"))), f.roster.filter("length(vehicle_id) = 2")),
     "s5_config_in_use": lambda f: f.spec.join(f.sig.groupBy("signal").agg(F.count(F.lit(1)).alias("readings")), "signal", "left").select("signal", "label", "unit", "max_age_sec", F.coalesce("readings", F.lit(0)).alias("readings")),
     "s7_readings_by_alert_type": lambda f: f.sig.join(F.broadcast(f.kinds), "signal").groupBy("alert_type").agg(F.count(F.lit(1)).alias("readings")),
-    "s8_one_signal_scan": lambda f: f.sig.filter(ONE & (F.col("signal") == "soc") & (F.col("event_ts") >= f.mid)).select("event_ts", "value"),
+    "s8_one_signal_scan": lambda f: f.sig.filter(ONE).filter((F.col("signal") == "soc") & (F.col("event_ts") >= f.mid)).select("event_ts", "value"),
     "s11_totals": lambda f: _all(_n(f.roster, "vehicles"), _n(f.sig, "signal_rows"), _n(f.fix, "fix_rows"), f.sig.agg(F.max("event_ts").alias("newest_ts"))),
     "i1_orphans": lambda f: _all(_n(f.batch, "total"), _n(f.clean, "kept")).withColumn("orphans", F.col("total") - F.col("kept")),
     "i2_dedupe": lambda f: I.dedupe(f.clean),
