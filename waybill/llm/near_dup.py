@@ -32,6 +32,8 @@ from waybill.llm.graph import components
 from waybill.llm.words import MIX, mix
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: The low bits of a key are the number of its table: tables^2 numbers at most.
+TABLE_MASK = 127
 #: Word hashes that a task remembers.
 CACHE_WORDS = 300_000
 
@@ -53,6 +55,10 @@ class NearDupParams:
     #: Most ids of candidates that are sent to every task to pick out their texts; beyond it texts and ids meet by shuffle.
     broadcast: int = 500_000
 
+    def __post_init__(self) -> None:
+        if self.tables**2 > TABLE_MASK + 1:
+            raise ValueError("at most 11 tables: a key holds its table's number in seven bits")
+
 
 class Shingler:
     """Whole texts to sorted arrays of distinct 64-bit shingle hashes."""
@@ -138,13 +144,33 @@ def signatures(docs: DataFrame, p: NearDupParams) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, set_key binary, sketch array<int>, outline array<bigint>")
 
 
+def _band(p: NearDupParams, collection: int, i: int):
+    return F.slice("sketch", F.lit(1 + (collection * p.tables + i) * p.rows), F.lit(p.rows))
+
+
 def table_keys(nodes: DataFrame, p: NearDupParams) -> DataFrame:
     """(key, node, n): tables^2 keys a node, each from one band of either collection."""
-    band = lambda c, i: F.slice("sketch", F.lit(1 + (c * p.tables + i) * p.rows), F.lit(p.rows))
-    keys = F.array(*(F.xxhash64(F.lit(i * p.tables + j), band(0, i), band(1, j)) for i in range(p.tables) for j in range(p.tables)))
+    joined = lambda i, j: F.xxhash64(_band(p, 0, i), _band(p, 1, j)).bitwiseAND(F.lit(~TABLE_MASK)).bitwiseOR(F.lit(i * p.tables + j))
+    keys = F.array(*(joined(i, j) for i in range(p.tables) for j in range(p.tables)))
     return nodes.select(F.explode(keys).alias("key"), "node", "n")
 
 
+def _first_shared(p: NearDupParams, key: str, a: str, b: str):
+    """Whether the key is the first that two nodes share.
+
+    Their shared keys are all pairs of a shared band of either collection, so the first is the pair
+    of the first ones; each pair of nodes thus leaves the join once.
+    """
+    number = F.col(key).bitwiseAND(F.lit(TABLE_MASK)).cast("int")
+    places = (F.floor(number / p.tables).cast("int"), number % p.tables)
+    sooner = F.lit(False)
+    for c, place in enumerate(places):
+        for k in range(p.tables - 1):
+            at = F.lit(c * p.tables + k)
+            sooner = sooner | ((F.lit(k) < place) & (F.get(F.col(a), at) == F.get(F.col(b), at)))
+    return ~sooner
+
+
 def _may_link(p: NearDupParams, a: str, b: str):
     """Sizes within the wanted ratio: sets of n <= m can reach the similarity only if 100 n >= percent m."""
     return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * p.percent
@@ -201,10 +227,11 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     counts = placed.groupBy("key", "component").count()
     main = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     split = cut(placed.join(main, "key").drop("parts"))
-    members = split.join(outlines("node", "outline"), "node")
-    rest = members.filter("component <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "outline")))
+    bands = F.array(*(F.hash(_band(p, c, i)) for c in range(2) for i in range(p.tables)))
+    members = split.join(nodes.select("node", "outline", bands.alias("bands")), "node")
+    rest = members.filter("component <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "outline", "bands")))
     crossing = rest.join(members, "key").filter("component <> component_a and (component = main or node > node_a)")
-    crossing = crossing.filter(_may_link(p, "n", "n_a")).filter(_agree(p, "outline", "outline_a"))
+    crossing = crossing.filter(_may_link(p, "n", "n_a")).filter(_agree(p, "outline", "outline_a")).filter(_first_shared(p, "key", "bands", "bands_a"))
     pairs = crossing.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
     final = components(links.unionByName(verified(pairs, docs, p)))
