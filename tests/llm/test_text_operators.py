@@ -131,6 +131,15 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.drop_contaminated(docs, bench).count() == len(documents())
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 8, 9 and 10 tokens, and shared passages of them, are met at every offset."""
+    bench = spark.createDataFrame([(n, " ".join(f"q{chr(97 + n)}{w}" for w in WORDS[:n])) for n in (8, 9, 10)], "item_id bigint, text string")
+    rows = [(100 * r.item_id + k, prose(20 + k) + " " + r.text + " " + prose(20)) for r in bench.collect() for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.matched_windows) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(100 * n + k, n, n - 7) for n in (8, 9, 10) for k in range(4)}
+
+
 def test_html():
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a href=x>menu</a></nav><header>Site</header><article><h1>Head &amp; line</h1><p>One <b>bold</b>\n text<br>more<p>Two &eacute;<form>send</form><section class='comments'><p>first!</section></article><aside>side</aside><footer>&copy; x</footer>"
     assert html_text.main_text(page) == "Head & line\n\nOne bold text more\n\nTwo é"

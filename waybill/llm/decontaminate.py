@@ -1,10 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, units after numbers and names inside a sentence become typed placeholders; the rest is
-lower-cased words without punctuation.  Windows of ``window`` template tokens are hashed.  A
-benchmark item gives all its windows, a document every ``stride``-th one: any shared passage of
-window + stride - 1 tokens holds one of those, wherever it starts.  Documents that share a window
-with an item are candidates; for them all windows are compared, and the values in the slots of the
+lower-cased words without punctuation.  Windows of ``window`` template tokens are hashed, all those
+of an item and all those of a document, so a shared passage of ``window`` tokens is met wherever it
+starts.  Documents that share a window with an item are candidates; the values in the slots of the
 aligned passage must map one to one (the same value to the same value), so a re-parameterised
 question counts and a chance likeness of templates does not.
 
@@ -23,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waybill.llm.common import cut
+
 # Unit words that a number may carry.
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl dl l gal s sec secs min mins h hr hrs ms ns hz khz mhz ghz w kw mw v kv a ma j kj cal kcal "
@@ -42,7 +43,6 @@ class TemplateParams:
     """
 
     window: int = 8
-    stride: int = 4
     plain: int = 4
     share: float = 0.5
     agree: float = 0.8
@@ -78,12 +78,12 @@ def with_canonical(rows: DataFrame) -> DataFrame:
     return rows.withColumn("template", words_of(F.col("lowered"))).drop("lowered", "spaced")
 
 
-def windows(hashes: Column, size: int, stride: int) -> Column:
-    """Hashes of the windows that start at 0, stride, 2 stride, ...
+def windows(hashes: Column, size: int) -> Column:
+    """Hashes of the windows that start at 0, 1, 2, ...
 
     ``hashes`` must be a column and no expression: it is read at each start.
     """
-    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(1), F.size(hashes) - size + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(1), F.size(hashes) - size + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, size)))
 
 
@@ -93,7 +93,7 @@ def item_table(benchmark: DataFrame, p: TemplateParams) -> DataFrame:
     items = items.filter(F.size("template") >= p.window).groupBy("template").agg(F.min(F.struct("item_id", "words")).alias("i")).select("i.*", "template")
     items = items.withColumn("hashes", F.transform("template", lambda w: F.xxhash64(w)))
     plain = lambda i: F.size(F.array_distinct(F.filter(F.slice("template", i + 1, p.window), lambda w: ~w.rlike(r"^[\ue000-\ue002]"))))
-    places = F.transform(windows(F.col("hashes"), p.window, 1), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), plain(i).alias("plain")))
+    places = F.transform(windows(F.col("hashes"), p.window), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), plain(i).alias("plain")))
     return items.withColumn("places", F.filter(places, lambda x: x["plain"] >= p.plain)).filter(F.size("places") > 0)
 
 
@@ -105,13 +105,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Temp
         seeds = F.broadcast(seeds)
     named = docs.filter("doc_id is not null").select("doc_id", "text")
     tokens = with_canonical(with_spaced(named)).select("doc_id", F.transform("template", lambda w: F.xxhash64(w)).alias("w"))
-    starts = tokens.select("doc_id", F.posexplode(windows(F.col("w"), p.window, p.stride)).alias("k", "h"))
-    hits = starts.join(seeds, "h").groupBy("doc_id", "item_id", (F.col("k") * p.stride - F.col("item_pos")).alias("shift")).count()
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.max_by("shift", F.struct("count", -F.col("shift"))).alias("shift"))
+    starts = tokens.select("doc_id", F.posexplode(windows(F.col("w"), p.window)).alias("k", "h"))
+    hits = starts.join(seeds, "h").groupBy("doc_id", "item_id", (F.col("k") - F.col("item_pos")).alias("shift")).count()
+    # few rows, read twice: written once, or the documents would be scanned again
+    pairs = cut(hits.groupBy("doc_id", "item_id").agg(F.max_by("shift", F.struct("count", -F.col("shift"))).alias("shift")))
 
     texts = with_spaced(named.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", words_of(F.col("spaced")).alias("words"))
     texts = texts.withColumn("hashes", F.transform(canonical(F.col("words")), lambda w: F.xxhash64(w)))
-    texts = texts.withColumn("seen", windows(F.col("hashes"), p.window, 1)).drop("hashes")
+    texts = texts.withColumn("seen", windows(F.col("hashes"), p.window)).drop("hashes")
     both = pairs.join(texts, "doc_id").join(items.select("item_id", F.col("words").alias("own"), "places"), "item_id")
     wanted = F.array_distinct(F.transform("places", lambda x: x["h"]))
     both = both.withColumn("item_windows", F.size(wanted)).withColumn("matched_windows", F.size(F.array_intersect(wanted, F.col("seen"))))
