@@ -140,6 +140,26 @@ def test_decontamination_of_short_items(spark):
     assert got == {(100 * n + k, n, n - 7) for n in (8, 9, 10) for k in range(4)}
 
 
+def test_decontamination_of_slot_heavy_items(spark):
+    """Items of numbers or names are found as exact copies, whatever stands before them, and not with other values."""
+    items = [(1, "Add 12 and 7 and 31 and 5 and 88 and 4 and 90"), (2, "12 7 31 5 88 4 90 6 45 1"), (3, "Anna Bela Carla Dora Emma Fiona Greta Hanna Ines"), (4, "12 7 31 5 88 4 90 6 45 2")]
+    rows = [(10 * i + k, prose(20 + k) + before + t + " " + prose(9)) for i, t in items for k, before in enumerate([". ", " ", ", "])]
+    rows += [(100, prose(20) + " 3 8 32 15 81 14 91 16 46 11 " + prose(9))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(10 * i + k, {4: 2}.get(i, i)) for i, _ in items for k in range(3)} | {(10 * i + k, 2) for i in (2, 4) for k in range(3)}
+
+
+def test_decontamination_tries_every_place(spark):
+    """A true copy behind a passage of the same template whose slots do not fit."""
+    item = "A train leaves the old station with 120 people and 35 bags of mail and 47 boxes of fruit and then waits 61 hours at the gate"
+    wrong = re.sub("[0-9]+", "5", item)
+    docs = spark.createDataFrame([(1, wrong + ". " + prose(12) + ". " + item), (2, item + ". " + prose(12) + ". " + wrong), (3, wrong)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = {(r.doc_id, r.verbatim_slots) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, True), (2, True)}
+
+
 def test_html():
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a href=x>menu</a></nav><header>Site</header><article><h1>Head &amp; line</h1><p>One <b>bold</b>\n text<br>more<p>Two &eacute;<form>send</form><section class='comments'><p>first!</section></article><aside>side</aside><footer>&copy; x</footer>"
     assert html_text.main_text(page) == "Head & line\n\nOne bold text more\n\nTwo é"

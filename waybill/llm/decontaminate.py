@@ -5,7 +5,11 @@ lower-cased words without punctuation.  Windows of ``window`` template tokens ar
 of an item and all those of a document, so a shared passage of ``window`` tokens is met wherever it
 starts.  Documents that share a window with an item are candidates; the values in the slots of the
 aligned passage must map one to one (the same value to the same value), so a re-parameterised
-question counts and a chance likeness of templates does not.
+question counts and a chance likeness of templates does not.  Every place of a document where the
+passage may lie is tried; one that passes is enough.
+
+A window of few plain words says little as a template, so it is looked for by its words, values
+included: exact copies of items full of numbers or names are found, other values in them are not.
 
 The items are broadcast only if a count shows few windows; else the windows are joined by shuffle.
 
@@ -38,7 +42,7 @@ NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 class TemplateParams:
     """A pair is reported at ``share`` of the item's distinct windows, and ``agree`` of its slot pairs one to one.
 
-    ``plain``: distinct words outside slots that a window of an item needs.  ``broadcast``: most item
+    ``plain``: distinct words outside slots that a window of an item needs to be met by its template.  ``broadcast``: most item
     windows (about 24 bytes each) that are sent to every task.
     """
 
@@ -71,11 +75,14 @@ def canonical(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike(r"^[\ue000-\ue002]"), F.substring(w, 1, 1)).otherwise(F.lower(w)))
 
 
-def with_canonical(rows: DataFrame) -> DataFrame:
-    """``spaced`` becomes ``template``: the same as canonical() of its words, by a pass over the text in place of its words."""
-    slots = F.regexp_replace("spaced", r"([\ue000-\ue002])\S+", "$1")
-    rows = rows.withColumn("lowered", F.lower(F.when(F.col("spaced").rlike(r"[\ue000-\ue002]"), slots).otherwise(F.col("spaced"))))
-    return rows.withColumn("template", words_of(F.col("lowered"))).drop("lowered", "spaced")
+def without_marks(words: Column) -> Column:
+    return F.lower(F.translate(words, NUMBER + NAME + UNIT, ""))
+
+
+def with_hashes(rows: DataFrame) -> DataFrame:
+    """``spaced`` becomes ``t``, the hashes of canonical() of its words, and ``v``, those of its words in lower case with no marks."""
+    rows = rows.withColumn("lowered", F.lower(F.regexp_replace("spaced", r"([\ue000-\ue002])\S+", "$1"))).withColumn("plain", without_marks(F.col("spaced"))).drop("spaced")
+    return rows.withColumn("t", F.transform(words_of(F.col("lowered")), lambda w: F.xxhash64(w))).withColumn("v", F.transform(words_of(F.col("plain")), lambda w: F.xxhash64(w))).drop("lowered", "plain")
 
 
 def windows(hashes: Column, size: int) -> Column:
@@ -88,42 +95,71 @@ def windows(hashes: Column, size: int) -> Column:
 
 
 def item_table(benchmark: DataFrame, p: TemplateParams) -> DataFrame:
-    """item_id, words (marked), template, places (array of (pos, hash)) for each distinct template that has a window."""
-    items = with_spaced(benchmark.select("item_id", "text")).select("item_id", words_of(F.col("spaced")).alias("words")).withColumn("template", canonical(F.col("words")))
-    items = items.filter(F.size("template") >= p.window).groupBy("template").agg(F.min(F.struct("item_id", "words")).alias("i")).select("i.*", "template")
-    items = items.withColumn("hashes", F.transform("template", lambda w: F.xxhash64(w)))
-    plain = lambda i: F.size(F.array_distinct(F.filter(F.slice("template", i + 1, p.window), lambda w: ~w.rlike(r"^[\ue000-\ue002]"))))
-    places = F.transform(windows(F.col("hashes"), p.window), lambda h, i: F.struct(i.alias("pos"), h.alias("h"), plain(i).alias("plain")))
-    return items.withColumn("places", F.filter(places, lambda x: x["plain"] >= p.plain)).filter(F.size("places") > 0)
+    """item_id, own_id, words (marked), places (array of (pos, key, plain, seeds)) for each distinct text that has a window.
+
+    ``item_id`` is the smallest of those with the same template, ``own_id`` the smallest of those with the same words too.
+    ``key`` tells an item's windows apart.  A window is looked for by its ``seeds``: the template if it is ``plain`` enough,
+    else the words; the words too for the first window, as a name is not marked where a text starts.  Items of a template
+    other than the smallest are looked for by words alone.
+    """
+    items = with_spaced(benchmark.select("item_id", "text")).select("item_id", words_of(F.col("spaced")).alias("words"))
+    items = items.filter(F.size("words") >= p.window).withColumn("template", canonical(F.col("words"))).withColumn("values", F.transform("words", without_marks))
+    items = items.groupBy("template", "values").agg(F.min(F.struct("item_id", "words")).alias("i")).select("i.*", "template", "values")
+    first = items.groupBy("template").agg(F.min("item_id").alias("first_id"))
+    items = items.join(first, "template").select(F.col("first_id").alias("item_id"), F.col("item_id").alias("own_id"), "words", "template", "values")
+    items = items.withColumn("t", F.transform("template", lambda w: F.xxhash64(w))).withColumn("v", F.transform("values", lambda w: F.xxhash64(w)))
+    items = items.withColumn("t", windows(F.col("t"), p.window)).withColumn("v", windows(F.col("v"), p.window))
+    distinct = lambda i: F.size(F.array_distinct(F.filter(F.slice("template", i + 1, p.window), lambda w: ~w.rlike(r"^[\ue000-\ue002]"))))
+    both = F.transform("t", lambda t, i: F.struct(i.alias("pos"), t.alias("t"), F.get("v", i).alias("v"), (distinct(i) >= p.plain).alias("plain")))
+    is_first = F.col("item_id") == F.col("own_id")
+
+    def place(x: Column) -> Column:
+        by_template = x["plain"] & is_first
+        seeds = F.when(by_template & (x["pos"] == 0), F.array_distinct(F.array(x["t"], x["v"]))).when(by_template, F.array(x["t"])).otherwise(F.array(x["v"]))
+        return F.struct(x["pos"].alias("pos"), F.when(by_template, x["t"]).otherwise(x["v"]).alias("key"), x["plain"].alias("plain"), seeds.alias("seeds"))
+
+    return items.withColumn("both", both).select("item_id", "own_id", "words", F.transform("both", place).alias("places"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:
-    """doc_id, item_id, matched_windows, item_windows, share, n_slots, verbatim_slots for each pair found."""
+    """doc_id, item_id, matched_windows, item_windows, share, n_slots, verbatim_slots for each pair found.
+
+    The share is that of an item's plain windows or that of all its windows, whichever is more.
+    """
     items = item_table(benchmark, p)
-    seeds = items.select("item_id", F.explode("places").alias("w")).select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.h").alias("h"))
+    seeds = items.select("item_id", "own_id", F.explode("places").alias("w")).select("item_id", "own_id", "w.pos", "w.key", "w.plain", F.explode("w.seeds").alias("h"))
     if seeds.limit(p.broadcast + 1).count() <= p.broadcast:
         seeds = F.broadcast(seeds)
     named = docs.filter("doc_id is not null").select("doc_id", "text")
-    tokens = with_canonical(with_spaced(named)).select("doc_id", F.transform("template", lambda w: F.xxhash64(w)).alias("w"))
-    starts = tokens.select("doc_id", F.posexplode(windows(F.col("w"), p.window)).alias("k", "h"))
-    hits = starts.join(seeds, "h").groupBy("doc_id", "item_id", (F.col("k") - F.col("item_pos")).alias("shift")).count()
+    tokens = with_hashes(with_spaced(named)).withColumn("t", windows(F.col("t"), p.window)).withColumn("v", windows(F.col("v"), p.window))
+    # the words' windows follow the templates'; one that is the same as its template's is left out
+    starts = tokens.select("doc_id", F.size("t").alias("n"), F.posexplode(F.concat("t", F.zip_with("t", "v", lambda t, v: F.nullif(v, t)))).alias("k", "h")).filter("h is not null")
+    hits = starts.join(seeds, "h").withColumn("shift", F.when(F.col("k") < F.col("n"), F.col("k")).otherwise(F.col("k") - F.col("n")) - F.col("pos"))
+    by_shift = hits.groupBy("doc_id", "item_id", "own_id", "shift").agg(F.collect_set(F.struct("plain", "key")).alias("keys"))
     # few rows, read twice: written once, or the documents would be scanned again
-    pairs = cut(hits.groupBy("doc_id", "item_id").agg(F.max_by("shift", F.struct("count", -F.col("shift"))).alias("shift")))
+    pairs = cut(by_shift.groupBy("doc_id", "item_id", "own_id").agg(F.collect_list(F.struct("shift", "keys")).alias("shifts")))
 
     texts = with_spaced(named.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", words_of(F.col("spaced")).alias("words"))
-    texts = texts.withColumn("hashes", F.transform(canonical(F.col("words")), lambda w: F.xxhash64(w)))
-    texts = texts.withColumn("seen", windows(F.col("hashes"), p.window)).drop("hashes")
-    both = pairs.join(texts, "doc_id").join(items.select("item_id", F.col("words").alias("own"), "places"), "item_id")
-    wanted = F.array_distinct(F.transform("places", lambda x: x["h"]))
-    both = both.withColumn("item_windows", F.size(wanted)).withColumn("matched_windows", F.size(F.array_intersect(wanted, F.col("seen"))))
-    aligned = F.transform("own", lambda w, i: F.struct(w.alias("b"), F.when(i + F.col("shift") >= 0, F.get("words", i + F.col("shift"))).alias("d")))
-    slots = F.filter(aligned, lambda s: s["b"].rlike(r"^[\ue000-\ue002]") & F.coalesce(F.substring(s["b"], 1, 1) == F.substring(s["d"], 1, 1), F.lit(False)))
+    both = pairs.join(texts, "doc_id").join(items.select("own_id", F.col("words").alias("own"), "places"), "own_id")
+    wanted = F.array_distinct(F.transform("places", lambda x: F.struct(x["plain"].alias("plain"), x["key"].alias("key"))))
+    both = both.withColumn("wanted", wanted).withColumn("seen", F.array_distinct(F.flatten(F.transform("shifts", lambda s: s["keys"]))))
+    plain = lambda keys: F.size(F.filter(keys, lambda x: x["plain"]))
+    of = lambda seen, total: F.struct((seen / total).alias("share"), seen.alias("seen"), total.alias("total"))
+    most = lambda keys: F.greatest(of(F.size(keys), F.size("wanted")), F.when(plain("wanted") > 0, of(plain(keys), F.nullif(plain("wanted"), F.lit(0)))))
+    both = both.withColumn("most", most(F.col("seen"))).filter(F.col("most.share") >= p.share)
+    # each place that reaches the share by itself is tried, and those with the most windows
+    both = both.withColumn("best", F.array_max(F.transform("shifts", lambda s: F.size(s["keys"]))))
+    tried = F.filter("shifts", lambda s: (F.size(s["keys"]) == F.col("best")) | (most(s["keys"])["share"] >= p.share))
+    passage = lambda s: F.transform("own", lambda w, i: F.struct(w.alias("b"), F.when(i + s["shift"] >= 0, F.get("words", i + s["shift"])).alias("d")))
+    both = both.select("doc_id", "item_id", "most", F.explode(F.transform(tried, passage)).alias("aligned"))
+    slots = F.filter("aligned", lambda s: s["b"].rlike(r"^[\ue000-\ue002]") & F.coalesce(F.substring(s["b"], 1, 1) == F.substring(s["d"], 1, 1), F.lit(False)))
     both = both.withColumn("slots", F.array_distinct(slots))
     fewest = F.least(F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))), F.size(F.array_distinct(F.transform("slots", lambda s: s["d"]))))
-    share = F.col("matched_windows") / F.col("item_windows")
-    found = both.filter((share >= p.share) & (fewest >= F.size("slots") * p.agree))
-    found = found.select("doc_id", "item_id", "matched_windows", "item_windows", share.alias("share"), F.size("slots").alias("n_slots"), F.forall("slots", lambda s: s["b"] == s["d"]).alias("verbatim_slots"))
-    return found.dropDuplicates(["doc_id", "item_id"])
+    passed = both.filter(fewest >= F.size("slots") * p.agree)
+    verbatim = F.forall("slots", lambda s: s["b"] == s["d"])
+    rank = F.struct(verbatim.alias("verbatim_slots"), F.col("most.share").alias("share"), F.size("slots").alias("n_slots"), F.col("most.seen").alias("seen"), F.col("most.total").alias("total"))
+    found = passed.groupBy("doc_id", "item_id").agg(F.max(rank).alias("f"))
+    return found.select("doc_id", "item_id", F.col("f.seen").alias("matched_windows"), F.col("f.total").alias("item_windows"), "f.share", "f.n_slots", "f.verbatim_slots")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:
