@@ -221,7 +221,7 @@ def test_toxicity_gradients():
     net = toxicity.Network(p)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     g = np.random.default_rng(1)
-    gates, mask, y = g.standard_normal((5, 3, 6 * p.hidden)), np.ones((5, 3)), np.array([1.0, 0.0, 1.0])
+    gates, mask, y = g.standard_normal((6 * p.hidden, 5, 3)), np.ones((5, 3)), np.array([1.0, 0.0, 1.0])
     mask[3:, 1] = 0
     loss = lambda: float(np.logaddexp(0, net.run(gates, mask)).sum() - (y * net.run(gates, mask)).sum())
     out, *state = net.run(gates, mask, keep=True)
@@ -235,6 +235,23 @@ def test_toxicity_gradients():
         net.w[name][at] += 1e-3
 
 
+def test_toxicity_scores_every_window():
+    """The text's logit is the highest of the windows that start at each of its words, each run by itself."""
+    p = toxicity.ToxicityParams(window=4, chunk=7)
+    net = toxicity.Network(p)
+    net.w["word"] = np.random.default_rng(2).standard_normal(net.w["word"].shape).astype(np.float32)
+    texts = [prose(n) for n in (0, 1, 3, 4, 5, 40, 2)]
+
+    def alone(words):
+        gates, mask = np.zeros((4, 6 * p.hidden), np.float32), np.zeros((4, 1), np.float32)
+        if words:
+            gates[: len(words)], mask[: len(words)] = net.gates(words), 1
+        return net.run(gates.T[:, :, None], mask)[0]
+
+    expected = [max(alone(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))) for ws in map(toxicity.words_of, texts)]
+    assert np.allclose(toxicity.Scorer(net).top_logits(texts), expected, atol=1e-5)
+
+
 def test_order_minhash(docs, empty):
     rows = sorted(((-(1 << 63) if i is None else i, i, t or "") for i, t in documents()), key=lambda r: (-r[0], r[2]))
     expected = []

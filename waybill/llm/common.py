@@ -89,3 +89,22 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, max_la
     for value, n in counts:
         keep = keep | ((F.col(label) == F.lit(value)) & (draw < int(min(1.0, per_label / n) * 1_000_000)))
     return rows.filter(keep)
+
+
+def within_chars(rows: DataFrame, label: str, key: str, chars: int) -> DataFrame:
+    """Of drawn ``rows`` (key, text, label), those that fit into ``chars`` characters of text, an even share for each label.
+
+    They are taken in the order of a hash of the key; a row that does not fit is passed over.  Only
+    keys and lengths of the drawn rows reach the driver, and texts are filtered where they lie.
+    """
+    drawn = sorted(tuple(r) for r in rows.select(F.xxhash64(F.col(key)), F.length("text"), label).collect())
+    share = chars // max(1, len({value for _, _, value in drawn}))
+    used: dict = {}
+    kept = set()
+    for k, n, value in drawn:
+        if used.get(value, 0) + n <= share:
+            used[value] = used.get(value, 0) + n
+            kept.add((k, n))
+    chosen = rows.sparkSession.createDataFrame(sorted(kept), "hash_ bigint, size_ int")
+    with_hash = rows.withColumn("hash_", F.xxhash64(F.col(key))).withColumn("size_", F.length("text"))
+    return with_hash.join(F.broadcast(chosen), ["hash_", "size_"], "left_semi").drop("hash_", "size_")

@@ -7,7 +7,9 @@ words.  Confidence is calibrated by a temperature fitted on training rows that t
 see; texts below the fitted confidence are marked ``rejected``.
 
 Edge cases: a null text, or one without a letter, gives ``und`` with score 0; an empty training set
-gives ``und`` for every text; ties go to the label that sorts first; repeated rows each give a row.
+gives ``und`` for every text; ties go to the label that sorts first; repeated rows each give a row;
+very long texts are read whole; an empty table gives an empty table; extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import bounded_sample, held_out, map_batches
+from waybill.llm.common import bounded_sample, held_out, map_batches, within_chars
 from waybill.llm.words import WordTable, mean_rows, subword_buckets
 
 UNKNOWN = "und"
@@ -27,10 +29,10 @@ SIZES = (2, 3, 4)
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """The bounds of training: rows a label, and characters of a training row (longer rows are passed over)."""
+    """The bounds of training: rows a label, and characters of all rows (an even share for each label)."""
 
     rows_per_label: int = 300
-    max_train_chars: int = 20_000
+    train_chars: int = 16_000_000
     buckets: int = 1 << 15
     dim: int = 12
     epochs: int = 3
@@ -168,9 +170,9 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, p: LanguageParams) -> DataFrame:
-    """The bounded sample: about ``rows_per_label`` rows of each language, none held out, none over the length bound."""
+    """The bounded sample: about ``rows_per_label`` rows of each language, none held out, of any length."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    return bounded_sample(rows.filter(F.length("text") <= p.max_train_chars), "lang", "doc_id", p.rows_per_label).select("text", "lang")
+    return within_chars(bounded_sample(rows, "lang", "doc_id", p.rows_per_label), "lang", "doc_id", p.train_chars).select("text", "lang")
 
 
 def detect_languages(docs: DataFrame, p: LanguageParams = LanguageParams()) -> DataFrame:

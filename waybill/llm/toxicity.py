@@ -3,26 +3,32 @@
 Inputs of a step are a hashed word embedding and the mean of the word's hashed character n-gram
 embeddings.  The network is trained in numpy on a bounded sample of labelled rows: a text is a bag
 of windows, and its label belongs to its highest-scoring window.  Scoring runs over all overlapping
-windows of the whole text; the text's score is a calibrated function of the highest window logit.
+windows of the whole text, one at every word; the text's score is a calibrated function of the
+highest window logit.
 
 The input part of the gates depends on the word alone, so scoring keeps it in a bounded table of
-words and runs only the recurrent part for each window step, for many windows at once.
+words.  Texts lie end to end, so that step t of all windows is one slice of the gates, t words on.
 
-Edge cases: null and empty texts are one empty window and get a score like any other; an empty
-training set scores every text 0; repeated rows each give a row; an empty table gives an empty table.
+Edge cases: null and empty texts are one empty window and get a score like any other; texts of fewer
+words than a window are one window; very long texts are scored whole, in chunks of windows; an empty
+training set scores every text 0; windows of equal logits count as one; repeated rows each give a row;
+an empty table gives an empty table; extra columns, whatever their names, are not read, and
+drop_toxic() hands them on.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import BATCH_ROWS, bounded_sample, held_out, map_batches, share_code
+from waybill.llm.common import BATCH_ROWS, bounded_sample, held_out, map_batches, share_code, within_chars
 from waybill.llm.words import WordTable, mean_rows, subword_buckets
 
 SIZES = (2, 3, 4)
@@ -30,12 +36,12 @@ SIZES = (2, 3, 4)
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """The bounds of training: rows a label, and characters of a training row (longer rows are passed over)."""
+    """The bounds of training: rows a label, and characters of all rows (half for each label); ``skip``: starts that a training pass moves on by."""
 
     rows_per_label: int = 1000
-    max_train_chars: int = 8_000
-    window: int = 16
-    stride: int = 12
+    train_chars: int = 8_000_000
+    window: int = 8
+    skip: int = 4
     hidden: int = 8
     word_dim: int = 8
     char_dim: int = 8
@@ -46,7 +52,7 @@ class ToxicityParams:
     rate: float = 0.02
     cache_words: int = 300_000
     #: Windows scored at once; bounds the memory of a task.
-    chunk: int = 4096
+    chunk: int = 8192
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -57,12 +63,11 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def window_starts(n: int, window: int, stride: int) -> list[int]:
-    """Starts of overlapping windows that cover n words; the last one ends with the text."""
-    if n <= window:
-        return [0]
-    starts = list(range(0, n - window, stride))
-    return [*starts, n - window]
+def end_to_end(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text of so many words begins when each takes ``window`` places at least, and the place of every word."""
+    taken = np.maximum(sizes, window)
+    base = np.cumsum(taken) - taken
+    return base, np.repeat(base - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 class Network:
@@ -95,61 +100,88 @@ class Network:
         x = self.inputs(words)
         return np.concatenate([x @ self.w["xf"] + self.w["cf"], x @ self.w["xb"] + self.w["cb"]], axis=1)
 
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's row in the word table, and the n-gram buckets of word i at first[i]:first[i + 1]; n-grams of so many words at once."""
+        buckets, counts = [], []
+        for i in range(0, len(words), 20_000):
+            owner, bucket = subword_buckets([w.encode() for w in words[i : i + 20_000]], SIZES, self.p.char_buckets)
+            buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(owner, minlength=len(words[i : i + 20_000])))
+        return self.word_rows([w.encode() for w in words]), np.concatenate(buckets), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+    def all_gates(self, words: list[str]) -> np.ndarray:
+        """gates() of any number of words, so many at once that the n-grams stay small."""
+        out = np.empty((len(words), 6 * self.p.hidden), np.float32)
+        for i in range(0, len(words), 20_000):
+            out[i : i + 20_000] = self.gates(words[i : i + 20_000])
+        return out
+
     def run(self, gates: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Window logits from gate inputs (steps, windows, 6h) and a mask (steps, windows).
+        """Window logits from gate inputs (6h, steps, windows) and a mask (steps, windows).
 
-        Masked steps leave the state as it is and get no attention.
+        Masked steps leave the state as it is and get no attention.  Windows are the last axis of every
+        array, so that each operation runs over long contiguous rows.
         """
-        steps, n, _ = gates.shape
+        _, steps, n = gates.shape
         h = self.p.hidden
-        states = np.zeros((steps, n, 2 * h), np.float32)
-        trace = {}
+        states = np.empty((2 * h, steps, n), np.float32)
+        whole, trace = bool(mask.all()), {}
         for k, way in enumerate("fb"):
-            hidden, state = self.w[f"h{way}"], np.zeros((n, h), np.float32)
+            hidden, state = np.ascontiguousarray(self.w[f"h{way}"].T), np.zeros((h, n), np.float32)
             kept = []
             for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-                a = gates[t, :, 3 * h * k : 3 * h * (k + 1)]
-                r = state @ hidden
-                zr = _sigmoid(a[:, : 2 * h] + r[:, : 2 * h])
-                z, reset = zr[:, :h], zr[:, h:]
-                new = np.tanh(a[:, 2 * h :] + reset * r[:, 2 * h :])
-                m = mask[t][:, None]
-                following = state + m * (1 - z) * (new - state)
+                a = gates[3 * h * k : 3 * h * (k + 1), t]
+                r = hidden @ state
+                zr = r[: 2 * h] + a[: 2 * h]
+                zr *= 0.5
+                np.tanh(zr, out=zr)
+                zr += 1
+                zr *= 0.5
+                z, reset = zr[:h], zr[h:]
+                new = reset * r[2 * h :]
+                new += a[2 * h :]
+                np.tanh(new, out=new)
+                m = mask[t]
+                step = new - state
+                step *= 1 - z
+                if not whole:
+                    step *= m
                 if keep:
-                    kept.append((t, state, z, reset, new, r[:, 2 * h :], m))
-                state = following
-                states[t, :, h * k : h * (k + 1)] = state
+                    kept.append((t, state, z, reset, new, r[2 * h :], m))
+                state = states[h * k : h * (k + 1), t] = state + step
             trace[way] = kept
-        scores = np.where(mask > 0, states @ self.w["attend"], -1e9)
+        scores = np.tensordot(self.w["attend"], states, 1)
+        if not whole:
+            scores = np.where(mask > 0, scores, -1e9)
         share = np.exp(scores - scores.max(axis=0))
         share /= share.sum(axis=0)
-        pooled = np.einsum("tn,tnd->nd", share, states)
-        logits = pooled @ self.w["out"] + self.w["bias"][0]
+        pooled = np.einsum("tn,dtn->dn", share, states)
+        logits = self.w["out"] @ pooled + self.w["bias"][0]
         return (logits, states, share, pooled, trace) if keep else logits
 
     def gradients(self, back: np.ndarray, states: np.ndarray, share: np.ndarray, pooled: np.ndarray, trace: dict, shape: tuple) -> tuple[dict, np.ndarray]:
         """Gradients of all but the embeddings, and of the gate inputs, from d loss / d logits."""
         h, g = self.p.hidden, {}
-        g["out"], g["bias"] = pooled.T @ back, np.array([back.sum()], np.float32)
-        d_pooled = np.outer(back, self.w["out"])
-        d_share = np.einsum("nd,tnd->tn", d_pooled, states)
+        g["out"], g["bias"] = pooled @ back, np.array([back.sum()], np.float32)
+        d_pooled = np.outer(self.w["out"], back)
+        d_share = np.einsum("dn,dtn->tn", d_pooled, states)
         d_score = share * (d_share - (share * d_share).sum(axis=0))
-        g["attend"] = np.einsum("tn,tnd->d", d_score, states)
-        d_states = share[:, :, None] * d_pooled[None] + d_score[:, :, None] * self.w["attend"]
+        g["attend"] = np.einsum("tn,dtn->d", d_score, states)
+        d_states = share * d_pooled[:, None] + d_score * self.w["attend"][:, None, None]
         d_gates = np.zeros(shape, np.float32)
         for k, way in enumerate("fb"):
             hidden = self.w[f"h{way}"]
             g[f"h{way}"], carried = np.zeros_like(hidden), 0.0
             for t, state, z, reset, new, inner, m in reversed(trace[way]):
-                d = d_states[t, :, h * k : h * (k + 1)] + carried
+                d = d_states[h * k : h * (k + 1), t] + carried
                 dm = d * m
                 d_new = dm * (1 - z) * (1 - new * new)
                 d_z = -dm * (new - state) * z * (1 - z)
                 d_reset = d_new * inner * reset * (1 - reset)
-                d_r = np.concatenate([d_z, d_reset, d_new * reset], axis=1)
-                d_gates[t, :, 3 * h * k : 3 * h * (k + 1)] = np.concatenate([d_z, d_reset, d_new], axis=1)
-                g[f"h{way}"] += state.T @ d_r
-                carried = d * (1 - m * (1 - z)) + d_r @ hidden.T
+                d_r = np.concatenate([d_z, d_reset, d_new * reset])
+                d_gates[3 * h * k : 3 * h * (k + 1), t] = np.concatenate([d_z, d_reset, d_new])
+                g[f"h{way}"] += state @ d_r.T
+                carried = d * (1 - m * (1 - z)) + hidden @ d_r
         return g, d_gates
 
 
@@ -169,71 +201,75 @@ class Adam:
             self.w[k][at] -= self.rate * fix * self.m[k][at] / (np.sqrt(self.v[k][at]) + 1e-6)
 
 
-def _pad(windows: list[np.ndarray], steps: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, mask = np.zeros((steps, len(windows)), np.int64), np.zeros((steps, len(windows)), np.float32)
-    for i, w in enumerate(windows):
-        ids[: len(w), i], mask[: len(w), i] = w, 1
-    return ids, mask
-
-
-def train_toxicity(rows: list[tuple[str, int]], p: ToxicityParams = ToxicityParams()) -> Network:
+def train_toxicity(rows: Iterable[tuple[str, int]], p: ToxicityParams = ToxicityParams()) -> Network:
     """Fit on (text, label) rows.
 
     The first pass takes for a toxic text the window with the word of the highest log odds; later
-    passes take the window that the network itself scores highest, for either label.
+    passes take the window that the network itself scores highest, for either label.  A pass looks at
+    every ``skip``-th start of a text, and the next pass at the starts beside them; the calibration
+    looks at all.  Words become numbers as texts are read, so no text is held.
     """
-    rows = sorted((t or "", int(y)) for t, y in rows)
     net, rng = Network(p), np.random.default_rng(5)
-    if len({y for _, y in rows}) < 2:
-        net.w["bias"][0] = -20.0 if not rows or rows[0][1] == 0 else 20.0
+    number: dict[str, int] = {}
+    coded, labels = [], []
+    for text, label in sorted((t or "", int(y)) for t, y in rows):
+        coded.append(np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int32))
+        labels.append(label)
+    y = np.array(labels, np.int64)
+    if len(set(labels)) < 2:
+        net.w["bias"][0] = -20.0 if not labels or labels[0] == 0 else 20.0
         net.w["out"][:] = 0
         return net
-    words = [words_of(t) for t, _ in rows]
-    vocabulary = sorted({w for ws in words for w in ws}) or [""]
-    number = {w: i for i, w in enumerate(vocabulary)}
-    y = np.array([label for _, label in rows])
+    vocabulary = list(number) or [""]
+    del number
     seen = np.zeros((2, len(vocabulary)))
-    coded = [np.array([number[w] for w in ws], np.int64) for ws in words]
-    for c, label in zip(coded, y, strict=True):
+    for c, label in zip(coded, labels, strict=True):
         seen[label, np.unique(c)] += 1
-    odds = np.log((seen[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((seen[0] + 0.5) / ((y == 0).sum() + 1))
-    windows, doc = [], []
-    for i, c in enumerate(coded):
-        for s in window_starts(len(c), p.window, p.stride):
-            windows.append(c[s : s + p.window])
-            doc.append(i)
-    doc = np.array(doc)
-    ids, mask = _pad(windows, p.window)
-    raw = [w.encode() for w in vocabulary]
-    word_rows = net.word_rows(raw)
-    owner, bucket = subword_buckets(raw, SIZES, p.char_buckets)
-    order = np.argsort(owner, kind="stable")
-    owner, bucket = owner[order], bucket[order]
-    first = np.searchsorted(owner, np.arange(len(vocabulary) + 1))
+    odds = (np.log((seen[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((seen[0] + 0.5) / ((y == 0).sum() + 1))).astype(np.float32)
+    sizes = np.array([len(c) for c in coded], np.int64)
+    base, place = end_to_end(sizes, p.window)
+    n_starts = np.maximum(sizes - p.window, 0) + 1
+    total = int(base[-1] + max(sizes[-1], p.window))
+    flat, real = np.zeros(total, np.int32), np.zeros(total, np.float32)
+    flat[place], real[place] = np.concatenate(coded), 1
+    del coded, place
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), n_starts)
+    offset = np.arange(len(doc)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
+    start = (base[doc] + offset).astype(np.int32)
+    steps = np.arange(p.window)[:, None]
+
+    word_rows, bucket, first = net.features(vocabulary)
     n_grams = np.maximum(np.diff(first), 1)
     adam = Adam(net.w, p.rate)
-    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    lead = np.array([odds[w].max() if len(w) else -9.0 for w in windows])
 
-    def best(score: np.ndarray) -> np.ndarray:
-        """The first highest-scoring window of each text."""
-        top = np.maximum.reduceat(score, starts)
-        hit = np.flatnonzero(score == top[doc])
-        return hit[np.r_[True, doc[hit][1:] != doc[hit][:-1]]]
+    def best(some: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Of the windows ``some``, each text's first highest-scoring one."""
+        of = doc[some]
+        edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        hit = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, edge), np.diff(np.append(edge, len(of)))))
+        return some[hit[np.r_[True, of[hit][1:] != of[hit][:-1]]]]
 
-    def logits() -> np.ndarray:
-        gates = net.gates(vocabulary)
-        return np.concatenate([net.run(gates[ids[:, i : i + p.chunk]], mask[:, i : i + p.chunk]) for i in range(0, len(windows), p.chunk)])
+    def logits(some: np.ndarray) -> np.ndarray:
+        gates, out = np.ascontiguousarray(net.all_gates(vocabulary).T), np.empty(len(some), np.float32)
+        for i in range(0, len(some), p.chunk):
+            at = start[some[i : i + p.chunk]] + steps
+            out[i : i + p.chunk] = net.run(gates[:, flat[at]], real[at])
+        return out
 
     for epoch in range(p.epochs):
-        score = lead if epoch == 0 else logits()
-        chosen = best(score)
-        clean = np.flatnonzero(y[doc] == 0)
+        some = np.flatnonzero(offset % p.skip == np.minimum(epoch % p.skip, n_starts[doc] - 1))
+        if epoch == 0:  # pad places hold the first word of all, so they are left out
+            score = np.max([np.where(real[start[some] + t] > 0, odds[flat[start[some] + t]], -9) for t in range(p.window)], axis=0)
+        else:
+            score = logits(some)
+        chosen = best(some, score)
+        clean = some[y[doc[some]] == 0]
         chosen = np.concatenate([chosen, rng.choice(clean, min(len(clean), len(chosen)), replace=False)])
         rng.shuffle(chosen)
         for i in range(0, len(chosen), p.batch):
             at = chosen[i : i + p.batch]
-            used, local = np.unique(ids[:, at], return_inverse=True)
+            places = start[at] + steps
+            used, local = np.unique(flat[places], return_inverse=True)
             local = local.reshape(p.window, len(at))
             n = first[used + 1] - first[used]
             grams = bucket[np.repeat(first[used] - np.cumsum(n) + n, n) + np.arange(n.sum())]
@@ -242,14 +278,11 @@ def train_toxicity(rows: list[tuple[str, int]], p: ToxicityParams = ToxicityPara
             for d in range(p.char_dim):
                 chars[:, d] = np.bincount(gram_owner, weights=net.w["char"][grams, d], minlength=len(used)) / n_grams[used]
             x = np.concatenate([net.w["word"][word_rows[used]], chars], axis=1)
-            gates = np.concatenate([x @ net.w["xf"] + net.w["cf"], x @ net.w["xb"] + net.w["cb"]], axis=1)[local]
-            out, *state = net.run(gates, mask[:, at], keep=True)
+            gates = np.concatenate([x @ net.w["xf"] + net.w["cf"], x @ net.w["xb"] + net.w["cb"]], axis=1).T[:, local]
+            out, *state = net.run(gates, real[places], keep=True)
             back = ((_sigmoid(out) - y[doc[at]]) / len(at)).astype(np.float32)
             grads, d_gates = net.gradients(back, *state, gates.shape)
-            flat = d_gates.reshape(-1, d_gates.shape[2])
-            d_word = np.zeros((len(used), flat.shape[1]), np.float32)
-            for d in range(flat.shape[1]):
-                d_word[:, d] = np.bincount(local.ravel(), weights=flat[:, d], minlength=len(used))
+            d_word = np.stack([np.bincount(local.ravel(), weights=g.ravel(), minlength=len(used)) for g in d_gates], axis=1).astype(np.float32)
             h3 = 3 * p.hidden
             grads |= {"xf": x.T @ d_word[:, :h3], "xb": x.T @ d_word[:, h3:], "cf": d_word[:, :h3].sum(axis=0), "cb": d_word[:, h3:].sum(axis=0)}
             d_x = d_word[:, :h3] @ net.w["xf"].T + d_word[:, h3:] @ net.w["xb"].T
@@ -262,7 +295,7 @@ def train_toxicity(rows: list[tuple[str, int]], p: ToxicityParams = ToxicityPara
                 g_char[:, d] = np.bincount(where_c, weights=(d_x[:, p.word_dim + d] / n_grams[used])[gram_owner], minlength=len(rows_c))
             adam.rate = p.rate * (1 - 0.8 * epoch / p.epochs)
             adam.step(grads | {"word": g_word, "char": g_char}, {"word": rows_w, "char": rows_c})
-    _calibrate(net, np.maximum.reduceat(logits(), starts), y)
+    _calibrate(net, np.maximum.reduceat(logits(np.arange(len(doc))), np.cumsum(n_starts) - n_starts), y)
     return net
 
 
@@ -279,30 +312,34 @@ def _calibrate(net: Network, top: np.ndarray, y: np.ndarray) -> None:
     net.scale, net.shift = max(float(b[0]), 1e-3), float(b[1])
 
 
+def sliding(rows: np.ndarray, window: int) -> np.ndarray:
+    """View (..., window, n) of rows (..., n + window - 1): step t of window i is place i + t."""
+    return as_strided(rows, (*rows.shape[:-1], window, rows.shape[-1] - window + 1), (*rows.strides, rows.strides[-1]), writeable=False)
+
+
 class Scorer:
     def __init__(self, net: Network) -> None:
         self.net, self.p = net, net.p
         self.table = WordTable(net.gates, 6 * net.p.hidden, net.p.cache_words)
 
     def top_logits(self, texts: list[str | None]) -> np.ndarray:
+        """The highest logit of each text's windows."""
         p, words = self.p, [words_of(t) for t in texts]
-        flat = self.table.look_up([w for ws in words for w in ws])
-        base, at, length, doc = 0, [], [], []
-        for i, ws in enumerate(words):
-            starts = window_starts(len(ws), p.window, p.stride)
-            at += [base + s for s in starts]
-            length += [min(len(ws), p.window)] * len(starts)
-            doc += [i] * len(starts)
-            base += len(ws)
-        at, length, doc = np.array(at), np.array(length), np.array(doc)
-        out = np.empty(len(at), np.float32)
-        steps = np.arange(p.window)[:, None]
-        flat = np.concatenate([flat, np.zeros(p.window, np.int64)])
-        for i in range(0, len(at), p.chunk):
-            some = slice(i, i + p.chunk)
-            mask = (steps < length[None, some]).astype(np.float32)
-            out[some] = self.net.run(self.table.rows[flat[at[None, some] + steps]], mask)
-        return np.maximum.reduceat(out, np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]))
+        sizes = np.array([len(ws) for ws in words], np.int64)
+        base, place = end_to_end(sizes, p.window)
+        total = int(base[-1] + max(sizes[-1], p.window))
+        flat, real = np.zeros(total, np.int64), np.zeros(total, np.float32)
+        flat[place], real[place] = self.table.look_up([w for ws in words for w in ws]), 1
+        n = total - p.window + 1
+        out = np.empty(n, np.float32)
+        for i in range(0, n, p.chunk):
+            k = min(p.chunk, n - i)
+            some = slice(i, i + k + p.window - 1)
+            gates = np.ascontiguousarray(self.table.rows[flat[some]].T)
+            out[i : i + k] = self.net.run(sliding(gates, p.window), sliding(real[some], p.window))
+        # windows that run on into the next text count for none
+        out[np.concatenate([np.arange(b - p.window + 1, b) for b in base[1:]] or [[]]).astype(np.int64)] = -np.inf
+        return np.maximum.reduceat(out, base)
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if not texts:
@@ -312,19 +349,20 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> DataFrame:
-    """The bounded sample of labelled rows, none held out, none over the length bound, balanced by label.
+    """The bounded sample of labelled rows of any length, none held out, balanced by label.
 
     A document with several labels counts as toxic if one of them says so; a null label counts as none.
     """
     toxic = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     drawn = bounded_sample(toxic.filter(~held_out(F.col("doc_id"))), "toxic", "doc_id", p.rows_per_label)
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, p.max_train_chars))
-    return rows.join(F.broadcast(drawn), "doc_id").select("text", "toxic")  # at most rows_per_label rows a label, by the draw
+    # at most rows_per_label rows a label, by the draw
+    rows = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(drawn), "doc_id")
+    return within_chars(rows, "toxic", "doc_id", p.train_chars).select("text", "toxic")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    net = train_toxicity([tuple(r) for r in training_rows(docs, labels, p).collect()], p)
+    net = train_toxicity((tuple(r) for r in training_rows(docs, labels, p).collect()), p)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few MB, whatever the input
 
     def make():
@@ -342,7 +380,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxi
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is under one half.  Rows pass through in place: no join, no shuffle."""
-    net = train_toxicity([tuple(r) for r in training_rows(docs, labels, p).collect()], p)
+    net = train_toxicity((tuple(r) for r in training_rows(docs, labels, p).collect()), p)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     share_code(docs.sparkSession)
 

@@ -68,7 +68,7 @@ class WordTable:
         index = self.index
         if len(index) > self.limit:
             index.clear()
-        new = list(dict.fromkeys(w for w in words if w not in index))
+        new = list(set(words).difference(index))
         if new:
             start = len(index)
             while start + len(new) > len(self.rows):
