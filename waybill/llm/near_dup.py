@@ -6,17 +6,25 @@ rows minhashes give tables^2 keys of 2 x rows minhashes each: about the square r
 independent keys.  Two sets of similarity s share no key with a chance of about 2 (1 - s^rows)^tables.
 
 1. Documents with equal sets fold into one node before any key is made.
-2. Every node is checked against the least node of each of its keys; verified links give components.
-3. A key whose nodes still fall in several components pairs the nodes outside its most frequent
-   component with those of the other components; verified links complete the components.
+2. Every node is checked against the leader of each of its keys: the node of the key whose keys hold
+   the most nodes, so the original of a group rather than one of its copies.  Verified links give
+   components.
+3. In a key that still holds several components, two nodes close to its leader are compared by what
+   they differ in from it (see differing()): to be linked they must share some of those shingles,
+   which are rare ones, so a large group of texts that differ in different places forms few pairs.
+   Nodes far from the leader meet the other nodes of the key, less those of the key's main component
+   among themselves; small outlines are compared inside that join.  Verified links complete the
+   components.
 
 So no key forms all pairs of its nodes, and yet no candidate pair between different components goes
 unchecked.  Links are confirmed on the full sets.
 
 Edge cases: null, empty and blank texts have no shingles, are linked with nothing and stay; texts
-shorter than a shingle have their whole word sequence as their one shingle; repeated rows each give
-a row; rows that share a doc_id are one document, which counts with one of their sets (the least by
-its key); an empty table gives an empty table.
+shorter than a shingle have their whole word sequence as their one shingle; very long texts count
+whole; repeated rows each give a row; rows that share a doc_id are one document, which counts with
+one of their sets (the least by its key); equal likeness and equal sizes are ties that the smallest
+doc_id wins; an empty table gives an empty table; extra columns, whatever their names, are not read,
+and keep_one() hands them on.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from waybill.llm.common import cut, map_batches
 from waybill.llm.graph import components
@@ -43,7 +52,8 @@ class NearDupParams:
     """Sets of ``shingle`` words are linked when 100 x intersection >= ``percent`` x union.
 
     ``agree``: share of agreeing bins of two outlines (see outline()) below which a candidate is not
-    verified; it lies about five standard deviations below the similarity wanted.
+    verified; it lies about five standard deviations below the similarity wanted.  ``close``: share
+    from which a node counts as close to its leader; it only decides which of two exact ways is taken.
     """
 
     shingle: int = 3
@@ -51,6 +61,7 @@ class NearDupParams:
     tables: int = 8
     rows: int = 2
     agree: float = 0.73
+    close: float = 0.5
     seed: int = 97
     #: Most ids of candidates that are sent to every task to pick out their texts; beyond it texts and ids meet by shuffle.
     broadcast: int = 500_000
@@ -176,8 +187,8 @@ def _may_link(p: NearDupParams, a: str, b: str):
     return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * p.percent
 
 
-def _agree(p: NearDupParams, a: str, b: str):
-    """Share of the bins filled in either outline that hold the same in both, held against ``agree``."""
+def _agree(least: float, a: str, b: str):
+    """Share of the bins filled in either outline that hold the same in both, held against ``least``."""
     word = lambda c, plane, i: F.get(F.col(c), F.lit(plane * WORDS + i))
     same, either = F.lit(0), F.lit(0)
     for i in range(WORDS):
@@ -186,13 +197,13 @@ def _agree(p: NearDupParams, a: str, b: str):
             differ = differ.bitwiseOR(word(a, plane, i).bitwiseXOR(word(b, plane, i)))
         same = same + F.bit_count(word(a, 0, i).bitwiseAND(word(b, 0, i)).bitwiseAND(F.bitwise_not(differ)))
         either = either + F.bit_count(word(a, 0, i).bitwiseOR(word(b, 0, i)))
-    return same >= either * p.agree
+    return same >= either * least
 
 
-def verified(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets reach the similarity."""
+def full_sets(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+    """(id, hashes): the whole shingle set of every doc_id in ``pairs`` (a, b), a written table."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    if 2 * pairs.count() <= p.broadcast:  # the pairs are a written table, so this counts rows only
+    if 2 * pairs.count() <= p.broadcast:  # counts rows of a written table
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
 
@@ -200,12 +211,49 @@ def verified(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
         shingles = Shingler(p.shingle)
         return lambda ids, text: {"id": ids, "hashes": [shingles(t).view(np.int64) for t in text]}
 
-    sets = map_batches(texts, make, "id bigint, hashes array<bigint>")
-    left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    return map_batches(texts, make, "id bigint, hashes array<bigint>")
+
+
+def with_sets(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+    """``pairs`` with x and y, the sets of a and b."""
+    sets = full_sets(pairs, docs, p)
+    of = lambda id_, name: sets.select(F.col("id").alias(id_), F.col("hashes").alias(name))
+    return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full sets reach the similarity."""
+    both = with_sets(pairs, docs, p).withColumn("shared", F.size(F.array_intersect("x", "y")))
     return both.filter(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * p.percent).select("a", "b")
 
 
+def differing(close: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+    """Candidate pairs (node_a, node) among nodes that are close to one leader, of different components.
+
+    ``close``: a (the leader), b (a node), component.  D(x) is the set of shingles that are in one of x
+    and the leader L alone.  With r = (100 - percent) / (100 + percent), x and y are linked when
+    |D(x) ^ D(y)| <= r (|x| + |y|), and x is linked with L when |D(x)| <= r (|x| + |L|).  Two nodes that
+    are linked with L are of one component, so one of a pair, y, is not: then the two share at least
+    t = (|D(x)| - r (|x| - |L|)) / 2 > 0 shingles of D if x is linked with L, and
+    t = (|D(x)| - r (|x| - |L|)) / 2, likewise, if neither is.  So in any one order of shingles the first
+    |D(x)| - t + 1 of one hold a shared one; the rarest come first.  Exact, as no link is lost.
+    """
+    r = (100 - p.percent) / (100 + p.percent)
+    sets = with_sets(close, docs, p).withColumn("d", F.concat(F.array_except("x", "y"), F.array_except("y", "x")))
+    sized = sets.select("a", "b", "component", F.size("x").alias("n_a"), F.size("y").alias("n"), F.size("d").alias("k"), "d")
+    sized = sized.withColumn("free", F.col("k") > r * (F.col("n") + F.col("n_a")) - 1e-6)  # not linked with L; a doubt counts as free
+    need = F.floor((F.col("k") - r * (F.col("n") - F.col("n_a"))) / 2 - 1e-6)
+    sized = sized.withColumn("prefix", F.col("k") + 1 - F.greatest(need, F.lit(1)))
+    tokens = cut(sized.select("a", "b", "component", "n", "free", "prefix", F.explode("d").alias("token")))
+    common = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("times", F.lit(1)), "token"))
+    ranked = tokens.join(common, ["a", "token"], "left").withColumn("early", rank <= F.col("prefix")).filter("times > 1")
+    left = ranked.filter("free").select("a", "token", F.col("b").alias("node_a"), F.col("n").alias("small"), F.col("component").alias("component_a"), F.col("early").alias("early_a"))
+    right = ranked.filter("early").select("a", "token", F.col("b").alias("node"), "n", "component", "free")
+    met = left.join(right, ["a", "token"]).filter("component <> component_a and (not free or (early_a and node > node_a))").filter(_may_link(p, "n", "small"))
+    return met.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     signed = cut(signatures(docs, p))
@@ -213,27 +261,40 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     sets = filled.groupBy("set_key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(name) for c, name in (("n_shingles", "n"), ("sketch", "sketch"), ("outline", "outline"))))
     sets = cut(sets)
     nodes = sets.groupBy("node").agg(F.min(F.struct("set_key", "n", "sketch", "outline")).alias("s")).select("node", "s.n", "s.sketch", "s.outline")
+    outlines = lambda id_, name: nodes.select(F.col("node").alias(id_), F.col("outline").alias(name))
+    outlined = lambda pairs: pairs.join(outlines("a", "o_a"), "a").join(outlines("b", "o_b"), "b")
 
     keys = table_keys(nodes, p)
-    leaders = keys.groupBy("key").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("n_a"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    crowded = cut(keys.join(leaders, "key"))  # the rows of keys with several nodes
-    stars = crowded.filter("a <> node").filter(_may_link(p, "n", "n_a")).select("a", F.col("node").alias("b")).distinct()
-    outlines = lambda id_, name: nodes.select(F.col("node").alias(id_), F.col("outline").alias(name))
-    stars = cut(stars.join(outlines("a", "x"), "a").join(outlines("b", "y"), "b").filter(_agree(p, "x", "y")).select("a", "b"))
-    links = cut(verified(stars, docs, p))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    crowded = cut(keys.join(sizes, "key"))  # the rows of keys with several nodes
+    weights = crowded.groupBy("node").agg(F.sum("size").alias("weight"))
+    leaders = crowded.join(weights, "node").groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("n_a")), F.struct("weight", -F.col("node"))).alias("l"))
+    led = cut(crowded.drop("size").join(leaders.select("key", "l.*"), "key"))
+    stars = outlined(led.filter("a <> node").select("a", F.col("node").alias("b"), "n", "n_a").distinct()).filter(_agree(p.close, "o_a", "o_b"))
+    stars = cut(stars.select("a", "b", (_may_link(p, "n", "n_a") & _agree(p.agree, "o_a", "o_b")).alias("likely")))
+    tried = stars.filter("likely").select("a", "b")
+    links = cut(verified(tried, docs, p))
 
     grouped = components(links)
-    placed = crowded.select("key", "node", "n").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = led.select("key", "node", "n", "a").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = placed.groupBy("key", "component").count()
     main = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = cut(placed.join(main, "key").drop("parts"))
+    near = stars.select("a", F.col("b").alias("node"), F.lit(True).alias("near"))
+    split = placed.join(main, "key").drop("parts").join(near, ["a", "node"], "left")
+    split = cut(split.withColumn("near", F.coalesce("near", F.col("node") == F.col("a"))))
+    around = cut(split.filter("near and node <> a").select("a", F.col("node").alias("b"), "component").distinct())
+    pairs = outlined(differing(around, docs, p)).filter(_agree(p.agree, "o_a", "o_b")).select("a", "b")
+
     bands = F.array(*(F.hash(_band(p, c, i)) for c in range(2) for i in range(p.tables)))
-    members = split.join(nodes.select("node", "outline", bands.alias("bands")), "node")
-    rest = members.filter("component <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "outline", "bands")))
-    crossing = rest.join(members, "key").filter("component <> component_a and (component = main or node > node_a)")
-    crossing = crossing.filter(_may_link(p, "n", "n_a")).filter(_agree(p, "outline", "outline_a")).filter(_first_shared(p, "key", "bands", "bands_a"))
-    pairs = crossing.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
-    pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
+    mixed = split.groupBy("key").agg(F.bool_and("near").alias("near")).filter("not near").select("key")  # keys that hold far nodes
+    members = split.join(mixed, "key", "left_semi").join(nodes.select("node", "outline", bands.alias("bands")), "node")
+    rest = members.filter("component <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "outline", "bands", "near")))
+    one_far = rest.filter("not near_a").join(members, "key").filter("component <> component_a and (component = main or near or node > node_a)")
+    main_far = rest.filter("near_a").join(members.filter("not near and component = main"), "key").filter("component <> component_a")
+    crossing = one_far.unionByName(main_far).filter(_may_link(p, "n", "n_a")).filter(_agree(p.agree, "outline", "outline_a")).filter(_first_shared(p, "key", "bands", "bands_a"))
+    crossing = crossing.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b"))
+    ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(pairs.unionByName(crossing).distinct().join(ordered, ["a", "b"], "left_anti"))
     final = components(links.unionByName(verified(pairs, docs, p)))
 
     of_set = sets.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
@@ -242,7 +303,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
 
 
 def keep_one(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """The rows of ``docs`` that are their group's representative; one row a doc_id."""
+    """The rows of ``docs`` that are their group's representative; one row for each doc_id and text, all without a doc_id."""
     kept = near_duplicates(docs, p).filter("kept or component_id is null").select("doc_id").distinct()
-    some = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return some.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
