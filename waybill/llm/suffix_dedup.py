@@ -12,14 +12,17 @@ anchor form a region, and only regions of one anchor can hold each other's strin
 3. The distinct regions of the remaining anchors are laid end to end in shards, and the suffixes of
    a shard are sorted by external induced sorting; a start is repeated where its common prefix with
    a neighbour in suffix order reaches the length.  An anchor with very many distinct regions is
-   dealt over several shards, which then exchange digests of the strings they have found.
+   first dealt into groups that share more bytes around it than the anchor (see deal()); strings of
+   different groups differ, so each group has a shard of its own.
 4. Repeated starts go back to every place of their region and become byte ranges of the text.
 
 A region never leaves its shard's disk-backed queues, whose memory is bounded, and nothing is
 collected to the driver.
 
-Edge cases: null text counts as empty; texts shorter than ``length`` lose nothing; repeated rows are
-separate documents (so each loses what both hold); an empty table gives an empty table.
+Edge cases: null text counts as empty; texts shorter than ``length`` lose nothing; very long texts are
+searched whole; repeated rows are separate documents (so each loses what both hold); where an anchor's
+hash stands at several places of a string, the leftmost counts; an empty table gives an empty table;
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ from waybill.llm.words import MIX, mix
 class SuffixParams:
     """``shard``: bytes of regions that one shard takes, while ``shards`` of them are enough.
     ``memory``: bytes that a shard's queues hold before they go to disk.  ``crowd``: distinct regions of an
-    anchor that one shard takes; beyond it the anchor is dealt over several."""
+    anchor that stay together; beyond it they are dealt into groups."""
 
     length: int = 400
     gram: int = 24
@@ -198,53 +201,94 @@ def region_rows(docs: DataFrame, p: SuffixParams) -> DataFrame:
 
 
 def fetch_regions(wanted: DataFrame, docs: DataFrame, p: SuffixParams) -> DataFrame:
-    """(anchor, digest, part, bytes) for the wanted regions (anchor, digest, part, doc_key, text_key, start, last)."""
-    by_row = wanted.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("anchor", "digest", "part", "start", "last")).alias("regions"))
+    """(anchor, digest, shift, over, under, bytes) for the wanted regions (anchor, digest, crowded, doc_key, text_key, start, last).
+
+    A region of a crowded anchor comes in pieces of starts whose strings have their anchor at one
+    place (one piece, unless the anchor stands in the region several times).  shift: the piece's first
+    start; over, under: bytes between the first and the last start and the anchor, null if not crowded.
+    """
+    by_row = wanted.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("anchor", "digest", "crowded", "start", "last")).alias("regions"))
     texts = docs.select(*row_key(), "text").join(by_row, ["doc_key", "text_key"]).dropDuplicates(["doc_key", "text_key"])
+    names = ("anchor", "digest", "shift", "over", "under", "bytes")
+
+    def pieces(raw: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+        found = Anchors(gram_hashes(np.frombuffer(raw, np.uint8), p), p.length - p.gram + 1)
+        place = found.first_place(np.arange(len(found.least)))
+        edges = [*np.flatnonzero(np.r_[True, place[1:] != place[:-1]]).tolist(), len(place)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield a, int(place[a]) - a, int(place[a]) - b + 1, raw[a : b - 1 + p.length]
 
     def make():
         def work(regions, text):
-            out: dict[str, list] = {"anchor": [], "digest": [], "part": [], "bytes": []}
+            out: dict[str, list] = {name: [] for name in names}
             for rows, t in zip(regions, text, strict=True):
-                raw = t.encode("utf-8")
+                whole = t.encode("utf-8")
                 for r in rows:
-                    out["anchor"].append(r["anchor"])
-                    out["digest"].append(r["digest"])
-                    out["part"].append(r["part"])
-                    out["bytes"].append(raw[r["start"] : r["last"] + p.length])
+                    raw = whole[r["start"] : r["last"] + p.length]
+                    for piece in pieces(raw) if r["crowded"] else [(0, None, None, raw)]:
+                        for name, x in zip(names, (r["anchor"], r["digest"], *piece), strict=True):
+                            out[name].append(x)
             return out
 
         return work
 
-    return map_batches(texts.select("regions", "text"), make, "anchor bigint, digest bigint, part int, bytes binary")
+    return map_batches(texts.select("regions", "text"), make, "anchor bigint, digest bigint, shift int, over int, under int, bytes binary")
 
 
-SORTED = "anchor bigint, digest bigint, hits array<int>, strings array<struct<mark: bigint, at: int, found: boolean>>"
+GROUPED = "group bigint, anchor bigint, digest bigint, shift int, bytes binary"
 
 
-def _runs(flags: np.ndarray) -> list[int]:
-    """Starts and ends (exclusive) of the true stretches, flat."""
+def deal(pieces: DataFrame, p: SuffixParams) -> tuple[DataFrame, DataFrame]:
+    """Deal the pieces of crowded anchors into groups: (GROUPED rows, (anchor, digest, hits) of starts already known to repeat).
+
+    The starts of a piece are told apart by how many bytes lie before the anchor.  For a range of such
+    offsets all strings hold the same core: the bytes that reach as far left as the least offset and
+    as far right as the greatest allows.  Equal strings have equal offsets and equal cores, so a range
+    is halved until a core is met by few pieces; a core met once holds no repeat.  A piece makes two
+    rows a round at most, and at the end of the halving a core is the string itself.
+    """
+    spark, groups, known = pieces.sparkSession, [], []
+    kept = ("anchor", "digest", "shift", "over", "under", "bytes")
+    rest = pieces.select(*kept, F.lit(0).alias("lo"), F.lit(p.length - p.gram).alias("hi"))
+    while not rest.isEmpty():
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))).alias("r")
+        halved = rest.select(*kept, halves).select(*kept, "r.lo", "r.hi").filter("lo <= hi AND under <= hi AND over >= lo")
+        halved = cut(halved.withColumn("core", F.xxhash64(F.substring("bytes", F.col("over") - F.col("lo") + 1, F.col("lo") + p.length - F.col("hi")))))
+        key = ["anchor", "lo", "hi", "core"]
+        met = halved.join(halved.groupBy(*key).agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), key)
+        first = F.col("over") - F.least("over", "hi")  # the first start with an offset in the range
+        known.append(met.filter("lo = hi").select("anchor", "digest", F.array(F.col("shift") + first, F.col("shift") + first + 1).alias("hits")))
+        few = met.filter((F.col("lo") < F.col("hi")) & (F.col("met") <= p.crowd))
+        held = F.substring("bytes", first + 1, F.least("over", "hi") - F.greatest("under", "lo") + p.length)
+        groups.append(few.select(F.xxhash64(*key).alias("group"), "anchor", "digest", (F.col("shift") + first).alias("shift"), held.alias("bytes")))
+        rest = cut(met.filter((F.col("lo") < F.col("hi")) & (F.col("met") > p.crowd)).select(*kept, "lo", "hi"))
+    none = spark.createDataFrame([], GROUPED), spark.createDataFrame([], "anchor bigint, digest bigint, hits array<int>")
+    for g, k in zip(groups, known, strict=True):
+        none = none[0].unionByName(g), none[1].unionByName(k)
+    return none
+
+
+SORTED = "anchor bigint, digest bigint, hits array<int>"
+
+
+def _runs(flags: np.ndarray, shift: int) -> list[int]:
+    """Starts and ends (exclusive) of the true stretches, flat and moved by ``shift``."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).ravel().tolist()
+    return (np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).ravel() + shift).tolist()
 
 
 def sort_shards(regions: DataFrame, p: SuffixParams) -> DataFrame:
-    """Sort each partition's regions as one string.
-
-    hits: stretches of repeated starts in the region.  strings, only for anchors dealt over several
-    parts: digests of the region's strings, so that parts can compare them.
-    """
+    """Sort each partition's regions (digest, shift, bytes) as one string; hits: stretches of repeated starts, if there are any."""
     share_code(regions.sparkSession)
     schema = to_arrow_schema(T.StructType.fromDDL(SORTED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         rows: list[tuple[int, int, int, int]] = []
         pieces: list[np.ndarray] = []
         for batch in batches:
-            for anchor, digest, part, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "part", "bytes")), strict=True):
-                rows.append((anchor, digest, part, len(raw)))
+            for anchor, digest, shift, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "shift", "bytes")), strict=True):
+                rows.append((anchor, digest, shift, len(raw)))
                 pieces += [np.frombuffer(raw, np.uint8).astype(np.uint16) + 2, np.ones(1, np.uint16)]
         if not rows:
             return
@@ -252,13 +296,10 @@ def sort_shards(regions: DataFrame, p: SuffixParams) -> DataFrame:
         del pieces
         hit = repeated_starts(text, p.length, p.memory)
         at, out = 0, []
-        for anchor, digest, part, size in rows:
-            starts = size - p.length + 1
-            flags, strings = hit[at : at + starts], []
-            if part >= 0:
-                raw = (text[at : at + size] - 2).astype(np.uint8).tobytes()
-                strings = [{"mark": xxhash.xxh3_64_intdigest(raw[i : i + p.length]) - (1 << 63), "at": i, "found": bool(flags[i])} for i in range(starts)]
-            out.append({"anchor": anchor, "digest": digest, "hits": _runs(flags), "strings": strings})
+        for anchor, digest, shift, size in rows:
+            flags = hit[at : at + size - p.length + 1]
+            if flags.any():
+                out.append({"anchor": anchor, "digest": digest, "hits": _runs(flags, shift)})
             at += size + 1
         for i in range(0, len(out), 256):
             yield pa.RecordBatch.from_pylist(out[i : i + 256], schema=schema)
@@ -268,7 +309,7 @@ def sort_shards(regions: DataFrame, p: SuffixParams) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, p: SuffixParams = SuffixParams()) -> DataFrame:
     """(doc_key, text_key, spans): covered byte ranges of each row that has any, as flat arrays of start, end."""
-    rows = region_rows(docs, p)
+    rows = cut(region_rows(docs, p))  # written once, as the texts are dear to scan
     anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), F.bool_or("inner").alias("any_inner")).filter("total > 1 or any_inner")
     places = cut(rows.join(anchors.drop("total"), "anchor"))
     place = F.struct("doc_key", "text_key", "start", "last", "before", "after")
@@ -279,20 +320,20 @@ def repeated_spans(docs: DataFrame, p: SuffixParams = SuffixParams()) -> DataFra
     met = sides.groupBy("side").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("side")
     open_ = sides.join(met, "side", "left_semi").select("anchor", "digest").distinct()
     wanted = several.filter("not any_inner").join(open_, ["anchor", "digest"], "left_semi").unionByName(several.filter("any_inner"))
-    # an anchor of more than ``crowd`` distinct regions is dealt over parts by digest; -1: not dealt
-    parts = F.ceil(F.col("regions") / p.crowd).cast("int")
-    part = F.when(F.col("regions") > p.crowd, F.pmod("digest", parts)).otherwise(-1).cast("int")
-    wanted = cut(wanted.select("anchor", "digest", part.alias("part"), *(F.col(f"place.{c}") for c in ("doc_key", "text_key", "start", "last"))))
+    place = [F.col(f"place.{c}") for c in ("doc_key", "text_key", "start", "last")]
+    wanted = cut(wanted.select("anchor", "digest", *place))
+    many = cut(wanted.groupBy("anchor").count().filter(F.col("count") > p.crowd).select("anchor", F.lit(True).alias("crowded")))
+    pieces = fetch_regions(wanted.join(many, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))), docs, p)
+    apart, known = None, None
+    if not many.isEmpty():
+        pieces = cut(pieces)
+        apart, known = deal(pieces.filter("over IS NOT NULL"), p)
+    together = pieces.filter("over IS NULL").select(F.col("anchor").alias("group"), "anchor", "digest", "shift", "bytes")
     size = wanted.agg(F.sum(F.col("last").cast("long") - F.col("start") + p.length)).first()[0] or 0
-    shards = fetch_regions(wanted, docs, p).repartition(min(p.shards, -(-size // p.shard) or 1), "anchor", "part")
-    found = cut(sort_shards(shards, p))
-    own = found.filter(F.size("hits") > 0).select("anchor", "digest", "hits")
-    strings = found.select("anchor", "digest", F.explode("strings").alias("s")).select("anchor", "digest", "s.*")
-    marks = strings.groupBy("anchor", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    across = strings.filter("not found").join(marks, ["anchor", "mark"])
-    across = across.groupBy("anchor", "digest").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("hits"))
+    shards = (together if apart is None else together.unionByName(apart)).repartition(min(p.shards, -(-size // p.shard) or 1), "group")
+    own = cut(sort_shards(shards, p))
     twice = shared.filter("n > 1").select("anchor", "digest", F.array(F.lit(0), F.lit((1 << 31) - 1)).alias("hits"))
-    repeated = own.unionByName(across).unionByName(twice)
+    repeated = own.unionByName(twice) if known is None else own.unionByName(twice).unionByName(known)
     placed = places.join(repeated, ["anchor", "digest"])
     ends = lambda x, i: F.when(i % 2 == 0, F.col("start") + x).otherwise(F.least(F.col("start").cast("long") + x, F.col("last").cast("long") + 1).cast("int") + (p.length - 1))
     spans = placed.select("doc_key", "text_key", F.transform("hits", ends).alias("s"))
