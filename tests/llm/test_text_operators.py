@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -169,7 +170,53 @@ def test_html():
     assert html_text.main_text("<p>" * 3000 + "deep") == "deep"
 
 
+def _page(wrap, parts, extra=""):
+    article = "".join(f"<p>{p}</p>" for p in parts)
+    return f"<html><body><div class='menu'><a href=a>Home</a><a href=b>News</a></div>{wrap[0]}<h1>The title</h1>{article}{wrap[1]}{extra}<footer>foot</footer></body></html>"
+
+
+def test_html_density_decides_without_article_tags():
+    """Pages whose markup names no article: the parts come from the density sums and the threshold."""
+    parts = [prose(40) + "." for _ in range(6)]
+    expected = "\n\n".join(["The title", *parts])
+    links = "<div>" + "".join(f"<a href={i}>{w}</a>" for i, w in enumerate(WORDS[:60])) + "</div>"
+    for wrap in (("<div id=wrap><div class='no-sidebar'>", "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), ("<div><section>", "</section></div>")):
+        assert html_text.main_text(_page(wrap, parts, links)) == expected
+    root, events = html_text.parse(_page(("<div>", "</div>"), parts, links))
+    html_text.drop_furniture(root, events)
+    chosen = html_text.select(root, events)
+    assert [n.tag for n in chosen] == ["div"] and chosen[0].parent.tag == "body"
+
+
+def test_html_densities_by_hand():
+    """Composite density and sums of every node, worked out from the page's text by another way."""
+    root, events = html_text.parse("<body><div><p>" + "a" * 90 + "<a>" + "b" * 10 + "</a></p><p>" + "c" * 50 + "</p></div><p>dd</p></body>")
+    nodes = {id(n): n for n in html_text.measure(root, events)}.values()
+    share = 10 / 152
+    for n in nodes:
+        kids = [x for x in nodes if x.parent is n]
+        assert n.sum == pytest.approx(sum(k.density for k in kids))
+        lc, lt, t = max(n.link_chars, 1), max(n.link_tags, 1), max(n.tags, 1)
+        base = np.log(n.chars / max(n.chars - n.link_chars, 1) * n.link_chars + share * n.chars + np.e)
+        assert n.density == pytest.approx(n.chars / t * np.log(max(n.chars / lc * t / lt, 1)) / (base and np.log(base) if base > 1 else 1))
+    assert {n.tag: (n.chars, n.tags, n.link_chars) for n in nodes if n.tag in ("body", "div", "a")} == {"body": (152, 5, 10), "div": (150, 3, 10), "a": (10, 0, 10)}
+
+
+def test_html_tolerance():
+    two = "<body>" + "".join(f"<article><header><h2>H{i}</h2></header><p>{prose(60)}</p></article>" for i in range(2)) + "<nav>n</nav>"
+    assert html_text.main_text(two).startswith("H0\n\n") and "\n\nH1\n\n" in html_text.main_text(two)
+    assert html_text.main_text("<body><noscript>x<p>" + prose(20)).count(" ") >= 19
+    assert html_text.main_text("<body class=has-sidebar><div class='content-with-nav'><p>kept</p></div>") == "kept"
+    assert html_text.main_text("<div class=sidebar><article><p>in an article</p></article></div>") == "in an article"
+    deep = ["<div>" * 20000 + "x", "<b>" * 20000 + "</i>" * 20000 + "x", "<ul><li>" * 10000 + "x", "<table><tr><td>" * 7000 + "x"]
+    start = time.process_time()
+    assert [html_text.main_text(p) for p in deep] == ["x"] * 4 and time.process_time() - start < 8
+
+
 def test_html_table(spark):
+    assert html_text.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    again = spark.createDataFrame([(1, "u", "<p>é</p>")] * 2, "page_id bigint, url string, html string").selectExpr("*", "2 AS n_chars")
+    assert sorted(map(tuple, html_text.extract_pages(again).collect())) == [(1, "u", "é", 1)] * 2
     pages = spark.createDataFrame([(1, "u", "<p>é</p>"), (2, None, None)], "page_id bigint, url string, html string").selectExpr("*", "1 AS text")
     assert sorted(map(tuple, html_text.extract_pages(pages).collect())) == [(1, "u", "é", 1), (2, None, "", 0)]
 
