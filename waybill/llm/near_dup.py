@@ -132,8 +132,20 @@ def outline(h: np.ndarray) -> list[int]:
     return np.packbits(planes, bitorder="little").view("<i8").tolist()
 
 
+PARITY = 1024
+
+
+def parity(h: np.ndarray) -> list[int]:
+    """How many hashes fall into each of 1024 bins, modulo two, as 64-bit words.
+
+    Two of them differ in at most as many bits as their sets in members, so they never hide a link.
+    """
+    odd = np.bincount((mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)) >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def signatures(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the full set), sketch (minhashes for the keys), outline."""
+    """doc_id, n_shingles, set_key (128 bits of the full set), sketch (minhashes for the keys), outline, parity."""
 
     def make():
         import xxhash
@@ -148,11 +160,12 @@ def signatures(docs: DataFrame, p: NearDupParams) -> DataFrame:
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "sketch": [sketch(s) if len(s) else None for s in sets],
                 "outline": [outline(s) if len(s) else None for s in sets],
+                "parity": [parity(s) if len(s) else None for s in sets],
             }
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, set_key binary, sketch array<int>, outline array<bigint>")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, set_key binary, sketch array<int>, outline array<bigint>, parity array<bigint>")
 
 
 def _band(p: NearDupParams, collection: int, i: int):
@@ -187,6 +200,14 @@ def _may_link(p: NearDupParams, a: str, b: str):
     return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * p.percent
 
 
+def _in_reach(p: NearDupParams, n_a: str, n_b: str, a: str, b: str):
+    """Sets that differ in more than (100 - percent) / (100 + percent) of their sizes' sum are not linked: by the parities a and b."""
+    differ = F.lit(0)
+    for i in range(PARITY // 64):
+        differ = differ + F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i))))
+    return differ * (100 + p.percent) <= (F.col(n_a) + F.col(n_b)) * (100 - p.percent)
+
+
 def _agree(least: float, a: str, b: str):
     """Share of the bins filled in either outline that hold the same in both, held against ``least``."""
     word = lambda c, plane, i: F.get(F.col(c), F.lit(plane * WORDS + i))
@@ -227,7 +248,7 @@ def verified(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     return both.filter(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * p.percent).select("a", "b")
 
 
-def differing(close: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+def differing(close: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     """Candidate pairs (node_a, node) among nodes that are close to one leader, of different components.
 
     ``close``: a (the leader), b (a node), component.  D(x) is the set of shingles that are in one of x
@@ -236,7 +257,8 @@ def differing(close: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     are linked with L are of one component, so one of a pair, y, is not: then the two share at least
     t = (|D(x)| - r (|x| - |L|)) / 2 > 0 shingles of D if x is linked with L, and
     t = (|D(x)| - r (|x| - |L|)) / 2, likewise, if neither is.  So in any one order of shingles the first
-    |D(x)| - t + 1 of one hold a shared one; the rarest come first.  Exact, as no link is lost.
+    |D(x)| - t + 1 of one hold a shared one; the rarest come first.  Exact, as no link is lost.  Parities
+    are compared inside the join, so that it gives few pairs that are not linked.
     """
     r = (100 - p.percent) / (100 + p.percent)
     sets = with_sets(close, docs, p).withColumn("d", F.concat(F.array_except("x", "y"), F.array_except("y", "x")))
@@ -247,10 +269,11 @@ def differing(close: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     tokens = cut(sized.select("a", "b", "component", "n", "free", "prefix", F.explode("d").alias("token")))
     common = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("times", F.lit(1)), "token"))
-    ranked = tokens.join(common, ["a", "token"], "left").withColumn("early", rank <= F.col("prefix")).filter("times > 1")
-    left = ranked.filter("free").select("a", "token", F.col("b").alias("node_a"), F.col("n").alias("small"), F.col("component").alias("component_a"), F.col("early").alias("early_a"))
-    right = ranked.filter("early").select("a", "token", F.col("b").alias("node"), "n", "component", "free")
-    met = left.join(right, ["a", "token"]).filter("component <> component_a and (not free or (early_a and node > node_a))").filter(_may_link(p, "n", "small"))
+    ranked = tokens.join(common, ["a", "token"], "left").withColumn("early", rank <= F.col("prefix")).filter("times > 1 and (free or early)")
+    ranked = ranked.join(nodes.select(F.col("node").alias("b"), "parity"), "b")
+    left = ranked.filter("free").select("a", "token", F.col("b").alias("node_a"), F.col("n").alias("small"), F.col("component").alias("component_a"), F.col("early").alias("early_a"), F.col("parity").alias("parity_a"))
+    right = ranked.filter("early").select("a", "token", F.col("b").alias("node"), "n", "component", "free", "parity")
+    met = left.join(right, ["a", "token"]).filter("component <> component_a and (not free or (early_a and node > node_a))").filter(_may_link(p, "n", "small") & _in_reach(p, "n", "small", "parity", "parity_a"))
     return met.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
 
 
@@ -258,20 +281,21 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     signed = cut(signatures(docs, p))
     filled = signed.filter("n_shingles > 0")
-    sets = filled.groupBy("set_key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(name) for c, name in (("n_shingles", "n"), ("sketch", "sketch"), ("outline", "outline"))))
+    sets = filled.groupBy("set_key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(name) for c, name in (("n_shingles", "n"), ("sketch", "sketch"), ("outline", "outline"), ("parity", "parity"))))
     sets = cut(sets)
-    nodes = sets.groupBy("node").agg(F.min(F.struct("set_key", "n", "sketch", "outline")).alias("s")).select("node", "s.n", "s.sketch", "s.outline")
-    outlines = lambda id_, name: nodes.select(F.col("node").alias(id_), F.col("outline").alias(name))
-    outlined = lambda pairs: pairs.join(outlines("a", "o_a"), "a").join(outlines("b", "o_b"), "b")
+    nodes = sets.groupBy("node").agg(F.min(F.struct("set_key", "n", "sketch", "outline", "parity")).alias("s")).select("node", "s.n", "s.sketch", "s.outline", "s.parity")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("outline").alias(f"o_{x}"), F.col("parity").alias(f"p_{x}"))
+    outlined = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b")
+    likely = _may_link(p, "n_a", "n_b") & _agree(p.agree, "o_a", "o_b") & _in_reach(p, "n_a", "n_b", "p_a", "p_b")
 
     keys = table_keys(nodes, p)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     crowded = cut(keys.join(sizes, "key"))  # the rows of keys with several nodes
     weights = crowded.groupBy("node").agg(F.sum("size").alias("weight"))
-    leaders = crowded.join(weights, "node").groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("n_a")), F.struct("weight", -F.col("node"))).alias("l"))
-    led = cut(crowded.drop("size").join(leaders.select("key", "l.*"), "key"))
-    stars = outlined(led.filter("a <> node").select("a", F.col("node").alias("b"), "n", "n_a").distinct()).filter(_agree(p.close, "o_a", "o_b"))
-    stars = cut(stars.select("a", "b", (_may_link(p, "n", "n_a") & _agree(p.agree, "o_a", "o_b")).alias("likely")))
+    leaders = crowded.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("a"))
+    led = cut(crowded.drop("size").join(leaders, "key"))
+    stars = outlined(led.filter("a <> node").select("a", F.col("node").alias("b")).distinct()).filter(_agree(p.close, "o_a", "o_b"))
+    stars = cut(stars.select("a", "b", likely.alias("likely")))
     tried = stars.filter("likely").select("a", "b")
     links = cut(verified(tried, docs, p))
 
@@ -283,15 +307,15 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     split = placed.join(main, "key").drop("parts").join(near, ["a", "node"], "left")
     split = cut(split.withColumn("near", F.coalesce("near", F.col("node") == F.col("a"))))
     around = cut(split.filter("near and node <> a").select("a", F.col("node").alias("b"), "component").distinct())
-    pairs = outlined(differing(around, docs, p)).filter(_agree(p.agree, "o_a", "o_b")).select("a", "b")
+    pairs = outlined(differing(around, nodes, docs, p)).filter(likely).select("a", "b")
 
     bands = F.array(*(F.hash(_band(p, c, i)) for c in range(2) for i in range(p.tables)))
     mixed = split.groupBy("key").agg(F.bool_and("near").alias("near")).filter("not near").select("key")  # keys that hold far nodes
-    members = split.join(mixed, "key", "left_semi").join(nodes.select("node", "outline", bands.alias("bands")), "node")
-    rest = members.filter("component <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "outline", "bands", "near")))
+    members = split.join(mixed, "key", "left_semi").join(nodes.select("node", "outline", "parity", bands.alias("bands")), "node")
+    rest = members.filter("component <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "outline", "parity", "bands", "near")))
     one_far = rest.filter("not near_a").join(members, "key").filter("component <> component_a and (component = main or near or node > node_a)")
     main_far = rest.filter("near_a").join(members.filter("not near and component = main"), "key").filter("component <> component_a")
-    crossing = one_far.unionByName(main_far).filter(_may_link(p, "n", "n_a")).filter(_agree(p.agree, "outline", "outline_a")).filter(_first_shared(p, "key", "bands", "bands_a"))
+    crossing = one_far.unionByName(main_far).filter(_may_link(p, "n", "n_a") & _in_reach(p, "n", "n_a", "parity", "parity_a")).filter(_agree(p.agree, "outline", "outline_a")).filter(_first_shared(p, "key", "bands", "bands_a"))
     crossing = crossing.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b"))
     ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(pairs.unionByName(crossing).distinct().join(ordered, ["a", "b"], "left_anti"))
