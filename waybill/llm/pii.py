@@ -1,14 +1,19 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction, in DataFrame functions only.
 
 The fixed patterns give the base spans.  They are also the seeds of the second part: identifier-like
-words (five digits or more, or an at sign) are instances; the word before or after an instance,
-with the instance's shape, is a lexical pattern.  Patterns and instances form a bipartite graph.
-Rounds of scoring go over it: a pattern's confidence is the mean score of its distinct instances, an
-instance's score is that one of its trusted patterns is right.  Instances that no fixed pattern
+words (five digits or more, or an at sign) are instances; one or two words before or after an
+instance, or a word with a gap of one, with the instance's shape, are lexical patterns (two words also
+without the shape).  Only patterns that seeds of several documents bear out, and whose words seldom
+stand elsewhere in the corpus, are tried: words such as "the" say nothing, whatever stands beside
+them.  Patterns and instances form a bipartite graph, over which scores go in rounds until they stand
+still: a pattern's confidence is the share of its distinct instances that are seeds or found so far,
+an instance's score is that one of its trusted patterns is right.  Instances that no fixed pattern
 knows and that trusted patterns agree on are added as spans of kind ``found``.
 
-Edge cases: null and empty texts have no spans; spans that start together are listed by kind;
-repeated rows each give a row; an empty table gives an empty table.  Positions are code points.
+Edge cases: null and empty texts have no spans; spans that start together are listed by kind; very
+long texts are searched whole; repeated rows each give a row, and count as one document and one
+instance for a pattern; an empty table gives an empty table; extra columns, whatever their names, are
+not read, and redact() hands them on.  Positions are code points.
 """
 
 from __future__ import annotations
@@ -35,13 +40,16 @@ IDENTIFIER = r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){5}|[^\s@]*+@)\S++"
 
 @dataclass(frozen=True)
 class PiiParams:
-    """``seeds``: distinct seed instances that a trusted pattern needs; ``trust``: its least confidence;
-    ``accept``: least score of an instance that is added."""
+    """``seeds``, ``documents``: distinct seed instances and texts with one that a trusted pattern needs;
+    ``trust``: its least confidence; ``special``: least share of its words' occurrences in the corpus that
+    stand at an instance; ``accept``: least score of an instance that is added; ``rounds``: most rounds."""
 
-    rounds: int = 2
+    rounds: int = 12
     seeds: int = 5
-    trust: float = 0.9
-    accept: float = 0.9
+    documents: int = 3
+    trust: float = 0.5
+    special: float = 0.2
+    accept: float = 0.5
 
 
 def _digits(match: Column) -> Column:
@@ -103,7 +111,7 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column, base: Column) -> Column:
-    """Identifier-like words: start, stop, core (no outer punctuation), shape, word before, word after, rank of a base span they touch."""
+    """Identifier-like words: start, stop, core (no outer punctuation), shape, two words before and after, rank of a base span they touch."""
     words = _matches(text, IDENTIFIER, lambda m: F.lit(True), after=True)
     core = lambda m: F.regexp_extract(m, r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)
     placed = F.transform(words, lambda x: F.struct(core(x["m"]).alias("core"), (x["start"] + F.length(F.regexp_extract(x["m"], r"^[^\p{L}\p{N}]*", 0))).alias("start"), x["before"].alias("before"), x["after"].alias("after")))
@@ -119,30 +127,67 @@ def instances(text: Column, base: Column) -> Column:
             x["core"].alias("core"),
             shape(x["core"]).alias("shape"),
             clean(F.regexp_extract(x["before"], r"(\S+)\s*$", 1)).alias("left"),
+            clean(F.regexp_extract(x["before"], r"(\S+)\s+\S+\s*$", 1)).alias("left2"),
             clean(F.regexp_extract(x["after"], r"^\s*(\S+)", 1)).alias("right"),
+            clean(F.regexp_extract(x["after"], r"^\s*\S+\s+(\S+)", 1)).alias("right2"),
             F.array_max(F.transform(F.filter(base, lambda b: (b["start"] < x["start"] + F.length(x["core"])) & (b["stop"] > x["start"])), lambda b: b["rank"])).alias("seed"),
         ),
     )
-    return F.when(text.rlike("[0-9@]"), F.filter(full, lambda x: x["core"] != "")).otherwise(F.array().cast("array<struct<start:int,stop:int,core:string,shape:string,left:string,right:string,seed:int>>"))
+    return F.when(text.rlike("[0-9@]"), F.filter(full, lambda x: x["core"] != "")).otherwise(F.array().cast("array<struct<start:int,stop:int,core:string,shape:string,left:string,left2:string,right:string,right2:string,seed:int>>"))
 
 
-def discover(mentions: DataFrame, p: PiiParams) -> DataFrame:
+def patterns_of(mentions: DataFrame) -> DataFrame:
+    """(pattern, phrase, core, text_key, seed): the lexical patterns of each mention."""
+    both = lambda a, b: F.when((F.col(a) != "") & (F.col(b) != ""), F.concat_ws(" ", a, b)).otherwise("")
+    made = []
+    for side, near, far, two in (("l", "left", "left2", both("left2", "left")), ("r", "right", "right2", both("right", "right2"))):
+        made += [(side, F.col("shape"), F.col(near)), (side + "_", F.col("shape"), F.col(far)), (side * 2, F.col("shape"), two), (side * 2, F.lit("*"), two)]
+    rows = F.explode(F.array(*(F.struct(F.concat_ws(" ", F.lit(kind), shape, phrase).alias("pattern"), phrase.alias("phrase")) for kind, shape, phrase in made))).alias("p")
+    return mentions.select("core", "text_key", "seed", rows).select("p.*", "core", "text_key", "seed").filter("phrase <> ''")
+
+
+def phrase_counts(texts: Column, rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, times): how often each of ``phrases`` (one or two words) stands in the whole corpus."""
+    words = F.split(F.trim(F.lower(F.regexp_replace(texts, r"[^\p{L}\p{N}=:#\s]+", ""))), r"\s+")
+    rows = rows.select(words.alias("w"))
+    pairs = F.zip_with("w", F.slice("w", 2, (1 << 31) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    each = rows.select(F.explode(F.concat("w", pairs)).alias("phrase"))
+    return each.join(phrases, "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("times"))
+
+
+def discover(mentions: DataFrame, texts: DataFrame, p: PiiParams) -> DataFrame:
     """Distinct cores that are no seeds and that trusted patterns agree on.
 
-    ``mentions``: core, shape, left, right, seed.  Equal (pattern, instance) pairs fold before any
-    join, so copies of a text weigh nothing and no join meets a hot pattern's mentions.
+    ``mentions``: core, shape, left, left2, right, right2, text_key, seed; ``texts``: text.  Equal
+    (pattern, instance) pairs fold before any join, so copies of a text weigh nothing and no join
+    meets a hot pattern's mentions.
     """
-    side = lambda name: mentions.filter(F.col(name) != "").select(F.concat_ws(" ", F.lit(name), "shape", name).alias("pattern"), "core", "seed")
-    edges = side("left").unionByName(side("right")).groupBy("pattern", "core").agg(F.max(F.col("seed").isNotNull().cast("double")).alias("seed"))
-    edges = cut(edges)
-    known = edges.groupBy("core").agg(F.max("seed").alias("score"))
+    each = patterns_of(mentions)
+    seeded = each.filter("seed IS NOT NULL")
+    borne = seeded.groupBy("pattern").agg(F.count_distinct("core").alias("seeds"), F.count_distinct("text_key").alias("documents"))
+    borne = cut(borne.filter((F.col("seeds") >= p.seeds) & (F.col("documents") >= p.documents)).select("pattern"))
+    none = mentions.select("core").limit(0)
+    if borne.isEmpty():
+        return none
+    met = each.join(borne, "pattern").groupBy("pattern", "phrase", "core").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("seed").isNotNull().cast("int")).alias("seed"))
+    met = cut(met)
+    # of a phrase's patterns the one met most often counts, so a mention is never counted twice
+    beside = met.groupBy("phrase", "pattern").agg(F.sum("times").alias("here")).groupBy("phrase").agg(F.max("here").alias("here"))
+    special = beside.join(phrase_counts(F.col("text"), texts, beside.select("phrase")), "phrase").filter(F.col("here") >= F.col("times") * p.special)
+    edges = cut(met.join(special.select("phrase"), "phrase").select("pattern", "core", F.col("seed").cast("double").alias("seed")))
+    known, mark = edges.groupBy("core").agg(F.max("seed").alias("score"), F.max("seed").alias("seed")), None
     for _ in range(p.rounds):
-        scored = edges.join(known.select("core", "score"), "core")
-        patterns = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("seed").alias("seeds"))
-        trusted = patterns.filter((F.col("confidence") >= p.trust) & (F.col("seeds") >= p.seeds))
+        known = cut(known)
+        row = known.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("core", F.round("score", 6)))).first()
+        if row[0] == 0 or tuple(row) == mark:
+            break
+        mark = tuple(row)
+        right = (F.col("score") >= p.accept).cast("double")
+        patterns = edges.join(known.select("core", "score"), "core").groupBy("pattern").agg(F.avg(right).alias("confidence"))
+        trusted = patterns.filter(F.col("confidence") >= p.trust)
         doubt = edges.join(trusted, "pattern").groupBy("core").agg(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))).alias("doubt"))
         seeds = edges.groupBy("core").agg(F.max("seed").alias("seed"))
-        known = cut(seeds.join(doubt, "core", "left").select("core", F.when(F.col("seed") > 0, 1.0).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("score"), "seed"))
+        known = seeds.join(doubt, "core", "left").select("core", F.when(F.col("seed") > 0, 1.0).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("score"), "seed")
     return known.filter((F.col("seed") == 0) & (F.col("score") >= p.accept)).select("core")
 
 
@@ -151,8 +196,8 @@ def find_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     rows = cut(rows.select("row", "doc_id", "text_key", "base", instances(F.col("text"), F.col("base")).alias("words")))
-    mentions = rows.select("row", F.explode("words").alias("w")).select("row", "w.*")
-    fresh = discover(mentions.select("core", "shape", "left", "right", "seed"), p)
+    mentions = rows.select("row", "text_key", F.explode("words").alias("w")).select("row", "text_key", "w.*")
+    fresh = discover(mentions, docs.select(text.alias("text")), p)
     added = mentions.filter("seed is null").join(fresh, "core").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "stop"))).alias("added"))
     return rows.drop("words").join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast(SPANS)))
 
@@ -178,10 +223,13 @@ def redact(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     A null text stays null.
     """
     text = F.col("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the caller's columns under names of no meaning, until the end
+    own = dict(zip(docs.columns, names, strict=True))
+    rest = [F.col(own[c]) for c in docs.columns if c not in ("text", "n_chars")]
     added = find_spans(docs, p).filter(F.size("added") > 0).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("added").alias("added_"))
-    keyed = docs.withColumn("text_key_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key_") == F.col("key_"))
-    rows = keyed.join(added.dropDuplicates(["id_", "key_"]), same, "left").select(*docs.columns, "added_")
+    keyed = docs.toDF(*names)
+    same = F.col(own["doc_id"]).eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(own["text"], F.lit(""))) == F.col("key_"))
+    rows = keyed.join(added.dropDuplicates(["id_", "key_"]), same, "left").select(*rest, F.col(own["text"]).alias("text"), "added_")
     rows = rows.withColumn("base_", base_spans(F.coalesce("text", F.lit(""))))
     rows = rows.withColumn("spans_", F.sort_array(F.concat("base_", F.coalesce("added_", F.array().cast(SPANS))))).drop("base_", "added_")
     blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -193,5 +241,5 @@ def redact(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     new = F.when(F.size("spans_") > 0, F.concat(F.array_join("done_.out", ""), F.substring(text, F.col("done_.at") + 1, F.length(text)))).otherwise(text)
     rows = rows.withColumn("text", new)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn(own["n_chars"], F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*(F.col("text" if c == "text" else own[c]).alias(c) for c in docs.columns))
