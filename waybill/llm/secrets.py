@@ -1,15 +1,20 @@
 """Secret scan: fixed patterns, and a battery of randomness tests over token-like runs.
 
-Each run of 16 or more token characters with digits and letters is a candidate.  Its encoding is
+Each run of 12 or more token characters with digits and letters is a candidate, whether or not a fixed
+pattern touches it; padding may follow, and groups of four or more characters that dashes or
+underscores join, most of them with digits, are judged without these.  A candidate's encoding is
 inferred as the smallest known alphabet that holds it.  Three tests ask how likely ordinary text
 (letters at natural rates, few changes between letters and digits, correlated neighbours) would
 look this random at this length: chi-squared uniformity over the alphabet, the number of runs of
 character classes, and lag-one serial correlation.  Fisher's method joins the three p-values; they
 are weighted by length and held to a false-discovery rate over all candidates of the table
 (Benjamini-Hochberg on a fixed-width histogram of log p, so the driver sees bins, never candidates).
+What it accepts are spans of kind ``random``, beside the base spans even where they overlap.
 
-Edge cases: null or empty text has no spans; ties in start are listed by kind; repeated rows each
-give a row; an empty table gives an empty table; texts are scanned whole.
+Edge cases: null or empty text has no spans; ties in start are listed by kind; very long texts are
+scanned whole, in time linear in their length; repeated rows each give a row, and each weighs in the
+false-discovery rate; an empty table gives an empty table; extra columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -34,7 +39,9 @@ ASSIGN = re.compile(rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 #: A maximal run, as a greedy leftmost search finds it, is 16 long or it fails.
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: The least length that is tested, and what a group of a joined token needs.
+LEAST, GROUP = 12, 4
 
 #: Alphabets from small to large; the first that holds a candidate is its encoding.
 ALPHABETS = (
@@ -92,11 +99,19 @@ def _upper_binomial(n: int, k: int, rate: float) -> float:
     return min(1.0, sum(math.comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k, n + 1)))
 
 
+def without_joints(token: str) -> str:
+    """The token without the dashes or underscores that join its groups, if there are three groups and most have digits."""
+    groups = re.split("[-_]", token)
+    if len(groups) >= 3 and min(map(len, groups)) >= GROUP and 2 * sum(any(map(str.isdigit, g)) for g in groups) > len(groups):
+        return "".join(groups)
+    return token
+
+
 def battery(token: str) -> tuple[str, float] | None:
     """Encoding and joint p-value against the hypothesis of ordinary text; None where no test applies."""
-    token = token.rstrip("=")
+    token = without_joints(token.rstrip("="))
     n, found = len(token), infer_encoding(token)
-    if found is None or n < 16:
+    if found is None or n < LEAST:
         return None
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in token]
     if "d" not in kinds or not ({"u", "l"} & set(kinds)):
@@ -131,11 +146,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def candidates(text: str, base: list[tuple[str, int, int]], p: SecretParams) -> list[tuple[int, int, float]]:
-    """start, end and weighted -log10 p of the runs that touch no base span and to which the battery applies."""
+def candidates(text: str, p: SecretParams) -> list[tuple[int, int, float]]:
+    """start, end and weighted -log10 p of the runs to which the battery applies."""
     found = []
     for m in CANDIDATE.finditer(text):
-        if not m[0].isalpha() and all(m.end() <= s or e <= m.start() for _, s, e in base) and (got := battery(m[0])):
+        if not m[0].isalpha() and (got := battery(m[0])):
             weight = min(1.0, len(m[0]) / p.full_length)
             found.append((m.start(), m.end(), min(29.99, max(0.0, -math.log10(max(got[1], 1e-300)) + math.log10(weight)))))
     return found
@@ -163,7 +178,7 @@ def scan(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
     def make():
         def work(doc_id, text):
             base = [base_spans(t or "") for t in text]
-            tried = [candidates(t or "", b, p) for t, b in zip(text, base, strict=True)]
+            tried = [candidates(t or "", p) for t in text]
             order = [sorted(b, key=lambda s: (s[1], KINDS.index(s[0]))) for b in base]
             return {
                 "doc_id": doc_id,
