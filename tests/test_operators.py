@@ -131,4 +131,4 @@ def test_plans(spark):
     from waybill.operators.asof import as_of
 
     probe = f.select("vehicle_id", "event_ts")
-    assert "CartesianProduct" not in plan(as_of(probe, spark.createDataFrame([], SIG), "vehicle_id", "event_ts", "r"))
+    assert "CartesianProduct" not in plan(as_of(probe, spark.createDataFrame([], SIG), "vehicle_id", ["event_ts"], ["r"]))

@@ -1,44 +1,138 @@
-"""The stream against the batch functions: any order, repeats, and a batch that runs twice."""
+"""The stream against the batch functions: any order, repeats, late fixes, a batch that runs twice, and retention."""
 
 import datetime as dt
 import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from waybill import schemas
 from waybill.operators import geofence as G
+from waybill.operators import ingest as I
+from waybill.operators import retention as R
+from waybill.operators import trips as T
 from waybill.sources.readers import packet_fixes, packet_signals, read_packets, stream_packets
-from waybill.streaming.pipeline import FIXES, SIGNALS, TRANSITIONS, FleetStream
-from waybill.streaming.store import SnapshotStore
+from waybill.streaming.pipeline import FleetStream, open_store
 
+# Distances in metres of a track, one a minute, and the crossings expected of it.
 TRACK = [2000, 2000, 1400, 960, 900, 1010, 990, 1005, 300, 250, 1400, 2200, 2600]
+EXPECTED = ["ENTRY", "EXIT"]
+LATE_AT, LATE_M, EXPECTED_LATE = 6.5, 1400, ["ENTRY", "EXIT", "ENTRY", "EXIT"]
+START = dt.datetime(2024, 1, 1)
+ROSTER = "vehicle_id string, reg_no string, model string"
 
 
-def packets():
-    out = []
-    for i, d in enumerate(TRACK):
-        ts = (dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)).isoformat()
-        out.append({"vehicle_id": "v1", "event_ts": ts, "signals": {"soc": 30.0 - 2 * i, "odometer": 100.0 + i}, "location": {"lat": 12.97 + d / 111320, "lon": 77.6, "accuracy_m": 5.0}})
-    return out
+def packet(vehicle, minute, d, i):
+    ts = (START + dt.timedelta(minutes=minute)).isoformat()
+    return {"vehicle_id": vehicle, "event_ts": ts, "signals": {"soc": 30.0 - 2 * i, "odometer": 100.0 + i}, "location": {"lat": 12.97 + d / 111320, "lon": 77.6, "accuracy_m": 5.0}}
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = packets()
-    feed = [rows[:5], rows[3:8] + rows[:1], rows[9:], rows[8:9], rows[12:]]  # repeats, and a late packet in a batch of its own
-    (tmp_path / "in").mkdir()
-    roster = spark.createDataFrame([("v1", "R1", "x")], "vehicle_id string, reg_no string, model string")
+def packets(*vehicles):
+    return [packet(v, i, d, i) for i, d in enumerate(TRACK) for v in vehicles]
+
+
+@pytest.fixture
+def world(spark, tmp_path):
+    roster = spark.createDataFrame([("v1", "R1", "x"), ("v2", "R2", "x")], ROSTER)
     fences = spark.createDataFrame([("f0", "F0", 12.97, 77.6, 1000.0, dt.datetime(2000, 1, 1), None, dt.datetime(2000, 1, 1))], schemas.FENCE)
-    stream = FleetStream(SnapshotStore(spark, str(tmp_path / "state")), roster, fences)
-    for i, part in enumerate(feed):
-        (tmp_path / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, part)))
-        stream.start(stream_packets(spark, str(tmp_path / "in"), 1), str(tmp_path / "check")).awaitTermination()
-    read = read_packets(spark, str(tmp_path / "in"))
-    store = stream.store
-    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    (tmp_path / "in").mkdir()
+
+    def feed(stream, parts, done=0):
+        for i, part in enumerate(parts, done):
+            (tmp_path / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, part)))
+            stream.start(stream_packets(spark, str(tmp_path / "in"), 1), str(tmp_path / "check")).awaitTermination()
+
+    new = lambda name="state": FleetStream(open_store(spark, str(tmp_path / name), buckets=4), roster, fences, "2024-01-01 00:12:00")
+    return new, feed, roster, fences, str(tmp_path / "in")
+
+
+def rows(df):
+    return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+
+
+def state_of(stream):
+    s = stream.store
+    return {t: rows(s.log(t)) for t in ("signal_reading", "location_fix")} | {t: rows(s.read(t)) for t in ("latest", "watermark", "transition", "containment", "alert", "trip")}
+
+
+def test_any_order_gives_the_batch_state(spark, world):
+    """Log, fixes, latest, watermark, crossings, containment and trips equal the batch functions' for shuffled, repeated packets."""
+    new, feed, roster, fences, folder = world
+    sent = packets("v1", "v2")
+    rng = random.Random(4)
+    mixed = sent[::-1] + sent[::3]
+    rng.shuffle(mixed)
+    stream = new()
+    feed(stream, [mixed[i : i + 12] for i in range(0, len(mixed), 12)])
+    read = read_packets(spark, folder)
     signals, fixes = packet_signals(read).distinct(), packet_fixes(read).distinct()
-    assert same(store.log("signal_reading", SIGNALS), signals)
-    assert same(store.log("location_fix", FIXES), fixes)
     votes = G.derive(fixes, fences, G.full_scope(roster))
-    assert same(store.read("transition", TRANSITIONS).select("kind", "event_ts"), G.transitions(votes).select("kind", "event_ts"))
-    before = store.read("transition", TRANSITIONS).collect()
-    stream.apply(read_packets(spark, str(tmp_path / "in" / "4.json")), 4)  # the last batch again
-    assert sorted(before) == sorted(store.read("transition", TRANSITIONS).collect())
-    assert same(store.log("signal_reading", SIGNALS), signals)
+    crossings, inside = G.transitions(votes), G.containment(votes)
+    none = spark.createDataFrame([], "vehicle_id string, processed_through timestamp_ntz")
+    got = state_of(stream)
+    assert got["signal_reading"] == rows(signals) and got["location_fix"] == rows(fixes)
+    assert got["latest"] == rows(I.newest(signals)) and got["watermark"] == rows(I.advance_watermark(none, signals, fixes))
+    assert got["transition"] == rows(crossings) and got["containment"] == rows(inside)
+    assert got["trip"] == rows(T.derive(crossings, inside, fences, signals, G.full_scope(roster)))
+    receipt = stream.store.log("receipt").agg(*(F.sum(c).alias(c) for c in ("packets", "offered", "applied", "duplicates", "late"))).first()
+    assert (receipt.packets, receipt.applied) == (len(mixed), 3 * len(sent)) and receipt.offered - receipt.applied == receipt.duplicates > 0 and receipt.late > 0
+
+
+def test_fix_by_fix_and_late_fix(spark, world):
+    """One fix a batch equals a whole replay; a late fix replays its vehicle; a batch that runs again changes nothing."""
+    new, feed, roster, fences, folder = world
+    stream = new()
+    sent = packets("v1")
+    feed(stream, [[p] for p in sent])
+    kinds = lambda: [r.kind for r in stream.store.read("transition").orderBy("event_ts").collect()]
+    assert kinds() == EXPECTED
+    votes = G.derive(stream.store.log("location_fix"), fences, G.full_scope(roster))
+    assert rows(stream.store.read("containment")) == rows(G.containment(votes)) and rows(stream.store.read("transition")) == rows(G.transitions(votes))
+    before = state_of(stream)
+    stream.apply(read_packets(spark, f"{folder}/{len(sent) - 1}.json"), len(sent) - 1)
+    assert state_of(stream) == before
+    feed(stream, [[packet("v1", LATE_AT, LATE_M, 6)]], len(sent))
+    assert kinds() == EXPECTED_LATE
+
+
+def test_a_batch_that_fails_half_way_is_made_good(spark, world, monkeypatch):
+    new, _, _, _, folder = world
+    whole, broken = new("whole"), new("broken")
+    sent = packets("v1", "v2")
+    parts = [spark.read.schema(schemas.PACKET).json(spark.sparkContext.parallelize(list(map(json.dumps, p)))) for p in (sent[:12], sent[12:])]
+    for i, p in enumerate(parts):
+        whole.apply(p, i)
+    broken.apply(parts[0], 0)
+    replace = broken.store.replace
+
+    def failing(table, df, touched):
+        if table == "trip":
+            raise RuntimeError("lost")
+        replace(table, df, touched)
+
+    monkeypatch.setattr(broken.store, "replace", failing)
+    with pytest.raises(RuntimeError):
+        broken.apply(parts[1], 1)
+    monkeypatch.undo()
+    broken.apply(parts[1], 1)
+    assert state_of(broken) == state_of(whole)
+
+
+def test_retention_in_the_stream(spark, world):
+    """Roll-ups and what is left tell the same history as the log did; a second run of the same number changes nothing."""
+    new, feed, *_ = world
+    stream = new()
+    feed(stream, [packets("v1", "v2")])
+    log = stream.store.log("signal_reading")
+    empty = R.roll_up(log, F.expr("TIMESTAMP_NTZ'2000-01-01 00:00:00'"))
+    expected = rows(R.stitched(log, empty))
+    horizon = F.expr("TIMESTAMP_NTZ'2024-01-01 00:10:00'")
+    for _ in range(2):
+        stream.compact(horizon, 1)
+        assert rows(stream.history()) == expected
+        assert stream.store.log("signal_reading").count() < 52 and stream.store.log("location_fix").filter(F.col("event_ts") < horizon).count() == 0
+    feed(stream, [[packet("v1", 1.5, 2000, 1), packet("v1", 1.7, 2000, 1)]], 1)
+    assert stream.history().agg(F.sum("readings")).first()[0] == 52 + 4
+    stream.compact(horizon, 2)
+    assert stream.history().agg(F.sum("readings")).first()[0] == 52 + 4

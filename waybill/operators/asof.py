@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def as_of(probes: DataFrame, readings: DataFrame, key: str, at: str, into: str) -> DataFrame:
-    """``probes`` with ``into``: struct (event_ts, value) of the key's last reading at or before ``at``, or null.
+def as_of(probes: DataFrame, readings: DataFrame, key: str, at: list[str], into: list[str]) -> DataFrame:
+    """``probes`` with a struct (event_ts, value) for each column of ``at``: the key's last reading at or before it, or null.
 
-    ``readings``: key, event_ts, value.  At one instant the reading counts.  A null ``at`` means the newest reading.
+    ``readings``: key, event_ts, value.  At one instant the reading counts.  A null probe means the newest
+    reading.  All probes of a row go through the same union, so any number of columns costs one shuffle.
+    Equal probe rows are one.
     """
     far = F.expr("TIMESTAMP_NTZ'9999-12-31 00:00:00'")
-    left = probes.withColumn("t_", F.coalesce(F.col(at), far)).withColumn("probe_", F.lit(1))
-    right = readings.select(key, F.col("event_ts").alias("t_"), F.struct("event_ts", "value").alias("r_"), F.lit(0).alias("probe_"))
-    w = Window.partitionBy(key).orderBy("t_", "probe_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn(into, F.last("r_", ignorenulls=True).over(w))
-    return both.filter("probe_ = 1").drop("t_", "r_", "probe_")
+    each = F.explode(F.array(*(F.struct(F.coalesce(F.col(c), far).alias("t"), F.lit(i).alias("which")) for i, c in enumerate(at)))).alias("e_")
+    left = probes.select(F.col(key).alias("key_"), F.struct(*probes.columns).alias("probe_"), each).select("key_", "probe_", F.col("e_.t").alias("t_"), F.col("e_.which").alias("which_"))
+    right = readings.select(F.col(key).alias("key_"), F.col("event_ts").alias("t_"), F.struct("event_ts", "value").alias("r_"), F.lit(-1).alias("which_"))
+    w = Window.partitionBy("key_").orderBy("t_", "which_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("r_", F.last("r_", ignorenulls=True).over(w)).filter("which_ >= 0")
+    found = both.groupBy("key_", "probe_").agg(*(F.max(F.when(F.col("which_") == i, F.col("r_"))).alias(name) for i, name in enumerate(into)))
+    return found.select("probe_.*", *into)

@@ -31,8 +31,8 @@ def dedupe(batch: DataFrame) -> DataFrame:
 
 def append_absent(batch: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key the log lacks; the log is read only for the batch's own span of time, so old partitions are pruned."""
-    lo, hi = batch.agg(F.min("event_ts"), F.max("event_ts")).first()
-    near = log if lo is None else log.filter(F.col("event_ts").between(F.lit(lo), F.lit(hi)))
+    edge = lambda pick: batch.agg(pick("event_ts")).scalar()
+    near = log.filter((F.col("event_ts") >= edge(F.min)) & (F.col("event_ts") <= edge(F.max)))
     return batch.join(near.select(*key), key, "left_anti").select(*batch.columns)
 
 
@@ -60,13 +60,28 @@ def advance_watermark(watermark: DataFrame, signals: DataFrame, fixes: DataFrame
     return every.groupBy("vehicle_id").agg(F.max("processed_through").alias("processed_through"))
 
 
-def receipts(batches: DataFrame, log: DataFrame, roster: DataFrame, spec: DataFrame) -> DataFrame:
-    """One row a batch (batch_id): packets, orphans, offered, applied, duplicates.  A key counts as applied in its first batch."""
+POSITION = ["vehicle_id", "event_ts"]
+
+
+def receipts(batches: DataFrame, log: DataFrame, roster: DataFrame, spec: DataFrame, fixes: DataFrame, fix_log: DataFrame, watermark: DataFrame) -> DataFrame:
+    """One row a batch (batch_id): packets, orphans, offered, applied, late, duplicates.
+
+    ``batches`` are signal rows and ``fixes`` position rows, both with batch_id.  Offered and applied
+    count keys of both; a key counts as applied in its first batch.  Late counts vehicles whose first
+    report in the batch is older than their watermark.
+    """
     known = batches.join(roster.select("vehicle_id", F.lit(1).alias("v_")), "vehicle_id", "left").join(spec.select("signal", F.lit(1).alias("s_")), "signal", "left")
     known = known.withColumn("kept_", F.col("v_").isNotNull() & F.col("s_").isNotNull())
     counts = known.groupBy("batch_id").agg(F.count(F.lit(1)).alias("packets"), F.count_if(~F.col("kept_")).alias("orphans"))
-    offered = known.filter("kept_").groupBy("batch_id", *KEY).agg(F.count(F.lit(1)).alias("copies"))
-    fresh = append_absent(offered.groupBy(*KEY).agg(F.min("batch_id").alias("batch_id")), log, KEY).groupBy("batch_id").agg(F.count(F.lit(1)).alias("applied"))
-    keys = offered.groupBy("batch_id").agg(F.count(F.lit(1)).alias("offered"))
-    out = counts.join(keys, "batch_id", "left").join(fresh, "batch_id", "left").fillna(0, ["offered", "applied"])
-    return out.withColumn("duplicates", F.col("offered") - F.col("applied"))
+    clean, placed = known.filter("kept_"), fixes.join(roster.select("vehicle_id"), "vehicle_id", "left_semi")
+    offers = [(clean.groupBy("batch_id", *KEY), log, KEY), (placed.groupBy("batch_id", *POSITION), fix_log, POSITION)]
+    tallies = []
+    for rows, kept, key in offers:
+        keys = rows.agg(F.count(F.lit(1)).alias("copies"))
+        fresh = append_absent(keys.groupBy(*key).agg(F.min("batch_id").alias("batch_id")), kept, key)
+        tallies += [keys.select("batch_id", F.lit(1).alias("o"), F.lit(0).alias("a")), fresh.select("batch_id", F.lit(0).alias("o"), F.lit(1).alias("a"))]
+    both = tallies[0].unionByName(tallies[1]).unionByName(tallies[2]).unionByName(tallies[3]).groupBy("batch_id").agg(F.sum("o").alias("offered"), F.sum("a").alias("applied"))
+    seen = clean.select("batch_id", "vehicle_id", "event_ts").unionByName(placed.select("batch_id", "vehicle_id", "event_ts"))
+    late = seen.groupBy("batch_id", "vehicle_id").agg(F.min("event_ts").alias("first_ts")).join(watermark, "vehicle_id").filter("first_ts < processed_through").groupBy("batch_id").agg(F.count(F.lit(1)).alias("late"))
+    out = counts.join(both, "batch_id", "left").join(late, "batch_id", "left").fillna(0, ["offered", "applied", "late"])
+    return out.select("batch_id", "packets", "orphans", "offered", "applied", "late", (F.col("offered") - F.col("applied")).alias("duplicates"))

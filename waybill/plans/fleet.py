@@ -7,18 +7,19 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from waybill import schemas
-from waybill.functions.columns import plus_seconds, seconds_between
+from waybill.functions.columns import epoch_ms, plus_seconds, seconds_between
 from waybill.operators import alerts as A
-from waybill.operators import backfill as B
 from waybill.operators import detail as V
 from waybill.operators import geofence as G
 from waybill.operators import ingest as I
 from waybill.operators import retention as R
 from waybill.operators import status as S
 from waybill.operators import trips as T
-from waybill.sources.readers import event_fixes, event_signals
+from waybill.operators.retention import percentiles
+from waybill.sources.readers import event_fixes, event_packets, event_signals, packet_fixes, packet_signals, parse_packets
 
 
 class Fleet:
@@ -47,41 +48,43 @@ class Fleet:
     def fences(self) -> DataFrame:
         return schemas.seed_fences(self.spark)
 
-    @cached_property
-    def last_id(self) -> int:
-        """The newest event's number, which is also its second: one value on the driver."""
-        return self.sig.agg(F.max("event_id")).first()[0] or 0
-
-    def at(self, second: int) -> Column:
-        return plus_seconds(F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"), F.lit(second))
+    def at(self, second: Column | int) -> Column:
+        return plus_seconds(F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"), second if isinstance(second, Column) else F.lit(second))
 
     @property
     def now(self) -> Column:
-        return self.at(self.last_id)
+        """The newest report's time, as a subquery of one value that runs with the query."""
+        return self.sig.agg(F.max("event_ts")).scalar()
 
     @property
     def mid(self) -> Column:
-        return self.at(self.last_id // 2)
+        """The middle of the telemetry's time."""
+        newest = self.sig.agg(F.max("event_ts").alias("t"))
+        return newest.select(self.at(F.floor(seconds_between(self.at(0), F.col("t")) / 2))).scalar()
 
     @cached_property
     def roster(self) -> DataFrame:
         ids = self.sig.select("vehicle_id").distinct().unionByName(self.spark.createDataFrame([("v-silent",)], "vehicle_id string"))
-        return ids.select("vehicle_id", F.concat(F.lit("KA01EV"), F.lpad(F.substring("vehicle_id", 2, 99), 4, "0")).alias("reg_no"), F.lit("eT 1000").alias("model"))
+        return ids.select("vehicle_id", F.concat(F.lit("KA01EV"), F.lpad(F.substring("vehicle_id", 2, 99), 9, "0")).alias("reg_no"), F.lit("eT 1000").alias("model"))
 
     @cached_property
     def latest(self) -> DataFrame:
         return I.newest(self.sig)
 
-    # an arriving batch beside an older log: repeats, conflicting values, unknown vehicles and signals
+    # the older half of the log, and a delivery of everything: repeats, conflicting values, unknown vehicles and signals
     @cached_property
     def log(self) -> DataFrame:
-        return self.sig.filter("event_id % 7 <> 0")
+        return self.sig.filter(F.col("event_ts") <= self.mid)
+
+    @cached_property
+    def fix_log(self) -> DataFrame:
+        return self.fix.filter(F.col("event_ts") <= self.mid)
 
     @cached_property
     def batch(self) -> DataFrame:
-        rows = self.sig.filter("event_id % 5 = 0")
-        both = rows.unionByName(rows.filter("event_id % 15 = 0").withColumn("value", F.col("value") + 1))
         e = F.col("event_id")
+        again = F.explode(F.when(e % 15 == 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0)))).alias("more")
+        both = self.sig.select("*", again).withColumn("value", F.col("value") + F.col("more"))
         return both.select(F.when(e % 50 == 0, "ghost").otherwise(F.col("vehicle_id")).alias("vehicle_id"), F.when(e % 35 == 5, "bogus").otherwise(F.col("signal")).alias("signal"), "event_ts", "value", (e % 3).alias("batch_id"))
 
     @cached_property
@@ -90,12 +93,12 @@ class Fleet:
 
     @cached_property
     def fix_batch(self) -> DataFrame:
-        return self.fix.filter("event_id % 5 = 0")
+        return self.fix.withColumn("batch_id", F.col("event_id") % 3)
 
     @cached_property
     def watermark(self) -> DataFrame:
         none = self.spark.createDataFrame([], "vehicle_id string, processed_through timestamp_ntz")
-        return I.advance_watermark(none, self.log.filter(F.col("event_ts") <= self.mid), self.fix.filter((F.col("event_id") % 7 != 0) & (F.col("event_ts") <= self.mid)))
+        return I.advance_watermark(none, self.log, self.fix_log)
 
     @cached_property
     def old_alerts(self) -> DataFrame:
@@ -108,7 +111,7 @@ class Fleet:
     @cached_property
     def actions(self) -> DataFrame:
         n = F.try_to_number(F.substring("vehicle_id", 2, 9), F.lit("999999999")).cast("int")
-        rows = self.old_alerts.withColumn("n", n).filter("n % 3 <> 0")
+        rows = self.old_alerts.withColumn("n", n)
         return rows.select("alert_id", self.now.alias("at"), F.lit("known").alias("code"), F.when(F.col("n") % 2 == 1, "checked").otherwise("").alias("note"), (F.col("n") % 5 == 0).alias("undo"))
 
     @cached_property
@@ -169,8 +172,12 @@ class Fleet:
         return rows.unionByName(rows.limit(1).select(F.lit("gf-nowhere").alias("geofence_id"), "at", "active"))
 
     @cached_property
-    def counted(self) -> DataFrame:
-        return T.counted(T.instants(T.crossings(self.crossings, self.fences, self.scope)), T.baselines(self.crossings, self.inside, self.scope))
+    def steps(self) -> DataFrame:
+        return T.steps(T.crossings(self.crossings, self.fences, self.scope))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return T.edges(T.occupancy(self.steps, self.inside))
 
     @cached_property
     def trips(self) -> DataFrame:
@@ -181,9 +188,66 @@ class Fleet:
         return R.roll_up(self.sig.drop("event_id"), self.mid)
 
     @cached_property
-    def bf(self) -> DataFrame:
-        """As many backfilled vehicles as the table has."""
-        return B.indexes(self.spark, self.sig.agg(F.count_distinct("vehicle_id")).first()[0])
+    def packets(self) -> DataFrame:
+        return parse_packets(event_packets(self.spark, self.sf_dir))
+
+    @cached_property
+    def receipts(self) -> DataFrame:
+        return I.receipts(self.batch, self.log, self.roster, self.spec, self.fix_batch, self.fix_log, self.watermark)
+
+    @cached_property
+    def bundle(self) -> DataFrame:
+        """All that a detail page shows, of every vehicle: one row a fact, named by its part and numbered in it."""
+        text, number = (lambda c: F.col(c).cast("string")), (lambda c: F.col(c).cast("double"))
+        none = {"at": F.lit(None).cast("timestamp_ntz"), "name": F.lit(None).cast("string"), "detail": F.lit(None).cast("string"), "amount": F.lit(None).cast("double")}
+
+        def part(rows: DataFrame, label: str, order: list, **columns: Column) -> DataFrame:
+            n = F.row_number().over(Window.partitionBy("vehicle_id").orderBy(*order)) if order else F.lit(1)
+            return rows.select("vehicle_id", F.lit(label).alias("part"), n.cast("long").alias("n"), *(c.alias(k) for k, c in (none | columns).items()))
+
+        parts = [
+            part(self.scored, "header", [], at=F.col("last_ping"), name=F.col("status"), detail=F.col("alert_severity"), amount=number("soc")),
+            part(V.register(self.roster, self.spec, self.latest, self.now), "register", [F.asc_nulls_last("display_order"), "signal"], at=F.col("event_ts"), name=F.col("signal"), detail=F.col("verdict"), amount=number("value")),
+            part(self.history, "history", ["bucket"], at=F.col("bucket_ts"), detail=text("readings"), amount=number("mean_value")),
+            part(G.current_fence(self.fences, self.inside), "fence", [], name=F.col("geofence_id"), detail=F.col("name"), amount=number("radius_m")),
+            part(G.recent(self.crossings, 8, "vehicle_id", "event_ts", "geofence_id"), "crossing", [F.desc("event_ts"), "geofence_id"], at=F.col("event_ts"), name=F.col("geofence_id"), detail=F.col("kind")),
+            part(G.recent(self.trips, 6, "vehicle_id", "start_ts"), "trip", [F.desc("start_ts")], at=F.col("start_ts"), name=F.col("origin_geofence_id"), detail=F.col("dest_geofence_id"), amount=number("distance_km")),
+        ]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    @cached_property
+    def seeds(self) -> DataFrame:
+        """The votes that a pass over the newer half takes from the state of the older half."""
+        first, rest = self.fix.filter(F.col("event_ts") <= self.mid), self.fix.filter(F.col("event_ts") > self.mid)
+        none = self.spark.createDataFrame([], "vehicle_id string, processed_through timestamp_ntz")
+        return G.seeds(G.containment(G.derive(first, self.fences, self.scope)), G.batch_scope(rest, I.advance_watermark(none, first, first)))
+
+    @cached_property
+    def appended(self) -> DataFrame:
+        """The log after two appends: the older half to nothing, then a delivery of everything."""
+        return self.log.select("vehicle_id", "signal", "event_ts", "value").unionByName(I.append_absent(I.dedupe(self.clean).drop("conflicts"), self.log, I.KEY))
+
+    @cached_property
+    def replaced(self) -> DataFrame:
+        """Keyed tables after a replace of the vehicles that report in the newer half, by table: rows kept and rows new."""
+        moved = self.sig.filter(F.col("event_ts") > self.mid).select("vehicle_id").distinct()
+        tables = {"latest": (I.newest(self.log), self.latest), "trip": (T.derive(*self.older, self.fences, self.log, self.scope), self.trips)}
+        rows = [T.replace_trips(old.select("vehicle_id", "key"), new.select("vehicle_id", "key").join(moved, "vehicle_id", "left_semi"), moved).select(F.lit(name).alias("kept_table"), "vehicle_id", "key") for name, (old, new) in ((n, (_keyed(a, n), _keyed(b, n))) for n, (a, b) in tables.items())]
+        return rows[0].unionByName(rows[1])
+
+    @cached_property
+    def older(self) -> tuple[DataFrame, DataFrame]:
+        votes = G.derive(self.fix_log, self.fences, self.scope)
+        return G.transitions(votes), G.containment(votes)
+
+
+def _keyed(rows: DataFrame, table: str) -> DataFrame:
+    """The key of a table's rows as one text."""
+    key = F.col("trip_id") if table == "trip" else F.concat_ws("|", "vehicle_id", "signal", epoch_ms(F.col("event_ts")).cast("string"))
+    return rows.select("vehicle_id", key.alias("key"))
 
 
 def _n(df: DataFrame, name: str) -> DataFrame:
@@ -201,13 +265,31 @@ def _rolled(df: DataFrame) -> DataFrame:
     return df.withColumn("avg_value", F.round("avg_value", 6))
 
 
+def _tables(f: Fleet) -> DataFrame:
+    """What a batch leaves behind, by table: rows, and a sum over their keys' times; the watermark comes last."""
+    at = lambda df, name, ts: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(epoch_ms(F.col(ts)) / 1000)).alias("seconds")).select(F.lit(name).alias("kept_table"), "n", "seconds")
+    crossings, inside, trips = f.resumed
+    latest = I.advance_latest(I.newest(f.log), I.dedupe(f.clean))
+    parts = [at(f.appended, "signal_reading", "event_ts"), at(latest, "latest", "event_ts"), at(crossings, "transition", "event_ts"), at(inside, "containment", "pending_ts"), at(trips, "trip", "start_ts"), at(f.alerts, "alert", "raised_at"), at(I.advance_watermark(f.watermark, f.clean, f.fix_batch), "watermark", "processed_through")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 ONE = "vehicle_id = 'v7'"
 
 QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
+    "s1_packets": lambda f: f.packets.select("vehicle_id", "event_ts", F.size("signals").alias("signals"), F.col("location").isNotNull().alias("placed")),
+    "s2_packet_signals": lambda f: packet_signals(f.packets),
+    "s3_packet_fixes": lambda f: packet_fixes(f.packets),
     "s4_new_roster_rows": lambda f: I.new_roster_rows(f.roster.unionByName(f.roster.withColumn("model", F.lit("eT 2000"))), f.roster.filter("length(vehicle_id) = 2")),
     "s5_config_in_use": lambda f: f.spec.join(f.sig.groupBy("signal").agg(F.count(F.lit(1)).alias("readings")), "signal", "left").select("signal", "label", "unit", "max_age_sec", F.coalesce("readings", F.lit(0)).alias("readings")),
+    "s6_seed_fences": lambda f: G.probes(f.fix, f.fences, f.scope).groupBy("geofence_id").agg(F.count_if(F.col("distance_m") <= F.col("radius_m")).alias("fixes_inside")).join(f.fences, "geofence_id", "right").select("geofence_id", "name", "lat", "lon", "radius_m", "fixes_inside"),
     "s7_readings_by_alert_type": lambda f: f.sig.join(F.broadcast(f.kinds), "signal").groupBy("alert_type").agg(F.count(F.lit(1)).alias("readings")),
     "s8_one_signal_scan": lambda f: f.sig.filter(ONE).filter((F.col("signal") == "soc") & (F.col("event_ts") >= f.mid)).select("event_ts", "value"),
+    "s9_log_append": lambda f: f.appended,
+    "s10_keyed_replace": lambda f: f.replaced,
     "s11_totals": lambda f: _all(_n(f.roster, "vehicles"), _n(f.sig, "signal_rows"), _n(f.fix, "fix_rows"), f.sig.agg(F.max("event_ts").alias("newest_ts"))),
     "i1_orphans": lambda f: _all(_n(f.batch, "total"), _n(f.clean, "kept")).withColumn("orphans", F.col("total") - F.col("kept")),
     "i2_dedupe": lambda f: I.dedupe(f.clean),
@@ -216,8 +298,9 @@ QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "i5_late_vehicles": lambda f: _n(I.late_vehicles(f.clean, f.fix_batch, f.watermark), "late"),
     "i6_advance_watermark": lambda f: I.advance_watermark(f.watermark, f.clean, f.fix_batch),
     "i7_offered": lambda f: _all(_n(f.clean.select(*I.KEY).distinct(), "signals"), _n(f.fix_batch.select("vehicle_id", "event_ts").distinct(), "fixes")),
-    "i8_receipts": lambda f: I.receipts(f.batch, f.log, f.roster, f.spec),
-    "i9_session_totals": lambda f: I.receipts(f.batch, f.log, f.roster, f.spec).agg(*(F.sum(c).alias(c) for c in ("packets", "orphans", "offered", "applied", "duplicates"))),
+    "i8_receipts": lambda f: f.receipts,
+    "i9_session_totals": lambda f: f.receipts.agg(*(F.sum(c).alias(c) for c in ("packets", "orphans", "offered", "applied", "late", "duplicates"))),
+    "i10_batch_state": lambda f: _tables(f),
     "i11_rebuild": lambda f: _all(_n(f.latest, "latest"), _n(f.crossings, "transitions"), _n(f.inside, "containment"), _n(f.trips, "trips"), _n(f.alerts, "alerts")),
     "f1_pivot_latest": lambda f: S.pivot_latest(f.latest),
     "f2_last_ping": lambda f: S.last_ping(f.latest, f.fix),
@@ -234,7 +317,7 @@ QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "v6_history": lambda f: f.history,
     "v7_history_summary": lambda f: V.history_summary(f.history),
     "v8_ages": lambda f: f.latest.select("vehicle_id", "signal", F.floor(seconds_between(F.col("event_ts"), f.now)).cast("long").alias("age_s")),
-    "v9_detail_bundle": lambda f: _all(_n(f.scored.filter(ONE), "header"), _n(V.register(f.roster, f.spec, f.latest, f.now).filter(ONE), "register"), _n(f.history.filter(ONE), "points"), _n(G.recent(f.crossings.filter(ONE), 8, "vehicle_id", "event_ts", "geofence_id"), "crossings"), _n(G.recent(f.trips.filter(ONE), 6, "vehicle_id", "start_ts"), "trips")),
+    "v9_detail_bundle": lambda f: f.bundle,
     "a1_thresholds_met": lambda f: _all(A.thresholds(f.spec), f.sig.filter("signal = 'soc'").agg(F.count_if(F.col("value") < 20).alias("soc_below"))),
     "a2_fresh_battery": lambda f: A.fresh_battery(f.latest, f.spec, f.now),
     "a3_conditions": lambda f: A.conditions(f.latest, f.spec, f.now),
@@ -252,6 +335,7 @@ QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "g3_full_scope": lambda f: f.scope.select("vehicle_id", "full_replay"),
     "g4_probes": lambda f: G.probes(f.fix, f.fences, f.scope).groupBy("vehicle_id", "geofence_id").agg(F.count(F.lit(1)).alias("probes"), F.sum("band_m").alias("band_m")),
     "g5_opinions": lambda f: G.opinions(G.probes(f.fix, f.fences, f.scope)),
+    "g6_seed_votes": lambda f: f.seeds.select("vehicle_id", "geofence_id", "event_ts", "zone", "seed_zone"),
     "g7_votes": lambda f: G.ordered(G.opinions(G.probes(f.fix, f.fences, f.scope))).groupBy("geofence_id", "zone").agg(F.count(F.lit(1)).alias("votes")),
     "g8_previous": lambda f: f.votes.select("vehicle_id", "geofence_id", "event_ts", "prev_zone", "prev_ts"),
     "g9_confirmed": lambda f: f.votes.select("vehicle_id", "geofence_id", "event_ts", "confirmed_zone", "crossed_ts"),
@@ -269,12 +353,13 @@ QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "g19_rejected": lambda f: G.switch_fences(f.own_fences, f.switches)[1].select("geofence_id"),
     "g20_fence_problems": lambda f: f.own_fences.select("geofence_id", G.fence_problem().alias("problem")),
     "g21_active_fences": lambda f: _n(G.switch_fences(f.own_fences, f.switches)[0].filter("active_to IS NULL"), "active"),
+    "g21_fence_by_id": lambda f: f.own_fences.filter("geofence_id = 'gf-v7'"),
     "t1_crossings": lambda f: T.crossings(f.crossings, f.fences, f.scope).select("vehicle_id", "event_ts", "kind", "geofence_id", "radius_m"),
     "t2_baselines": lambda f: T.baselines(f.crossings, f.inside, f.scope),
-    "t3_instants": lambda f: T.instants(T.crossings(f.crossings, f.fences, f.scope)),
-    "t4_inside_counts": lambda f: f.counted.select("vehicle_id", "event_ts", "inside_count", "prev_count"),
-    "t5_boundaries": lambda f: T.boundaries(f.counted),
-    "t6_legs": lambda f: T.legs(T.boundaries(f.counted)).select("vehicle_id", "event_ts", "end_ts", "dest", "end_shaky"),
+    "t3_steps": lambda f: f.steps,
+    "t4_occupancy": lambda f: T.occupancy(f.steps, f.inside).select("vehicle_id", "event_ts", "before", "after"),
+    "t5_edges": lambda f: f.edges,
+    "t6_outings": lambda f: T.outings(f.edges),
     "t7_distances": lambda f: f.trips.select("trip_id", "distance_km"),
     "t8_trips": lambda f: f.trips,
     "t9_incremental_trips": lambda f: f.resumed[2],
@@ -286,11 +371,7 @@ QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "r3_fixes_kept": lambda f: _n(f.fix.filter(F.col("event_ts") >= f.mid), "fixes"),
     "r4_compaction_report": lambda f: _all(_n(f.sig, "before"), _n(R.surviving(f.sig.drop("event_id"), f.buckets, f.mid), "after"), _n(f.buckets, "buckets"), _n(f.fix.filter(F.col("event_ts") < f.mid), "fixes_dropped")),
     "r5_stitched": lambda f: _rolled(R.stitched(R.surviving(f.sig.drop("event_id"), f.buckets, f.mid), f.buckets)),
-    "b1_backfill_roster": lambda f: B.roster(f.bf),
-    "b2_backfill_signals": lambda f: B.readings(f.bf, f.now, ticks=60).groupBy("vehicle_id", "signal").agg(F.count(F.lit(1)).alias("readings"), F.round(F.sum("value"), 3).alias("total"), F.min("event_ts").alias("first_ts")),
-    "b3_backfill_fixes": lambda f: B.fixes(f.bf, f.now, ticks=60).select("vehicle_id", "event_ts", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")),
-    "b4_backfill_counts": lambda f: _all(_n(f.bf, "vehicles"), _n(B.readings(f.bf, f.now, ticks=60), "signal_rows"), _n(B.fixes(f.bf, f.now, ticks=60), "fix_rows")),
-    "m1_percentiles": lambda f: B.percentiles(f.spark.read.parquet(f"{f.sf_dir}/events.parquet"), "value"),
+    "m1_percentiles": lambda f: percentiles(f.spark.read.parquet(f"{f.sf_dir}/events.parquet"), "value"),
 }
 
 

@@ -1,33 +1,49 @@
 """Structured Streaming over packets: exactly-once log, and everything derived from it, batch by batch.
 
 A batch runs in a fixed order: stage, drop orphans, log and latest values, lateness, alerts, fences,
-trips, and the watermark last.  Every write is keyed by the batch id and every read takes versions
-before it, so a batch that is run again after a failure gives the same tables.
+trips, and the watermark last.  Logs are keyed by the batch id and read without the batch itself, and
+every derived table follows from its own old rows and the log in a way that gives the same when it is
+done twice; a vehicle whose fence state is already ahead of the batch (as after a failure between
+two tables) is replayed whole.  So a batch that is run again after a failure gives the same tables.
+Only the buckets of vehicles that a batch touches are read and written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill import schemas
-from waybill.operators import alerts, geofence, ingest, trips
+from waybill.operators import alerts, geofence, ingest, retention, trips
 from waybill.sources.readers import packet_fixes, packet_signals
-from waybill.streaming.store import SnapshotStore
+from waybill.streaming.store import KeyedStore
 
-SIGNALS = "vehicle_id string, signal string, event_ts timestamp_ntz, value double"
-FIXES = "vehicle_id string, event_ts timestamp_ntz, lat double, lon double, accuracy_m double"
-WATERMARK = "vehicle_id string, processed_through timestamp_ntz"
-TRANSITIONS = "vehicle_id string, geofence_id string, event_ts timestamp_ntz, kind string, confidence string"
-ALERTS = "alert_id string, vehicle_id string, alert_type string, severity string, raised_at timestamp_ntz, escalated_at timestamp_ntz, resolved_at timestamp_ntz, dismissed_at timestamp_ntz, dismiss_reason string"
-TRIPS = "trip_id string, vehicle_id string, origin_geofence_id string, start_ts timestamp_ntz, dest_geofence_id string, end_ts timestamp_ntz, status string, distance_km double, confidence string"
-RECEIPT = "packets bigint, orphans bigint, offered bigint, applied bigint, late bigint, duplicates bigint"
+LOGS = {
+    "signal_reading": "vehicle_id string, signal string, event_ts timestamp_ntz, value double",
+    "location_fix": "vehicle_id string, event_ts timestamp_ntz, lat double, lon double, accuracy_m double",
+    "receipt": "vehicle_id string, packets bigint, orphans bigint, offered bigint, applied bigint, late bigint, duplicates bigint",
+    "signal_rollup": "vehicle_id string, signal string, bucket_ts timestamp_ntz, readings bigint, min_value double, max_value double, avg_value double, last_value double, last_ts timestamp_ntz",
+}
+STATES = {
+    "latest": LOGS["signal_reading"],
+    "watermark": "vehicle_id string, processed_through timestamp_ntz",
+    "transition": "vehicle_id string, geofence_id string, event_ts timestamp_ntz, kind string, confidence string",
+    "containment": schemas.CONTAINMENT,
+    "alert": "alert_id string, vehicle_id string, alert_type string, severity string, raised_at timestamp_ntz, escalated_at timestamp_ntz, resolved_at timestamp_ntz, dismissed_at timestamp_ntz, dismiss_reason string",
+    "trip": "trip_id string, vehicle_id string, origin_geofence_id string, start_ts timestamp_ntz, dest_geofence_id string, end_ts timestamp_ntz, status string, distance_km double, confidence string",
+}
+#: Receipts belong to a batch and to no vehicle.
+NOBODY = "-"
+
+
+def open_store(spark: SparkSession, root: str, buckets: int = 16) -> KeyedStore:
+    return KeyedStore(spark, root, LOGS, STATES, buckets)
 
 
 class FleetStream:
-    """The state of one stream under ``root``; ``apply`` is the function for foreachBatch."""
+    """The state of one stream; ``apply`` is the function for foreachBatch."""
 
-    def __init__(self, store: SnapshotStore, roster: DataFrame, fences: DataFrame, now: str | None = None) -> None:
+    def __init__(self, store: KeyedStore, roster: DataFrame, fences: DataFrame, now: str | None = None) -> None:
         self.store, self.roster, self.fences, self.fixed_now = store, roster, fences, now
         self.spec = schemas.signal_spec(store.spark)
 
@@ -36,40 +52,61 @@ class FleetStream:
         packets = packets.persist()
         now = F.lit(self.fixed_now).cast("timestamp_ntz") if self.fixed_now else F.lit(str(packets.agg(F.max("event_ts")).first()[0])).cast("timestamp_ntz")
         signals, fixes = packet_signals(packets), packet_fixes(packets)
-        log, fix_log = s.log("signal_reading", SIGNALS, v), s.log("location_fix", FIXES, v)
         clean = ingest.drop_orphans(signals, self.roster, self.spec)
         fixes = fixes.join(self.roster.select("vehicle_id"), "vehicle_id", "left_semi").dropDuplicates(["vehicle_id", "event_ts"])
         offered = ingest.dedupe(clean).drop("conflicts").persist()
+        t = s.touched(offered.select("vehicle_id").unionByName(fixes.select("vehicle_id")))
+        log = lambda table, before: s.log(table, before, t)
 
-        s.append("signal_reading", ingest.append_absent(offered, log, ingest.KEY), v)
-        s.append("location_fix", ingest.append_absent(fixes, fix_log, ["vehicle_id", "event_ts"]), v)
-        s.publish("latest", ingest.advance_latest(s.read("latest", SIGNALS, v), offered), v)
-        latest, log, fix_log = s.read("latest", SIGNALS, v + 1), s.log("signal_reading", SIGNALS, v + 1), s.log("location_fix", FIXES, v + 1)
+        s.append("signal_reading", ingest.append_absent(offered, log("signal_reading", v), ingest.KEY), v)
+        s.append("location_fix", ingest.append_absent(fixes, log("location_fix", v), ["vehicle_id", "event_ts"]), v)
+        applied = sum(s.log(table, None, t, keep_batch=True).filter(F.col("batch") == v).count() for table in ("signal_reading", "location_fix"))
+        s.replace("latest", ingest.advance_latest(s.read("latest", t), offered), t)
 
-        watermark = s.read("watermark", WATERMARK, v)
+        watermark = s.read("watermark", t)
         late = ingest.late_vehicles(offered, fixes, watermark).count()
-        s.publish("alert", alerts.evaluate(s.read("alert", ALERTS, v), alerts.conditions(latest, self.spec, now), now), v)
-        scope = geofence.batch_scope(fixes, watermark)
-        state, crossed = s.read("containment", schemas.CONTAINMENT, v), s.read("transition", TRANSITIONS, v)
-        votes = geofence.derive(fix_log, self.fences, scope, state)
-        s.publish("transition", geofence.replace_transitions(crossed, geofence.transitions(votes), scope), v)
-        s.publish("containment", geofence.replace_containment(state, geofence.containment(votes), scope), v)
-        moved = scope.select("vehicle_id").unionByName(offered.filter("signal = 'odometer'").select("vehicle_id")).distinct()
-        fresh = trips.derive(s.read("transition", TRANSITIONS, v + 1), s.read("containment", schemas.CONTAINMENT, v + 1), self.fences, log, moved)
-        s.publish("trip", trips.replace_trips(s.read("trip", TRIPS, v), fresh, moved), v)
-
-        counts = {
-            "packets": packets.count(),
-            "orphans": signals.count() - clean.count(),
-            "offered": offered.count() + fixes.count(),
-            "applied": sum(s.log(t, x, v + 1).count() - s.log(t, x, v).count() for t, x in (("signal_reading", SIGNALS), ("location_fix", FIXES))),
-            "late": late,
-        }
-        receipt = [(*counts.values(), counts["offered"] - counts["applied"])]
-        s.append("receipt", s.spark.createDataFrame(receipt, RECEIPT), v)
-        s.publish("watermark", ingest.advance_watermark(watermark, offered, fixes), v)
+        s.replace("alert", alerts.evaluate(s.read("alert", t), alerts.conditions(s.read("latest", t), self.spec, now), now), t)
+        state = s.read("containment", t)
+        scope = self._scope(fixes, watermark, state)
+        votes = geofence.derive(log("location_fix", v + 1), self.fences, scope, state)  # never cached: Spark renews caches over a table that it writes
+        s.replace("transition", geofence.replace_transitions(s.read("transition", t), geofence.transitions(votes), scope), t)
+        s.replace("containment", geofence.replace_containment(state, geofence.containment(votes), scope), t)
+        moved = fixes.select("vehicle_id").unionByName(offered.filter("signal = 'odometer'").select("vehicle_id")).distinct()
+        mine = log("signal_reading", v + 1).join(moved, "vehicle_id", "left_semi")
+        fresh = trips.derive(s.read("transition", t), s.read("containment", t), self.fences, mine, moved)
+        s.replace("trip", trips.replace_trips(s.read("trip", t), fresh, moved), t)
+
+        n_offered = offered.count() + fixes.count()
+        receipt = [(NOBODY, packets.count(), signals.count() - clean.count(), n_offered, applied, late, n_offered - applied)]
+        s.append("receipt", s.spark.createDataFrame(receipt, LOGS["receipt"]), v)
+        s.replace("watermark", ingest.advance_watermark(watermark, offered, fixes), t)
         offered.unpersist()
         packets.unpersist()
 
+    def _scope(self, fixes: DataFrame, watermark: DataFrame, state: DataFrame) -> DataFrame:
+        """batch_scope(), with a whole replay of vehicles whose state already holds a vote of the batch's time."""
+        ahead = state.groupBy("vehicle_id").agg(F.max("pending_ts").alias("seen"))
+        rows = geofence.batch_scope(fixes, watermark).join(ahead, "vehicle_id", "left")
+        again = F.col("full_replay") | F.coalesce(F.col("seen") >= F.col("from_ts"), F.lit(False))
+        return rows.select("vehicle_id", F.when(~again, F.col("from_ts")).alias("from_ts"), again.alias("full_replay"))
+
+    def compact(self, horizon: Column, run: int) -> None:
+        """Roll readings older than the horizon up and drop what the buckets hold, and old positions.
+
+        The buckets of a run are written once, before the log; a run that fails after that is done again
+        under its own number, before any further batch, and then only drops what its buckets hold.
+        """
+        s = self.store
+        log = s.log("signal_reading", keep_batch=True)
+        mine = lambda: s.log("signal_rollup", keep_batch=True).filter(F.col("batch") == run).drop("batch")
+        if mine().isEmpty():
+            s.append("signal_rollup", retention.roll_up(log, horizon), run)
+        s.rewrite_log("signal_reading", retention.surviving(log, mine(), horizon))
+        s.rewrite_log("location_fix", s.log("location_fix", keep_batch=True).filter(F.col("event_ts") >= horizon))
+
+    def history(self) -> DataFrame:
+        """Roll-ups of all runs and what is left of the log, as one history of buckets."""
+        return retention.stitched(self.store.log("signal_reading"), self.store.log("signal_rollup"))
+
     def start(self, packets: DataFrame, checkpoint: str, **trigger):
         return packets.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

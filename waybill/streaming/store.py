@@ -1,49 +1,62 @@
-"""Versioned snapshots of keyed tables on any file system that Spark writes.
+"""Tables of a stream as plain partitioned Parquet, written by Spark's dynamic partition overwrite.
 
-Each batch writes ``<root>/<table>/v=<batch id>`` and then one row in ``<root>/<table>/_pointer/v=<batch id>``.
-Readers take the newest version that has a pointer, so a half-written version is never read, and a
-batch that runs again overwrites its own version with the same rows.
+Rows lie in partitions by a hash of their vehicle.  A log is partitioned by batch as well, so a batch
+that runs again overwrites its own partitions with the same rows.  A state table is replaced for the
+buckets of the vehicles that a batch touches; the others are neither read nor written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self, table: str) -> list[int]:
-        """Published versions, from the folder listing of the table's file system."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_pointer")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v="))
-
-    def read(self, table: str, schema: str, before: int | None = None) -> DataFrame:
-        """The newest version (older than ``before``, if given), or an empty table."""
-        found = [v for v in self._versions(table) if before is None or v < before]
-        if not found:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v={found[-1]}")
-
-    def publish(self, table: str, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v={version}")
-        self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{table}/_pointer/v={version}")
-
-    def append(self, table: str, rows: DataFrame, version: int) -> None:
-        """Add a batch's rows to a log, partitioned by batch; running the batch again replaces them."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={version}")
-
-    def log(self, table: str, schema: str, before: int | None = None) -> DataFrame:
-        """All appended rows (of batches before ``before``)."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema + ", batch bigint").parquet(f"{self.root}/{table}")
-        return (rows if before is None else rows.filter(rows["batch"] < before)).drop("batch")
+def bucket_of(buckets: int):
+    return F.pmod(F.xxhash64("vehicle_id"), F.lit(buckets)).cast("int")
+
+
+class KeyedStore:
+    """``logs`` and ``states``: schemas by table; every table has a vehicle_id."""
+
+    def __init__(self, spark: SparkSession, root: str, logs: dict[str, str], states: dict[str, str], buckets: int = 16) -> None:
+        self.spark, self.root, self.logs, self.states, self.buckets = spark, root.rstrip("/"), logs, states, buckets
+        for table, schema in (logs | states).items():  # so that a table can be read before its first batch
+            parts = ", bucket int, batch bigint" if table in logs else ", bucket int"
+            spark.createDataFrame([], schema + parts).write.mode("append").partitionBy(*self._parts(table)).parquet(f"{self.root}/{table}")
+
+    def _parts(self, table: str) -> list[str]:
+        return ["bucket", "batch"] if table in self.logs else ["bucket"]
+
+    def _write(self, table: str, rows: DataFrame) -> None:
+        parts = self._parts(table)
+        rows.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.root}/{table}")
+
+    def touched(self, vehicles: DataFrame) -> list[int]:
+        """The buckets of some vehicles: as many numbers as there are buckets at most."""
+        return sorted(r[0] for r in vehicles.select(bucket_of(self.buckets)).distinct().collect())
+
+    def append(self, table: str, rows: DataFrame, batch: int) -> None:
+        self._write(table, rows.withColumn("bucket", bucket_of(self.buckets)).withColumn("batch", F.lit(batch).cast("bigint")))
+
+    def log(self, table: str, before: int | None = None, touched: list[int] | None = None, keep_batch: bool = False) -> DataFrame:
+        """Appended rows, of batches before ``before`` and of some buckets if given."""
+        rows = self.spark.read.schema(self.logs[table] + ", bucket int, batch bigint").parquet(f"{self.root}/{table}").filter("vehicle_id IS NOT NULL")
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        rows = rows if touched is None else rows.filter(F.col("bucket").isin(touched))
+        return rows.drop("bucket") if keep_batch else rows.drop("bucket", "batch")
+
+    def read(self, table: str, touched: list[int] | None = None) -> DataFrame:
+        rows = self.spark.read.schema(self.states[table] + ", bucket int").parquet(f"{self.root}/{table}").filter("vehicle_id IS NOT NULL")
+        return (rows if touched is None else rows.filter(F.col("bucket").isin(touched))).drop("bucket")
+
+    def replace(self, table: str, rows: DataFrame, touched: list[int]) -> None:
+        """``rows`` become all rows of the touched buckets.  A row without a vehicle marks each, so that an emptied one is written too."""
+        self._write(table, self._with_marks(rows.withColumn("bucket", bucket_of(self.buckets)), [(b,) for b in touched], "bucket int"))
+
+    def rewrite_log(self, table: str, rows: DataFrame) -> None:
+        """``rows`` (with batch) become the whole log; partitions that lose all rows keep a mark."""
+        old = self.spark.read.schema(self.logs[table] + ", bucket int, batch bigint").parquet(f"{self.root}/{table}").select("bucket", "batch").distinct()
+        self._write(table, rows.withColumn("bucket", bucket_of(self.buckets)).unionByName(old, allowMissingColumns=True))
+
+    def _with_marks(self, rows: DataFrame, marks: list[tuple], schema: str) -> DataFrame:
+        return rows.unionByName(self.spark.createDataFrame(marks, schema), allowMissingColumns=True)
