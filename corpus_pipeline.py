@@ -4,7 +4,12 @@ personal data is masked, and what is left is encoded.
 Each stage takes (spark, docs, sf_dir), reads all rows that its predecessor kept, and returns a
 DataFrame; between stages rows are written as Parquet in the session's shared checkpoint folder and
 read again, so a lost executor costs at most one stage's tasks.  Every stage but the last returns the
-columns of ``documents``.
+columns of ``documents``, and rows that it keeps keep all of them.
+
+Edge cases: null and empty texts pass every filter (toxicity scores them like any text) and encode to
+no ids; rows without a doc_id are never near duplicates and never contaminated; of repeated rows one
+stays, of a group the smallest doc_id; very long texts go through whole; an empty table gives an empty
+table; extra columns, whatever their names, go through all stages but the last, which returns its own.
 """
 
 from __future__ import annotations
@@ -53,12 +58,20 @@ STAGES = [("toxicity", clean), ("near_dup", fold), ("decontaminate", unleak), ("
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table of ``sf_dir``."""
+    """All stages over the whole documents table of ``sf_dir``.  A stage's rows go when the next one's are written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            _remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
