@@ -37,9 +37,11 @@ def share_code(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's spark.checkpoint.dir; fall back to a temporary one where it is unset (tests)."""
+    """Use the session's spark.checkpoint.dir.  Where it is unset, a local session (tests) gets a temporary folder; a cluster must name one."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waybill-checkpoint-"))
 
 

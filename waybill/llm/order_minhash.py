@@ -10,12 +10,15 @@ The occurrence numbers come from one sort of the k-mers with their places, and t
 of the numbered hashes; each step is a column of its own, linear in the text or a sort of it.
 
 The document that comes next by descending doc_id is found in buckets of the id's quantiles: a window
-in each bucket, with the first row of the bucket below added to its end.  No task holds all rows.
-
-Edge cases: null counts as empty text; texts of fewer than ``k`` words are one k-mer; equal texts have
-equal fingerprints and likeness 1, empty ones included; rows with one doc_id follow each other by
-text, a null doc_id comes last; a table of one row is its own next document; an empty table gives an
-empty table.
+in each bucket, with the first row of the bucket below added to its end.  A doc_id that fills several
+buckets by itself is split by a hash of the text.  No task holds all rows, and the one window over all
+buckets sees their numbers alone, no text.
+
+Edge cases: null counts as empty text; texts of fewer than ``k`` words are one k-mer; very long texts
+count whole, up to 2^28 words; equal texts have equal fingerprints and likeness 1, empty ones included;
+rows with one doc_id follow each other by a hash of the text, then the text, and a null doc_id comes
+last; a table of one row is its own next document; an empty table gives an empty table; extra columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bits of a place in the text, and of a bin's number, in a 63-bit record.
-PLACE_BITS, BIN_BITS = 24, 6
+PLACE_BITS, BIN_BITS = 28, 6
 PLACE_MASK = (1 << PLACE_BITS) - 1
 BIN_SHIFT = 63 - BIN_BITS
 
@@ -98,34 +101,48 @@ def bucket_of(key: Column, cuts: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halve)["lo"]
 
 
-def with_next(docs: DataFrame, columns: list[str], p: OrderParams) -> DataFrame:
-    """Rows with ``next_<column>`` of the next document by descending key, the first one's for the last.
-
-    ``docs`` needs key (no nulls) and text, which breaks ties, besides ``columns``.
-    """
+def bucketed(docs: DataFrame, p: OrderParams) -> DataFrame:
+    """Rows (key, text, ...) with their bucket, ascending by key, and part: stretches of the text's hash where one key fills several buckets."""
     n = docs.count()
     buckets = min(p.buckets, -(-n // p.rows))
-    cuts: list[int] = []
+    raw: list[int] = []
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(docs.agg(F.percentile_approx("key", shares, max(10_000, 10 * buckets))).first()[0]))
-    rows = docs.withColumn("bucket", bucket_of(F.col("key"), cuts))
-    kept = F.struct(*columns)
-    heads = rows.groupBy("bucket").agg(F.min_by(kept, F.struct(-F.col("key").cast("decimal(20,0)"), F.col("text"))).alias("head"))
-    order = Window.orderBy(F.desc("bucket"))  # one row a bucket
-    heads = heads.select("bucket", F.coalesce(F.lead("head").over(order), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
-    ends = heads.select("bucket", *(F.col(f"head.{c}").alias(c) for c in columns), F.lit(1).alias("end"))
-    together = rows.withColumn("end", F.lit(0)).unionByName(ends, allowMissingColumns=True)
-    inside = Window.partitionBy("bucket").orderBy("end", F.desc("key"), "text")
-    for c in columns:
-        together = together.withColumn(f"next_{c}", F.lead(c).over(inside))
-    return together.filter("end = 0").drop("bucket", "end")
+        raw = sorted(docs.agg(F.percentile_approx("key", shares, max(10_000, 10 * buckets))).first()[0])
+    hot = {k: raw.count(k) + 1 for k, after in zip(raw, raw[1:], strict=False) if k == after}
+    cuts = sorted(set(raw) | {k + 1 for k in hot if k < (1 << 63) - 1})
+    rows = docs.withColumn("bucket", bucket_of(F.col("key"), cuts)).withColumn("hash", F.xxhash64("text"))
+    parts = F.lit(1)
+    for k, m in hot.items():  # at most half as many as there are buckets, and few in any table
+        parts = F.when(F.col("key") == k, m).otherwise(parts)
+    return rows.withColumn("part", F.floor(F.shiftrightunsigned("hash", 1) / F.lit(float(1 << 63)) * parts).cast("int"))
+
+
+def with_next(docs: DataFrame, p: OrderParams) -> DataFrame:
+    """Rows (key, text, ...) with ``own``, the text's fingerprint, and ``next_text``, ``next_own`` of the next document.
+
+    Next is by descending key (no nulls), then hash, then text; after the last comes the first.
+    """
+    rows = bucketed(docs, p)
+    place = ["bucket", "part"]
+    first = F.struct(-F.col("key").cast("decimal(20,0)"), "hash", "text")
+    heads = rows.groupBy(*place).agg(F.min_by("text", first).alias("text"))
+    order = Window.orderBy(F.desc("bucket"), "part")  # numbers only, one row a bucket
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    below = heads.select(*place)
+    below = below.select(*place, F.coalesce(F.lead(F.struct(*place)).over(order), F.first(F.struct(*place)).over(whole)).alias("b")).select(*place, F.col("b.bucket").alias("bucket_b"), F.col("b.part").alias("part_b"))
+    named = heads.select(F.col("bucket").alias("bucket_b"), F.col("part").alias("part_b"), "text")
+    ends = below.join(named, ["bucket_b", "part_b"]).select(*place, "text", F.lit(1).alias("end"))
+    together = with_fingerprint(rows.withColumn("end", F.lit(0)).unionByName(ends, allowMissingColumns=True), "text", "own", p)
+    inside = Window.partitionBy(*place).orderBy("end", F.desc("key"), "hash", "text")
+    together = together.withColumn("next_text", F.lead("text").over(inside)).withColumn("next_own", F.lead("own").over(inside))
+    return together.filter("end = 0").drop(*place, "hash", "end")
 
 
 def fingerprints(docs: DataFrame, p: OrderParams = OrderParams()) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "own", p), ["text", "own"], p)
+    rows = with_next(rows, p)
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
