@@ -11,12 +11,18 @@ passage may lie is tried; one that passes is enough.
 A window of few plain words says little as a template, so it is looked for by its words, values
 included: exact copies of items full of numbers or names are found, other values in them are not.
 
+Items of fewer tokens than a window are looked for whole, words and values, in windows of their own
+length; only lengths that the benchmark has are tried.
+
 The items are broadcast only if a count shows few windows; else the windows are joined by shuffle.
 
-Edge cases: null and empty texts, and items of fewer than ``window`` tokens, match nothing; a
-document that is shorter than the window matches nothing; rows without a doc_id are not reported;
-items with one template are one item, reported by the smallest item_id; repeated rows are reported
-once; empty tables give an empty table.
+Edge cases: null and empty texts, and items of fewer than ``least`` tokens, match nothing; rows
+without a doc_id are not reported; of items that differ in their values alone, the one with the
+smallest item_id is looked for by the template and each by its own words, and items of the same words
+are one, reported by the smallest item_id; of several places in a document the one with equal values,
+then the most windows counts; very long texts are searched whole; repeated rows are reported once;
+empty tables give an empty table; extra columns, whatever their names, are not read, and
+drop_contaminated() hands them on.
 """
 
 from __future__ import annotations
@@ -40,13 +46,14 @@ NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 
 @dataclass(frozen=True)
 class TemplateParams:
-    """A pair is reported at ``share`` of the item's distinct windows, and ``agree`` of its slot pairs one to one.
+    """``least``: tokens of the shortest item that is looked for.  A pair is reported at ``share`` of the item's distinct windows, and ``agree`` of its slot pairs one to one.
 
     ``plain``: distinct words outside slots that a window of an item needs to be met by its template.  ``broadcast``: most item
     windows (about 24 bytes each) that are sent to every task.
     """
 
     window: int = 8
+    least: int = 3
     plain: int = 4
     share: float = 0.5
     agree: float = 0.8
@@ -121,6 +128,26 @@ def item_table(benchmark: DataFrame, p: TemplateParams) -> DataFrame:
     return items.withColumn("both", both).select("item_id", "own_id", "words", F.transform("both", place).alias("places"))
 
 
+def short_items(docs: DataFrame, benchmark: DataFrame, p: TemplateParams) -> DataFrame | None:
+    """Documents that hold an item of fewer tokens than a window, word for word; None where the benchmark has no such item.
+
+    ``docs``: doc_id, v (hashes of the words).
+    """
+    items = with_spaced(benchmark.select("item_id", "text")).select("item_id", words_of(F.col("spaced")).alias("words"))
+    items = items.filter(F.size("words").between(p.least, p.window - 1))
+    slots = F.size(F.filter("words", lambda w: w.rlike(r"^[\ue000-\ue002]")))
+    items = items.select("item_id", F.size("words").alias("n"), slots.alias("n_slots"), F.transform(F.transform("words", without_marks), lambda w: F.xxhash64(w)).alias("v"))
+    items = cut(items.groupBy("n", F.xxhash64("v").alias("h")).agg(F.min("item_id").alias("item_id"), F.min("n_slots").alias("n_slots")))
+    sizes = sorted(r[0] for r in items.select("n").distinct().collect())  # fewer than a window's tokens
+    if not sizes:
+        return None
+    of_size = lambda n: F.transform(windows(F.col("v"), n), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+    each = F.flatten(F.array(*map(of_size, sizes)))
+    met = docs.select("doc_id", F.explode(F.array_distinct(each)).alias("w")).select("doc_id", "w.*").join(items, ["n", "h"]).dropDuplicates(["doc_id", "item_id"])
+    one, whole = F.lit(1), F.lit(1.0)
+    return met.select("doc_id", "item_id", one.alias("matched_windows"), one.alias("item_windows"), whole.alias("share"), "n_slots", F.lit(True).alias("verbatim_slots"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:
     """doc_id, item_id, matched_windows, item_windows, share, n_slots, verbatim_slots for each pair found.
 
@@ -131,7 +158,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Temp
     if seeds.limit(p.broadcast + 1).count() <= p.broadcast:
         seeds = F.broadcast(seeds)
     named = docs.filter("doc_id is not null").select("doc_id", "text")
-    tokens = with_hashes(with_spaced(named)).withColumn("t", windows(F.col("t"), p.window)).withColumn("v", windows(F.col("v"), p.window))
+    hashed = with_hashes(with_spaced(named))
+    tokens = hashed.withColumn("t", windows(F.col("t"), p.window)).withColumn("v", windows(F.col("v"), p.window))
     # the words' windows follow the templates'; one that is the same as its template's is left out
     starts = tokens.select("doc_id", F.size("t").alias("n"), F.posexplode(F.concat("t", F.zip_with("t", "v", lambda t, v: F.nullif(v, t)))).alias("k", "h")).filter("h is not null")
     hits = starts.join(seeds, "h").withColumn("shift", F.when(F.col("k") < F.col("n"), F.col("k")).otherwise(F.col("k") - F.col("n")) - F.col("pos"))
@@ -151,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Temp
     both = both.withColumn("best", F.array_max(F.transform("shifts", lambda s: F.size(s["keys"]))))
     tried = F.filter("shifts", lambda s: (F.size(s["keys"]) == F.col("best")) | (most(s["keys"])["share"] >= p.share))
     passage = lambda s: F.transform("own", lambda w, i: F.struct(w.alias("b"), F.when(i + s["shift"] >= 0, F.get("words", i + s["shift"])).alias("d")))
-    both = both.select("doc_id", "item_id", "most", F.explode(F.transform(tried, passage)).alias("aligned"))
+    both = both.select("doc_id", F.col("own_id").alias("item_id"), "most", F.explode(F.transform(tried, passage)).alias("aligned"))
     slots = F.filter("aligned", lambda s: s["b"].rlike(r"^[\ue000-\ue002]") & F.coalesce(F.substring(s["b"], 1, 1) == F.substring(s["d"], 1, 1), F.lit(False)))
     both = both.withColumn("slots", F.array_distinct(slots))
     fewest = F.least(F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))), F.size(F.array_distinct(F.transform("slots", lambda s: s["d"]))))
@@ -159,7 +187,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Temp
     verbatim = F.forall("slots", lambda s: s["b"] == s["d"])
     rank = F.struct(verbatim.alias("verbatim_slots"), F.col("most.share").alias("share"), F.size("slots").alias("n_slots"), F.col("most.seen").alias("seen"), F.col("most.total").alias("total"))
     found = passed.groupBy("doc_id", "item_id").agg(F.max(rank).alias("f"))
-    return found.select("doc_id", "item_id", F.col("f.seen").alias("matched_windows"), F.col("f.total").alias("item_windows"), "f.share", "f.n_slots", "f.verbatim_slots")
+    out = found.select("doc_id", "item_id", F.col("f.seen").alias("matched_windows"), F.col("f.total").alias("item_windows"), "f.share", "f.n_slots", "f.verbatim_slots")
+    short = short_items(hashed, benchmark, p)
+    return out if short is None else out.unionByName(short)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:

@@ -47,7 +47,7 @@ class PiiParams:
     rounds: int = 12
     seeds: int = 5
     documents: int = 3
-    trust: float = 0.5
+    trust: float = 0.3
     special: float = 0.2
     accept: float = 0.5
 
