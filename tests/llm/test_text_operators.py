@@ -281,6 +281,17 @@ def test_secret_battery():
     assert len(p) > 1500 and np.mean([x < 0.001 for x in p]) < 0.01
 
 
+def test_discovery_cut():
+    """The binned cut accepts what Benjamini-Hochberg does on p-values rounded up to their bins' edges."""
+    r = random.Random(3)
+    for _ in range(50):
+        scores = [r.choice([r.uniform(0, 3), r.uniform(0, 12)]) for _ in range(r.randint(0, 60))]
+        bins = collections.Counter(int(x * secrets.BINS_PER_DECADE) for x in scores)
+        p = sorted(10 ** (-int(x * secrets.BINS_PER_DECADE) / secrets.BINS_PER_DECADE) for x in scores)
+        passed = [k for k, x in enumerate(p, 1) if x <= 0.01 * k / len(p)]
+        assert sum(x >= secrets.discovery_cut(list(bins.items()), 0.01) for x in scores) == (passed[-1] if passed else 0)
+
+
 def test_secret_recall_and_false_finds(spark):
     """Random strings of several encodings in prose, beside names, dates and versions."""
     import base64
@@ -391,6 +402,61 @@ def test_order_minhash(docs, empty):
     assert order_minhash.fingerprints(empty).count() == 0
 
 
+def test_order_minhash_by_hand(spark):
+    """Fingerprints and likeness from a plain reading of the method: numbered k-mers, two least of each bin, hashed in text order."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    number = lambda x, seed: xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    small = lambda x, seed: xxhash.xxh64_intdigest(int(x).to_bytes(4, "little"), seed)
+    place_bits = order_minhash.PLACE_BITS
+
+    def fingerprint(text, k=3):
+        words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.sub("[\t\n\r\f]", " ", text).split(" ")]
+        grams = []
+        for i in range(max(len(words) - k + 1, 1)):
+            h = 42
+            for w in words[i : i + k]:
+                h = number(w, h)
+            grams.append(h)
+        met, bins = collections.Counter(), collections.defaultdict(list)
+        for i, g in enumerate(grams):
+            top = ((g << place_bits) & ((1 << 64) - 1)) >> place_bits
+            v = small(met[top], number(top, 42)) >> place_bits + 1
+            bins[v >> 63 - place_bits - 6].append((v, i))
+            met[top] += 1
+        out = []
+        for b in sorted(bins):
+            least = [i for _, i in sorted(bins[b])[:2]]
+            one, two = min(least), max(least)
+            out.append(b << 32 | small(one == two, number(grams[two], number(grams[one], 42))) >> 32)
+        return out
+
+    texts = ["", "one", "a b c d", prose(300), "x y " * 50 + prose(20), "tab\tand\nline  two", prose(900)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in order_minhash.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, t in rows:
+        own, following = fingerprint(t), fingerprint(texts[(i - 1) % len(texts)])
+        assert got[i].fingerprint == "".join(f"{x:010x}" for x in own)
+        bins = {x >> 32 for x in own} | {x >> 32 for x in following}
+        assert got[i].near_next == pytest.approx(len(set(own) & set(following)) / len(bins))
+
+
+def test_many_rows_of_one_doc_id(spark):
+    """A doc_id that fills many buckets is split by its texts' hash; the order of all rows is one circle."""
+    rows = [(5, f"text {i}") for i in range(60)] + [(i, f"other {i}") for i in range(10) if i != 5]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    parts = order_minhash.bucketed(df.selectExpr("doc_id AS key", "text"), order_minhash.OrderParams(rows=5)).filter("key = 5").select("bucket", "part").distinct().count()
+    found = order_minhash.with_next(df.selectExpr("doc_id AS key", "text"), order_minhash.OrderParams(rows=5)).collect()
+    following = {r.text: r.next_text for r in found}
+    at, seen = "other 9", []
+    for _ in rows:
+        seen.append(at)
+        at = following[at]
+    assert parts > 4 and at == "other 9" and sorted(seen) == sorted(t for _, t in rows)
+    assert [t for t in seen if t.startswith("other")] == [f"other {i}" for i in (9, 8, 7, 6, 4, 3, 2, 1, 0)]
+
+
 def test_byte_bpe(docs, empty):
     tiktoken, vocabulary = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     path = vocabulary.path("byte_bpe_multi_50k.tiktoken")

@@ -6,8 +6,9 @@ buckets have entries, so the next rank is two find-first-set steps away, whateve
 pre-token.  An entry whose pair has changed since it was filed is stale and is skipped.  The cost is
 O(log n) a merge, so very long pre-tokens (a megabyte of one letter, a base64 blob) stay cheap.
 
-Edge cases: null text encodes as empty text (no ids); repeated rows each give a row; an empty table
-gives an empty table; texts are encoded whole, whatever their length.
+Edge cases: null text encodes as empty text (no ids); of equal ranks the leftmost pair merges first;
+repeated rows each give a row; an empty table gives an empty table; texts are encoded whole, whatever
+their length; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
