@@ -70,6 +70,18 @@ def test_induced_sorting(monkeypatch):
             assert c == next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
+def test_induced_sorting_of_a_large_shard():
+    """A shard of a hundred times the queues' budget: every repeat is found, in bounded time."""
+    g = np.random.default_rng(1)
+    text = g.integers(97, 123, 1_000_000).astype(np.uint16)
+    text[600_000:604_000] = text[1000:5000]
+    start = time.process_time()
+    hit = induced.repeated_starts(np.append(text, 0).astype(np.uint16), 400, 160_000)
+    expected = np.zeros(len(hit), bool)
+    expected[1000:4601] = expected[600_000:603_601] = True
+    assert (hit == expected).all() and time.process_time() - start < 200
+
+
 def test_near_duplicates(docs, empty):
     sets = {}
     for i, t in documents():
@@ -331,6 +343,19 @@ def test_language(spark, empty):
     assert language.detect_languages(empty.select("doc_id", "text", "lang")).count() == 0
 
 
+def test_language_rejection():
+    """Where a third of the texts could be of either language, the calibrated threshold rejects these and accepts the rest."""
+    own = {"xx": WORDS[:100], "yy": WORDS[100:200], "both": WORDS[200:]}
+    draw = lambda kind: " ".join(rng.choice(own[kind]) for _ in range(24))
+    rows = [(draw(kind), kind if kind != "both" else rng.choice(["xx", "yy"])) for kind in ["xx", "yy", "both"] * 120]
+    scorer = language.Scorer(language.train_language(rows))
+    clear = [(draw(kind), kind) for kind in ["xx", "yy"] * 60]
+    found, _, rejected = scorer.predict([t for t, _ in clear])
+    accepted = [got == kind for (_, kind), got, no in zip(clear, found, rejected) if not no]
+    assert len(accepted) >= 0.8 * len(clear) and np.mean(accepted) >= 0.97
+    assert np.mean(scorer.predict([draw("both") for _ in range(100)])[2]) >= 0.7
+
+
 def test_toxicity(spark, empty):
     bad = ["vilebrat", "scumlord", "foulmouth"]
     rows, labels = [], []

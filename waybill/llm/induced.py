@@ -353,7 +353,7 @@ class Induction:
             lower.drop()
 
 
-def suffix_order(text: np.ndarray, depth: int, memory: int = 1 << 26, small: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, depth: int, memory: int = 1 << 26, small: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Positions in suffix order and common prefixes of neighbours; the last symbol is a unique smallest one."""
     n = len(text)
     scratch = Scratch(memory)
@@ -384,7 +384,7 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = 1 << 26, small: int
         scratch.close()
 
 
-def repeated_starts(text: np.ndarray, length: int, memory: int = 1 << 26, small: int = 1 << 20) -> np.ndarray:
+def repeated_starts(text: np.ndarray, length: int, memory: int = 1 << 26, small: int = 1 << 22) -> np.ndarray:
     """True at the positions whose next ``length`` symbols occur at another position too."""
     scratch = Scratch(memory)
     try:
