@@ -37,6 +37,7 @@ def cross(spark, track, radii=(1000.0,)):
     return out, {r.geofence_id: r for r in G.containment(votes).collect()}
 
 
+# Tracks of a vehicle near a fence of 1000 m, and the crossings that they must give.
 @pytest.mark.parametrize(
     "track, expected",
     [
