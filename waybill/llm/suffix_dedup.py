@@ -45,7 +45,7 @@ from waybill.llm.words import MIX, mix
 
 @dataclass(frozen=True)
 class SuffixParams:
-    """``shard``: bytes of regions that one shard takes, while ``shards`` of them are enough.
+    """``shard``: bytes of regions that are sorted at once; ``shards``: most partitions they are dealt over.
     ``memory``: bytes that a shard's queues hold before they go to disk.  ``crowd``: distinct regions of an
     anchor that stay together; beyond it they are dealt into groups."""
 
@@ -279,32 +279,44 @@ def _runs(flags: np.ndarray, shift: int) -> list[int]:
 
 
 def sort_shards(regions: DataFrame, p: SuffixParams) -> DataFrame:
-    """Sort each partition's regions (digest, shift, bytes) as one string; hits: stretches of repeated starts, if there are any."""
+    """Sort regions (group, anchor, digest, shift, bytes) shard by shard; hits: stretches of repeated starts, if there are any.
+
+    A partition's rows come group by group.  A shard is ended at the first group edge beyond its size,
+    so memory does not grow with the partition, only with its largest group.
+    """
     share_code(regions.sparkSession)
     schema = to_arrow_schema(T.StructType.fromDDL(SORTED))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, int]] = []
+    def sort(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         pieces: list[np.ndarray] = []
-        for batch in batches:
-            for anchor, digest, shift, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "shift", "bytes")), strict=True):
-                rows.append((anchor, digest, shift, len(raw)))
-                pieces += [np.frombuffer(raw, np.uint8).astype(np.uint16) + 2, np.ones(1, np.uint16)]
-        if not rows:
-            return
+        for *_, raw in rows:
+            pieces += [np.frombuffer(raw, np.uint8).astype(np.uint16) + 2, np.ones(1, np.uint16)]
         text = np.concatenate([*pieces, np.zeros(1, np.uint16)])
         del pieces
         hit = repeated_starts(text, p.length, p.memory)
         at, out = 0, []
-        for anchor, digest, shift, size in rows:
-            flags = hit[at : at + size - p.length + 1]
+        for anchor, digest, shift, raw in rows:
+            flags = hit[at : at + len(raw) - p.length + 1]
             if flags.any():
                 out.append({"anchor": anchor, "digest": digest, "hits": _runs(flags, shift)})
-            at += size + 1
+            at += len(raw) + 1
         for i in range(0, len(out), 256):
             yield pa.RecordBatch.from_pylist(out[i : i + 256], schema=schema)
 
-    return regions.mapInArrow(run, SORTED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int, bytes]] = []
+        held, last = 0, None
+        for batch in batches:
+            for group, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "anchor", "digest", "shift", "bytes")), strict=True):
+                if held >= p.shard and group != last:
+                    yield from sort(rows)
+                    rows, held = [], 0
+                rows.append(tuple(row))
+                held, last = held + len(row[3]), group
+        if rows:
+            yield from sort(rows)
+
+    return regions.sortWithinPartitions("group").mapInArrow(run, SORTED)
 
 
 def repeated_spans(docs: DataFrame, p: SuffixParams = SuffixParams()) -> DataFrame:
