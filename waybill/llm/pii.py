@@ -45,6 +45,8 @@ class PiiParams:
     stand at an instance; ``accept``: least score of an instance that is added; ``rounds``: most rounds."""
 
     rounds: int = 12
+    #: Most phrases that are sent to every task to be counted in the corpus.
+    broadcast: int = 200_000
     seeds: int = 5
     documents: int = 3
     trust: float = 0.3
@@ -173,7 +175,11 @@ def discover(mentions: DataFrame, texts: DataFrame, p: PiiParams) -> DataFrame:
     met = cut(met)
     # of a phrase's patterns the one met most often counts, so a mention is never counted twice
     beside = met.groupBy("phrase", "pattern").agg(F.sum("times").alias("here")).groupBy("phrase").agg(F.max("here").alias("here"))
-    special = beside.join(phrase_counts(F.col("text"), texts, beside.select("phrase")), "phrase").filter(F.col("here") >= F.col("times") * p.special)
+    beside = cut(beside)
+    wanted = beside.select("phrase")
+    if wanted.count() <= p.broadcast:  # few rows of a written table; more phrases meet the corpus by shuffle
+        wanted = F.broadcast(wanted)
+    special = beside.join(phrase_counts(F.col("text"), texts, wanted), "phrase").filter(F.col("here") >= F.col("times") * p.special)
     edges = cut(met.join(special.select("phrase"), "phrase").select("pattern", "core", F.col("seed").cast("double").alias("seed")))
     known, mark = edges.groupBy("core").agg(F.max("seed").alias("score"), F.max("seed").alias("seed")), None
     for _ in range(p.rounds):
