@@ -110,3 +110,34 @@ def within_chars(rows: DataFrame, label: str, key: str, chars: int) -> DataFrame
     chosen = rows.sparkSession.createDataFrame(sorted(kept), "hash_ bigint, size_ int")
     with_hash = rows.withColumn("hash_", F.xxhash64(F.col(key))).withColumn("size_", F.length("text"))
     return with_hash.join(F.broadcast(chosen), ["hash_", "size_"], "left_semi").drop("hash_", "size_")
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+    """``fit`` of all ``rows``, run in one task, so that the driver holds no training data; what it returns is pickled.
+
+    For samples whose size is bounded by a parameter only.  A lost executor repeats the task.
+    """
+    import pickle
+
+    share_code(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held))], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return fit([]) if found is None else pickle.loads(found[0])
+
+
+def bounded_chunks(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    """The texts in order, so many at a time that they hold about ``chars`` characters, one at least."""
+    part: list[str | None] = []
+    size = 0
+    for t in texts:
+        if part and size + len(t or "") > chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part

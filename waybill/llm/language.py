@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import bounded_sample, held_out, map_batches, within_chars
+from waybill.llm.common import bounded_chunks, bounded_sample, fit_in_task, held_out, map_batches, within_chars
 from waybill.llm.words import WordTable, mean_rows, subword_buckets
 
 UNKNOWN = "und"
@@ -41,6 +41,8 @@ class LanguageParams:
     #: Accuracy wanted of the texts that are not rejected.
     target: float = 0.98
     cache_words: int = 400_000
+    #: Characters of the texts that are read at once; bounds the memory of a task.
+    batch_chars: int = 1_000_000
 
 
 @dataclass
@@ -161,7 +163,8 @@ class Scorer:
         langs, scores, rejected = [UNKNOWN] * n, [0.0] * n, [True] * n
         known = [i for i, t in enumerate(texts) if t and self.model.labels and any(map(str.isalpha, t))]
         if known:
-            probs = _softmax(self.raw([texts[i] for i in known]) / self.model.temperature)
+            raw = np.concatenate([self.raw(part) for part in bounded_chunks([texts[i] for i in known], self.p.batch_chars)])
+            probs = _softmax(raw / self.model.temperature)
             best = probs.argmax(axis=1)
             for k, i in enumerate(known):
                 langs[i], scores[i] = self.model.labels[best[k]], float(probs[k, best[k]])
@@ -177,7 +180,7 @@ def training_rows(docs: DataFrame, p: LanguageParams) -> DataFrame:
 
 def detect_languages(docs: DataFrame, p: LanguageParams = LanguageParams()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row, from a model trained on the same table's labels."""
-    model = train_language([tuple(r) for r in training_rows(docs, p).collect()], p)
+    model = fit_in_task(training_rows(docs, p), lambda rows: train_language(rows, p))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x labels numbers, whatever the input
 
     def make():

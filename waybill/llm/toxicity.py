@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import BATCH_ROWS, bounded_sample, held_out, map_batches, share_code, within_chars
+from waybill.llm.common import BATCH_ROWS, bounded_chunks, bounded_sample, fit_in_task, held_out, map_batches, share_code, within_chars
 from waybill.llm.words import WordTable, mean_rows, subword_buckets
 
 SIZES = (2, 3, 4)
@@ -50,9 +50,10 @@ class ToxicityParams:
     epochs: int = 8
     batch: int = 64
     rate: float = 0.02
-    cache_words: int = 300_000
-    #: Windows scored at once; bounds the memory of a task.
+    cache_words: int = 100_000
+    #: Windows scored at once, and characters of the texts that are read at once; they bound the memory of a task.
     chunk: int = 8192
+    batch_chars: int = 1_000_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -344,7 +345,7 @@ class Scorer:
     def scores(self, texts: list[str | None]) -> list[float]:
         if not texts:
             return []
-        raw = self.top_logits(texts).astype(np.float64) * self.net.scale + self.net.shift
+        raw = np.concatenate([self.top_logits(part) for part in bounded_chunks(texts, self.p.batch_chars)]).astype(np.float64) * self.net.scale + self.net.shift
         return _sigmoid(np.clip(raw, -60, 60)).tolist()
 
 
@@ -362,7 +363,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> Data
 
 def score_documents(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    net = train_toxicity((tuple(r) for r in training_rows(docs, labels, p).collect()), p)
+    net = fit_in_task(training_rows(docs, labels, p), lambda rows: train_toxicity(rows, p))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few MB, whatever the input
 
     def make():
@@ -380,7 +381,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, p: ToxicityParams = Toxi
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is under one half.  Rows pass through in place: no join, no shuffle."""
-    net = train_toxicity((tuple(r) for r in training_rows(docs, labels, p).collect()), p)
+    net = fit_in_task(training_rows(docs, labels, p), lambda rows: train_toxicity(rows, p))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     share_code(docs.sparkSession)
 
