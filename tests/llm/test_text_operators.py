@@ -250,6 +250,7 @@ def test_html_tolerance():
     assert html_text.main_text(two).startswith("H0\n\n") and "\n\nH1\n\n" in html_text.main_text(two)
     assert html_text.main_text("<body><noscript>x<p>" + prose(20)).count(" ") >= 19
     assert html_text.main_text("<body class=has-sidebar><div class='content-with-nav'><p>kept</p></div>") == "kept"
+    assert html_text.main_text("<div class=site-header>top</div><article><div class='post-header'><h1>T</h1></div><p>body</p><div class=post-footer>f</div></article>") == "T\n\nbody"
     assert html_text.main_text("<div class=sidebar><article><p>in an article</p></article></div>") == "in an article"
     deep = ["<div>" * 20000 + "x", "<b>" * 20000 + "</i>" * 20000 + "x", "<ul><li>" * 10000 + "x", "<table><tr><td>" * 7000 + "x"]
     start = time.process_time()

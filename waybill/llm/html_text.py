@@ -14,7 +14,7 @@ one it goes as far as its edge.
 
 Edge cases: null or empty html, and a page without text, give an empty text; unclosed, misnested and
 unknown tags are tolerated, and the time is linear in the page for any depth of nesting; a header
-inside an article is the article's own and stays; ties go to the outermost, then first node; very long
+inside an article, by element or by name, is the article's own and stays; ties go to the outermost, then first node; very long
 pages are read whole; repeated rows each give a row; an empty table gives an empty table; extra
 columns, whatever their names, are not read.
 """
@@ -56,29 +56,31 @@ ENDS_PARAGRAPH = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "t
 class Node:
     __slots__ = ("tag", "children", "parent", "first", "last", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, first: int, named: bool) -> None:
+    def __init__(self, tag: str, parent: Node | None, first: int, named: str) -> None:
         self.tag, self.parent, self.first, self.last, self.named = tag, parent, first, first, named
         self.children: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def named_furniture(tag: str, attributes: str) -> bool:
-    """Whether a class, id or role is a word of furniture, or a name that begins or ends with one."""
+def named_furniture(tag: str, attributes: str) -> str:
+    """The word of furniture that a class, id or role is, or that such a name begins or ends with; empty if there is none."""
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
     for m in MARKS.finditer(attributes):
         for mark in (m[1] or m[2] or m[3] or "").lower().split():
             parts = [x for x in re.split(r"[-_:]+", mark) if x]
-            if mark in FURNITURE_WORDS or parts and NOT_NAMES.isdisjoint(parts) and (parts[0] in FURNITURE_WORDS or parts[-1] in FURNITURE_WORDS):
-                return True
-    return False
+            ends = [mark, *parts[-1:], *parts[:1]] if NOT_NAMES.isdisjoint(parts) else [mark]
+            for word in ends:
+                if word in FURNITURE_WORDS:
+                    return word
+    return ""
 
 
 def parse(page: str) -> tuple[Node, list[str | None]]:
     """The tree under one root, and its events: strings of text, and None at block edges.  A node covers events[first:last]."""
     events: list[str | None] = []
-    root = Node("#root", None, 0, False)
+    root = Node("#root", None, 0, "")
     here, at, end = root, 0, len(page)
     open_tags: dict[str, int] = {}  # how many of a tag are open, so that no search goes up in vain
 
@@ -179,7 +181,7 @@ def drop_furniture(root: Node, events: list[str | None]) -> None:
     for node in reversed(top_down(root)):
         if node.parent is not None and (id(node) in holds or node.tag in ("article", "main")) and sizes[node.last] > sizes[node.first]:
             holds.add(id(node.parent))
-    prune(lambda c: not c.named or id(c) in holds or (id(root) not in holds and 2 * (sizes[c.last] - sizes[c.first]) > sizes[-1]))
+    prune(lambda c: not c.named or (c.named == "header" and id(c) in inside) or id(c) in holds or (id(root) not in holds and 2 * (sizes[c.last] - sizes[c.first]) > sizes[-1]))
 
 
 def measure(root: Node, events: list[str | None]) -> list[Node]:
