@@ -132,15 +132,15 @@ def outline(h: np.ndarray) -> list[int]:
     return np.packbits(planes, bitorder="little").view("<i8").tolist()
 
 
-PARITY = 1024
+PARITY = 512
 
 
 def parity(h: np.ndarray) -> list[int]:
-    """How many hashes fall into each of 1024 bins, modulo two, as 64-bit words.
+    """How many hashes fall into each of 512 bins, modulo two, as 64-bit words.
 
     Two of them differ in at most as many bits as their sets in members, so they never hide a link.
     """
-    odd = np.bincount((mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)) >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1
+    odd = np.bincount((mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)) >> np.uint64(55)).astype(np.int64), minlength=PARITY) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
@@ -307,18 +307,19 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     split = placed.join(main, "key").drop("parts").join(near, ["a", "node"], "left")
     split = cut(split.withColumn("near", F.coalesce("near", F.col("node") == F.col("a"))))
     around = cut(split.filter("near and node <> a").select("a", F.col("node").alias("b"), "component").distinct())
-    pairs = outlined(differing(around, nodes, docs, p)).filter(likely).select("a", "b")
+    met = differing(around, nodes, docs, p)
 
     bands = F.array(*(F.hash(_band(p, c, i)) for c in range(2) for i in range(p.tables)))
     mixed = split.groupBy("key").agg(F.bool_and("near").alias("near")).filter("not near").select("key")  # keys that hold far nodes
-    members = split.join(mixed, "key", "left_semi").join(nodes.select("node", "outline", "parity", bands.alias("bands")), "node")
-    rest = members.filter("component <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "outline", "parity", "bands", "near")))
+    members = split.join(mixed, "key", "left_semi").join(nodes.select("node", "parity", bands.alias("bands")), "node")
+    rest = members.filter("component <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "parity", "bands", "near")))
     one_far = rest.filter("not near_a").join(members, "key").filter("component <> component_a and (component = main or near or node > node_a)")
     main_far = rest.filter("near_a").join(members.filter("not near and component = main"), "key").filter("component <> component_a")
-    crossing = one_far.unionByName(main_far).filter(_may_link(p, "n", "n_a") & _in_reach(p, "n", "n_a", "parity", "parity_a")).filter(_agree(p.agree, "outline", "outline_a")).filter(_first_shared(p, "key", "bands", "bands_a"))
+    crossing = one_far.unionByName(main_far).filter(_may_link(p, "n", "n_a") & _in_reach(p, "n", "n_a", "parity", "parity_a")).filter(_first_shared(p, "key", "bands", "bands_a"))
     crossing = crossing.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b"))
     ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.unionByName(crossing).distinct().join(ordered, ["a", "b"], "left_anti"))
+    pairs = outlined(met.unionByName(crossing).distinct()).filter(likely).select("a", "b")
+    pairs = cut(pairs.join(ordered, ["a", "b"], "left_anti"))
     final = components(links.unionByName(verified(pairs, docs, p)))
 
     of_set = sets.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
