@@ -13,8 +13,8 @@ independent keys.  Two sets of similarity s share no key with a chance of about
    they differ in from it (see differing()): to be linked they must share some of those shingles,
    which are rare ones, so a large group of texts that differ in different places forms few pairs.
    Nodes far from the leader meet the other nodes of the key, less those of the key's main component
-   among themselves; small outlines are compared inside that join.  Verified links complete the
-   components.
+   among themselves.  Parities of the sets are compared inside both joins, outlines after them.
+   Verified links complete the components.
 
 So no key forms all pairs of its nodes, and yet no candidate pair between different components goes
 unchecked.  Links are confirmed on the full sets.
