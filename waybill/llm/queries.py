@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waybill.llm import byte_bpe, decontaminate, html_text, language, near_dup, order_minhash, pii, secrets, suffix_dedup, toxicity
+from waybill.llm import byte_bpe, decontaminate, fill_middle, html_text, interleave, language, near_dup, order_minhash, pii, runs, secrets, suffix_dedup, toxicity
 from waybill.llm.common import table
 
 #: Name of the rank file in the folder of public vocabularies.
@@ -55,8 +55,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op11_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleave.positions(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_pii, op4_near_dup, op5_decontaminate, op6_html_text, op7_secrets, op8_language, op9_fingerprint, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_pii, op4_near_dup, op5_decontaminate, op6_html_text, op7_secrets, op8_language, op9_fingerprint, op10_byte_bpe, op11_interleave, op12_fill_middle, op13_runs)}
 
 
 #: Exact form of op4: all pairs that share a shingle, full sets, smallest reachable doc_id.
