@@ -5,13 +5,13 @@ by octaves [P, 2P), P a power of two.  For a period q, let a match be a word tha
 later; a run of m words is m - q matches in a row, 3 q of them at least.
 
 1. A document's words are numbered.  On every octave, boundaries stand P words apart.  A stretch of at
-   least 3 q >= 3 P matches goes on for P words to the left or to the right of each boundary in it, so
-   one of two blocks of P words at the boundary stands again q words later.  Hashes of all blocks of P
-   words, made from those of P / 2, show in one pass which boundaries may lie in a run; the rest are
-   passed over.  This loses nothing, since equal blocks have equal hashes.
+   least 3 q >= 3 P matches holds two whole blocks of P words between boundaries, one after the other,
+   and both stand again q words later.  Hashes of all P words in a row, made from those of P / 2, show
+   in one pass which boundaries may lie in a run; the rest are passed over.  This loses nothing, since
+   equal blocks have equal hashes, and each boundary of a stretch is an edge of such a block.
 2. Boundaries are gathered in tiles: words lo - P to hi + 3 P for the boundaries from lo to hi, so tiles
-   overlap.  Tiles leave the task that read the document and are dealt over the cluster, so that a very
-   long document is the work of many tasks.
+   overlap; words that no boundary needs are in none.  Tiles leave the task that read the document and
+   are dealt over the cluster, so that a very long document is the work of many tasks.
 3. A tile is solved on its own.  For each boundary b, the Z-function of the words from b on tells how
    far matches of every period of the octave go to the right, and that of the words before b, backwards,
    how far to the left: fragments (document, period, from, to), joined within the tile.
@@ -109,10 +109,11 @@ def boundaries(ids: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndar
         number = at // octave
         before = np.maximum(number - 1, 0) * octave
         hit = (number > 0) & (block == block[starts[owner] + before])
-        found = np.flatnonzero(hit)
+        found = np.flatnonzero(hit[:-octave] & hit[octave:] & (owner[:-octave] == owner[octave:]))
         if len(found):
-            # the block of boundary j stands again: boundary j may see it on its right, boundary j + 1 on its left
-            pairs = np.unique(np.concatenate([(owner[found] << 40) | before[found], (owner[found] << 40) | (before[found] + octave)]))
+            # the blocks after boundaries j and j + 1 stand again at one distance: boundaries j to j + 2 are their edges
+            first = (owner[found] << 40) | before[found]
+            pairs = np.unique(np.concatenate([first, first + octave, first + 2 * octave]))
             yield octave, which[pairs >> 40], pairs & ((1 << 40) - 1)
         ahead = np.minimum(np.arange(len(block)) + octave, len(block) - 1)
         block = mix(block * MIX + block[ahead])
@@ -167,8 +168,8 @@ def solve_tile(words: list[int], first: int, octave: int, marks: list[int]) -> l
 def _tiles(ids: np.ndarray, octave: int, marks: np.ndarray, p: RunParams) -> Iterator[tuple[int, list[int], np.ndarray]]:
     """(number of its first word, boundaries, words) of each tile."""
     span = max(p.tile_words // octave, 8) * octave
-    tile = marks // span
-    for part in np.split(marks, np.flatnonzero(np.diff(tile)) + 1):
+    apart = (np.diff(marks // span) > 0) | (np.diff(marks) > 4 * octave)
+    for part in np.split(marks, np.flatnonzero(apart) + 1):
         low, high = max(int(part[0]) - octave, 0), int(part[-1]) + 3 * octave
         yield low, part.tolist(), ids[low:high]
 
