@@ -124,12 +124,3 @@ def test_roll_up_merges_late_rows(spark):
     assert (both.readings, both.avg_value, both.last_value) == (5, 40.0, 60.0)
 
 
-def test_plans(spark):
-    f = fixes(spark, [(0, 2000)])
-    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    votes = G.settled(G.decided(G.sequenced(G.ordered(G.opinions(spark.createDataFrame([], "vehicle_id string, geofence_id string, event_ts timestamp_ntz, distance_m double, radius_m double, band_m double"))))))
-    assert plan(votes).count("Exchange hashpartitioning") == 1 and plan(votes).count("Sort [") == 1
-    from waybill.operators.asof import as_of
-
-    probe = f.select("vehicle_id", "event_ts")
-    assert "CartesianProduct" not in plan(as_of(probe, spark.createDataFrame([], SIG), "vehicle_id", ["event_ts"], ["r"]))

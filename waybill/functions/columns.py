@@ -14,13 +14,19 @@ def seconds_between(a: Column, b: Column) -> Column:
     """b - a in seconds (decimal), whatever the session's time zone."""
     gap = b - a
     part = lambda unit: F.extract(F.lit(unit), gap)
-    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
+    return part("DAY").cast("long") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
 
 
 def epoch_seconds(ts: Column) -> Column:
     return seconds_between(F.expr(EPOCH), ts)
 
 
+def whole_seconds(ts: Column) -> Column:
+    """Seconds since 1970 without fractions, as a long, from the clock's own parts."""
+    day = F.unix_date(ts.cast("date")).cast("long")
+    return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def epoch_ms(ts: Column) -> Column:
     return F.floor(epoch_seconds(ts) * 1000).cast("long")
 

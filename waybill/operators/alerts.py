@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waybill.functions.columns import epoch_ms, plus_seconds, seconds_between
+from waybill.operators.scan import SLICE_SEC, earlier, folded, last_value, slice_of, sliced, within
 from waybill.schemas import CLEAR_BAND
 
 COLUMNS = ["alert_id", "vehicle_id", "alert_type", "severity", "raised_at", "escalated_at", "resolved_at", "dismissed_at", "dismiss_reason"]
@@ -74,18 +75,34 @@ def evaluate(alerts: DataFrame, condition: DataFrame, now: Column) -> DataFrame:
     return closed.select(*COLUMNS).unionByName(folded)
 
 
-def episodes(log: DataFrame, spec: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Episodes of the whole log, each reading an evaluation at its own time; windows share one shuffle and one sort."""
+def episodes(log: DataFrame, spec: DataFrame, kinds: DataFrame, seconds: int = SLICE_SEC) -> DataFrame:
+    """Episodes of the whole log, each reading an evaluation at its own time.
+
+    A reading in breach opens, a cleared one closes, any other leaves things as they are.  The log is
+    scanned by slices: a slice is told whether an episode was open, how many had begun and the last severity.
+    """
+    key = ["vehicle_id", "alert_type"]
     rows = log.join(F.broadcast(kinds), "signal").crossJoin(F.broadcast(thresholds(spec)))  # two rows, one row
-    rows = rows.select("vehicle_id", "alert_type", "event_ts", severity_of(F.col("alert_type"), F.col("value")).alias("sev"), cleared(F.col("alert_type"), F.col("value")).alias("clr"))
-    w = Window.partitionBy("vehicle_id", "alert_type").orderBy("event_ts")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("is_open", F.last(F.when(F.col("sev").isNotNull(), 1).when(F.col("clr"), 0), ignorenulls=True).over(w))
-    rows = rows.withColumn("was_open", F.coalesce(F.lag("is_open").over(w), F.lit(0))).withColumn("prev_sev", F.last("sev", ignorenulls=True).over(before))
-    rows = rows.withColumn("episode", F.sum(F.when((F.col("is_open") == 1) & (F.col("was_open") == 0), 1).otherwise(0)).over(w)).filter("episode > 0")
+    rows = rows.select(*key, "event_ts", severity_of(F.col("alert_type"), F.col("value")).alias("sev"), cleared(F.col("alert_type"), F.col("value")).alias("clr"))
+    rows = sliced(rows.select(*key, "event_ts", "sev", F.when(F.col("sev").isNotNull(), 1).when(F.col("clr"), 0).alias("mark")), slice_of("event_ts", seconds))
+    w = within(key, "event_ts")
+    sooner = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("mark_before", F.last("mark", ignorenulls=True).over(sooner)).withColumn("sev_before", F.last("sev", ignorenulls=True).over(sooner))
+
+    opens = (F.col("mark") == 1) & (F.col("mark_before") == 0)
+    first = F.min_by("mark", F.when(F.col("mark").isNotNull(), F.col("event_ts")))
+    ends = folded(rows, key, first=first, last=last_value(F.col("mark"), F.col("event_ts")), sev=last_value(F.col("sev"), F.col("event_ts")), begun=F.count_if(opens))
+    before = earlier(key)
+    ends = ends.withColumn("open_in", F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(0))).withColumn("sev_in", F.last("sev", ignorenulls=True).over(before))
+    ends = ends.withColumn("begun", F.col("begun") + ((F.col("first") == 1) & (F.col("open_in") == 0)).cast("int")).withColumn("begun_in", F.coalesce(F.sum(F.coalesce("begun", F.lit(0))).over(before), F.lit(0)))
+
+    rows = rows.join(ends.select(*key, "slice_", "open_in", "sev_in", "begun_in"), [*key, "slice_"])
+    rows = rows.withColumn("was_open", F.coalesce("mark_before", "open_in")).withColumn("is_open", F.coalesce("mark", "was_open"))
+    starts = (F.col("is_open") == 1) & (F.col("was_open") == 0)
+    rows = rows.withColumn("episode", F.col("begun_in") + F.count_if(starts).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("episode > 0")
     when = lambda c: F.when(c, F.col("event_ts"))
-    rise = (F.col("sev") == "critical") & ((F.col("was_open") == 0) | (F.col("prev_sev") == "warning"))
-    return rows.groupBy("vehicle_id", "alert_type", "episode").agg(
+    rise = (F.col("sev") == "critical") & ((F.col("was_open") == 0) | (F.coalesce("sev_before", "sev_in") == "warning"))
+    return rows.groupBy(*key, "episode").agg(
         F.min(when(F.col("is_open") == 1)).alias("raised_at"),
         F.min(when((F.col("is_open") == 0) & (F.col("was_open") == 1))).alias("resolved_at"),
         F.max_by("sev", when(F.col("sev").isNotNull())).alias("severity"),

@@ -130,6 +130,10 @@ class Fleet:
     def votes(self) -> DataFrame:
         return G.derive(self.fix, self.fences, self.scope)
 
+    @cached_property
+    def ballots(self) -> DataFrame:
+        return G.each_vote(self.fix, self.fences, self.scope)
+
     @cached_property
     def crossings(self) -> DataFrame:
         return G.transitions(self.votes)
@@ -336,10 +340,10 @@ QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "g4_probes": lambda f: G.probes(f.fix, f.fences, f.scope).groupBy("vehicle_id", "geofence_id").agg(F.count(F.lit(1)).alias("probes"), F.sum("band_m").alias("band_m")),
     "g5_opinions": lambda f: G.opinions(G.probes(f.fix, f.fences, f.scope)),
     "g6_seed_votes": lambda f: f.seeds.select("vehicle_id", "geofence_id", "event_ts", "zone", "seed_zone"),
-    "g7_votes": lambda f: G.ordered(G.opinions(G.probes(f.fix, f.fences, f.scope))).groupBy("geofence_id", "zone").agg(F.count(F.lit(1)).alias("votes")),
-    "g8_previous": lambda f: f.votes.select("vehicle_id", "geofence_id", "event_ts", "prev_zone", "prev_ts"),
-    "g9_confirmed": lambda f: f.votes.select("vehicle_id", "geofence_id", "event_ts", "confirmed_zone", "crossed_ts"),
-    "g10_settled": lambda f: f.votes.select("vehicle_id", "geofence_id", "event_ts", "prior_zone"),
+    "g7_votes": lambda f: G.ballots(G.opinions(G.probes(f.fix, f.fences, f.scope))).groupBy("geofence_id", "zone").agg(F.count(F.lit(1)).alias("votes")),
+    "g8_previous": lambda f: f.ballots.select("vehicle_id", "geofence_id", "event_ts", F.col("last_vote.zone").alias("last_zone"), F.col("last_vote.event_ts").alias("last_ts")),
+    "g9_confirmed": lambda f: f.ballots.select("vehicle_id", "geofence_id", "event_ts", "settles", F.when(F.col("last_vote.zone") == F.col("zone"), F.col("last_vote.event_ts")).otherwise(F.col("event_ts")).alias("since_ts")),
+    "g10_settled": lambda f: f.ballots.select("vehicle_id", "geofence_id", "event_ts", "stood"),
     "g11_transitions": lambda f: f.crossings,
     "g12_containment": lambda f: f.inside,
     "g13_incremental_crossings": lambda f: f.resumed[0],

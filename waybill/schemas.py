@@ -38,14 +38,28 @@ BUCKET_SEC = 300
 RETENTION_DAYS = 7
 
 
+def _literal(x: object) -> str:
+    if x is None:
+        return "NULL"
+    return f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x)
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A literal table, whose size the planner knows, so that it decides itself whether to broadcast it."""
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    values = ", ".join(f"({', '.join(map(_literal, row))})" for row in rows)
+    columns = ", ".join(f"CAST(c{i} AS {kind}) AS {name}" for i, (name, kind) in enumerate(fields))
+    return spark.sql(f"SELECT {columns} FROM VALUES {values} AS t({', '.join(f'c{i}' for i in range(len(fields)))})")
+
+
 def signal_spec(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SIGNAL_SPEC, SPEC)
+    return _values(spark, SIGNAL_SPEC, SPEC)
 
 
 def seed_fences(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(SEED_FENCES, "geofence_id string, name string, lat double, lon double, radius_m double")
+    rows = _values(spark, SEED_FENCES, "geofence_id string, name string, lat double, lon double, radius_m double")
     return rows.selectExpr("*", "TIMESTAMP_NTZ'2000-01-01 00:00:00' AS active_from", "CAST(NULL AS TIMESTAMP_NTZ) AS active_to", "TIMESTAMP_NTZ'2000-01-01 00:00:00' AS updated_at")
 
 
 def alert_signals(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ALERT_SIGNALS, "alert_type string, signal string")
+    return _values(spark, ALERT_SIGNALS, "alert_type string, signal string")
