@@ -181,3 +181,21 @@ def test_one_long_document_is_many_tiles(spark):
     assert len(seen) > 30 and max(r.w for r in seen if r.octave < 256) < 2048 + 5 * 256
     found = {(r.start, r.length, r.period) for r in runs.periodic_runs(docs, runs.RunParams(tile_words=2048)).collect()}
     assert any(p == 12 and length >= 60_000 for _, length, p in found) and any(p == 9000 and length >= 45_000 for _, length, p in found)
+
+
+def test_the_training_draw_works_for_any_number_of_rows(spark):
+    """Counts of a corpus: the share drawn never rounds to nothing, and repeats of a row count once."""
+    from waybill.llm import common
+
+    for n in (10, 10**9, 10**14):
+        limit = common.sample_limit(300, n)
+        assert abs(limit / (1 << 63) * n - min(n, 300)) < 1e-3 * 300
+    rows = spark.createDataFrame([(1, "a" * 1000, 0)] * 5000 + [(i, f"text {i}", i % 2) for i in range(2, 600)], "doc_id bigint, text string, toxic int")
+    drawn = common.bounded_sample(rows, "toxic", ["doc_id", "text"], 50)
+    found = drawn.groupBy("toxic").count().collect()
+    assert all(20 <= r["count"] <= 90 for r in found) and drawn.distinct().count() == drawn.count()
+    kept = common.within_chars(common.bounded_sample(rows, "toxic", ["doc_id", "text"], 10**6), "toxic", ["doc_id", "text"], 3000)
+    assert kept.agg(F.sum(F.length("text"))).first()[0] <= 3000 and kept.filter("doc_id = 1").count() <= 1
+    assert common.bounded_sample(rows.filter("false"), "toxic", ["doc_id", "text"], 5).count() == 0
+    fake = common._drawn(rows, "toxic", F.shiftrightunsigned(F.xxhash64("doc_id"), 1), [(0, 10**9), (1, 2)], 300)
+    assert fake.filter("toxic = 1").count() == 299 and fake.filter("toxic = 0").count() <= 5

@@ -51,6 +51,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete the checkpoints that ``frames`` read, once what follows from them is written.
+
+    Spark deletes the shuffle files of finished steps when the driver collects its garbage, so that is asked for, too.
+    """
+    for df in frames:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            kept = leaf.rdd().getCheckpointFile() if leaf.nodeName() == "LogicalRDD" else None
+            if kept is not None and kept.isDefined():
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(kept.get())
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str) -> DataFrame:
     """Run ``make()(col1, col2, ...)`` over batches of rows in Python tasks.
 
@@ -78,28 +95,37 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(text, "UTF-8")) % 5 == 0
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, max_labels: int = 256) -> DataFrame:
-    """About ``per_label`` rows of each label, chosen by a hash of ``key``; all rows of rarer labels.
+def bounded_sample(rows: DataFrame, label: str, key: list[str], per_label: int, max_labels: int = 256) -> DataFrame:
+    """About ``per_label`` distinct rows of each label, chosen by a hash of ``key``; all rows of rarer labels.
 
-    ``rows`` is read twice: once for the counts (label column alone) and once for the sample.
+    ``rows`` is read twice: once for the numbers of distinct keys a label, and once for the sample.  The draw
+    uses 63 bits of the hash, so it works for any number of rows.  Rows that repeat a key and label count once.
+    ``max_labels``: a model learns the most frequent labels up to so many; it has a weight vector for each.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), F.col(label)).limit(max_labels).collect()
-    if not counts:
-        return rows.limit(0)
-    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000))
+    draw = F.shiftrightunsigned(F.xxhash64(*key), 1)
+    counts = rows.groupBy(label).agg(F.approx_count_distinct(F.xxhash64(*key)).alias("n")).orderBy(F.desc("n"), F.col(label)).limit(max_labels).collect()
+    return _drawn(rows, label, draw, [tuple(r) for r in counts], per_label).dropDuplicates([*key, label])
+
+
+def _drawn(rows: DataFrame, label: str, draw: Column, counts: list[tuple], per_label: int) -> DataFrame:
     keep = F.lit(False)
     for value, n in counts:
-        keep = keep | ((F.col(label) == F.lit(value)) & (draw < int(min(1.0, per_label / n) * 1_000_000)))
+        keep = keep | ((F.col(label) == F.lit(value)) & (draw <= sample_limit(per_label, n)))
     return rows.filter(keep)
 
 
-def within_chars(rows: DataFrame, label: str, key: str, chars: int) -> DataFrame:
-    """Of drawn ``rows`` (key, text, label), those that fit into ``chars`` characters of text, an even share for each label.
+def sample_limit(per_label: int, n: int) -> int:
+    """The largest 63-bit hash that is drawn, so that about ``per_label`` of ``n`` are."""
+    return (1 << 63) - 1 if n <= per_label else (per_label << 63) // n
+
+
+def within_chars(rows: DataFrame, label: str, key: list[str], chars: int) -> DataFrame:
+    """Of drawn ``rows`` (distinct by key and label), those that fit into ``chars`` characters of text, an even share for each label.
 
     They are taken in the order of a hash of the key; a row that does not fit is passed over.  Only
-    keys and lengths of the drawn rows reach the driver, and texts are filtered where they lie.
+    hashes and lengths of the drawn rows reach the driver, and texts are filtered where they lie.
     """
-    drawn = sorted(tuple(r) for r in rows.select(F.xxhash64(F.col(key)), F.length("text"), label).collect())
+    drawn = sorted(tuple(r) for r in rows.select(F.xxhash64(*key), F.length("text"), label).collect())
     share = chars // max(1, len({value for _, _, value in drawn}))
     used: dict = {}
     kept = set()
@@ -108,7 +134,7 @@ def within_chars(rows: DataFrame, label: str, key: str, chars: int) -> DataFrame
             used[value] = used.get(value, 0) + n
             kept.add((k, n))
     chosen = rows.sparkSession.createDataFrame(sorted(kept), "hash_ bigint, size_ int")
-    with_hash = rows.withColumn("hash_", F.xxhash64(F.col(key))).withColumn("size_", F.length("text"))
+    with_hash = rows.withColumn("hash_", F.xxhash64(*key)).withColumn("size_", F.length("text"))
     return with_hash.join(F.broadcast(chosen), ["hash_", "size_"], "left_semi").drop("hash_", "size_")
 
 

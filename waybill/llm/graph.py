@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import cut
+from waybill.llm.common import cut, drop_cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,4 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         if row[0] == 0 or tuple(row) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = tuple(row)
-        now = cut(_star(_star(now, large=True), large=False))
+        before, now = now, cut(_star(_star(now, large=True), large=False))
+        drop_cut(before)

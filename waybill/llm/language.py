@@ -32,6 +32,8 @@ class LanguageParams:
     """The bounds of training: rows a label, and characters of all rows (an even share for each label)."""
 
     rows_per_label: int = 300
+    #: The most frequent languages up to so many are learnt; the model has a weight vector for each.
+    max_languages: int = 4096
     train_chars: int = 16_000_000
     buckets: int = 1 << 15
     dim: int = 12
@@ -175,7 +177,8 @@ class Scorer:
 def training_rows(docs: DataFrame, p: LanguageParams) -> DataFrame:
     """The bounded sample: about ``rows_per_label`` rows of each language, none held out, of any length."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    return within_chars(bounded_sample(rows, "lang", "doc_id", p.rows_per_label), "lang", "doc_id", p.train_chars).select("text", "lang")
+    key = ["doc_id", "text"]
+    return within_chars(bounded_sample(rows, "lang", key, p.rows_per_label, p.max_languages), "lang", key, p.train_chars).select("text", "lang")
 
 
 def detect_languages(docs: DataFrame, p: LanguageParams = LanguageParams()) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waybill.llm.common import cut, map_batches
+from waybill.llm.common import cut, drop_cut, map_batches
 from waybill.llm.graph import components
 from waybill.llm.words import MIX, mix
 
@@ -248,8 +248,8 @@ def verified(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     return both.filter(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * p.percent).select("a", "b")
 
 
-def differing(close: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """Candidate pairs (node_a, node) among nodes that are close to one leader, of different components.
+def differing(close: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) among nodes that are close to one leader, of different components, and the written table that they are read from.
 
     ``close``: a (the leader), b (a node), component.  D(x) is the set of shingles that are in one of x
     and the leader L alone.  With r = (100 - percent) / (100 + percent), x and y are linked when
@@ -274,7 +274,7 @@ def differing(close: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupPar
     left = ranked.filter("free").select("a", "token", F.col("b").alias("node_a"), F.col("n").alias("small"), F.col("component").alias("component_a"), F.col("early").alias("early_a"), F.col("parity").alias("parity_a"))
     right = ranked.filter("early").select("a", "token", F.col("b").alias("node"), "n", "component", "free", "parity")
     met = left.join(right, ["a", "token"]).filter("component <> component_a and (not free or (early_a and node > node_a))").filter(_may_link(p, "n", "small") & _in_reach(p, "n", "small", "parity", "parity_a"))
-    return met.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
+    return met.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct(), tokens
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -294,6 +294,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     weights = crowded.groupBy("node").agg(F.sum("size").alias("weight"))
     leaders = crowded.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("a"))
     led = cut(crowded.drop("size").join(leaders, "key"))
+    drop_cut(crowded)
     stars = outlined(led.filter("a <> node").select("a", F.col("node").alias("b")).distinct()).filter(_agree(p.close, "o_a", "o_b"))
     stars = cut(stars.select("a", "b", likely.alias("likely")))
     tried = stars.filter("likely").select("a", "b")
@@ -306,8 +307,9 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     near = stars.select("a", F.col("b").alias("node"), F.lit(True).alias("near"))
     split = placed.join(main, "key").drop("parts").join(near, ["a", "node"], "left")
     split = cut(split.withColumn("near", F.coalesce("near", F.col("node") == F.col("a"))))
+    drop_cut(led, grouped)
     around = cut(split.filter("near and node <> a").select("a", F.col("node").alias("b"), "component").distinct())
-    met = differing(around, nodes, docs, p)
+    met, tokens = differing(around, nodes, docs, p)
 
     bands = F.array(*(F.hash(_band(p, c, i)) for c in range(2) for i in range(p.tables)))
     mixed = split.groupBy("key").agg(F.bool_and("near").alias("near")).filter("not near").select("key")  # keys that hold far nodes
@@ -320,7 +322,9 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = outlined(met.unionByName(crossing).distinct()).filter(likely).select("a", "b")
     pairs = cut(pairs.join(ordered, ["a", "b"], "left_anti"))
+    drop_cut(tokens, split, around, stars)
     final = components(links.unionByName(verified(pairs, docs, p)))
+    drop_cut(pairs, links)
 
     of_set = sets.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = signed.join(of_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

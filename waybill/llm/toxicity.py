@@ -355,10 +355,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> Data
     A document with several labels counts as toxic if one of them says so; a null label counts as none.
     """
     toxic = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    drawn = bounded_sample(toxic.filter(~held_out(F.col("doc_id"))), "toxic", "doc_id", p.rows_per_label)
-    # at most rows_per_label rows a label, by the draw
+    drawn = bounded_sample(toxic.filter(~held_out(F.col("doc_id"))), "toxic", ["doc_id"], p.rows_per_label)
+    # about rows_per_label rows a label, by the draw; one id may have many texts, so the rows that it finds are drawn again
     rows = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(drawn), "doc_id")
-    return within_chars(rows, "toxic", "doc_id", p.train_chars).select("text", "toxic")
+    rows = bounded_sample(rows, "toxic", ["doc_id", "text"], p.rows_per_label)
+    return within_chars(rows, "toxic", ["doc_id", "text"], p.train_chars).select("text", "toxic")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
