@@ -125,6 +125,14 @@ def dismiss(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     return rows.select(*COLUMNS[:-2], F.when(kept, F.col("dismissed_at")).when(~F.col("a.undo"), F.col("a.at")).alias("dismissed_at"), F.when(kept, F.col("dismiss_reason")).when(~F.col("a.undo"), reason).alias("dismiss_reason"))
 
 
+def dismissed_as(alerts: DataFrame, before: DataFrame) -> DataFrame:
+    """``alerts`` with the user's dismissals of the same open episodes ``before``: they follow from no log."""
+    kept = before.filter("resolved_at IS NULL AND dismissed_at IS NOT NULL").groupBy("vehicle_id", "alert_type").agg(F.max_by(F.struct("severity", "dismissed_at", "dismiss_reason"), "raised_at").alias("d"))
+    rows = alerts.join(kept, ["vehicle_id", "alert_type"], "left")
+    holds = F.col("d").isNotNull() & F.col("resolved_at").isNull() & ((F.col("severity") != "critical") | (F.col("d.severity") == "critical"))
+    return rows.select(*COLUMNS[:-2], F.when(holds, F.col("d.dismissed_at")).otherwise(F.col("dismissed_at")).alias("dismissed_at"), F.when(holds, F.col("d.dismiss_reason")).otherwise(F.col("dismiss_reason")).alias("dismiss_reason"))
+
+
 def open_list(alerts: DataFrame, roster: DataFrame, kinds: DataFrame, spec: DataFrame, latest: DataFrame, now: Column) -> DataFrame:
     """Live alerts with the facts a card shows; order by (severity = critical first, raised_at newest first)."""
     live = alerts.filter("resolved_at IS NULL AND dismissed_at IS NULL")

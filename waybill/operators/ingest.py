@@ -6,7 +6,7 @@ small by nature (roster, configuration) and left to the planner's size check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,12 +30,23 @@ def dedupe(batch: DataFrame) -> DataFrame:
 
 
 def append_absent(batch: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key the log lacks; the log is read only for the batch's own span of time, so old partitions are pruned."""
-    edge = lambda pick: batch.agg(pick("event_ts")).scalar()
-    near = log.filter((F.col("event_ts") >= edge(F.min)) & (F.col("event_ts") <= edge(F.max)))
+    """Rows whose key the log lacks; the log is read only for the batch's own span of time.
+
+    A log partitioned by event_date is pruned to the batch's dates.  Both ends come from one pass.
+    """
+    span = batch.agg(F.struct(F.min("event_ts").alias("low"), F.max("event_ts").alias("high"))).scalar()
+    near = log.filter((F.col("event_ts") >= span["low"]) & (F.col("event_ts") <= span["high"]))
+    if "event_date" in log.columns:
+        near = near.filter((F.col("event_date") >= span["low"].cast("date")) & (F.col("event_date") <= span["high"].cast("date")))
     return batch.join(near.select(*key), key, "left_anti").select(*batch.columns)
 
 
+def split_too_late(rows: DataFrame, cut_off: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows to apply, rows older than the cut-off): the latter cannot be replayed and are rejected; a row without a time is never too late."""
+    old = F.coalesce(F.col("event_ts") < cut_off, F.lit(False))
+    return rows.filter(~old), rows.filter(old)
+
+
 def newest(log: DataFrame) -> DataFrame:
     """Latest value a vehicle and signal."""
     return log.groupBy("vehicle_id", "signal").agg(F.max("event_ts").alias("event_ts"), F.max_by("value", "event_ts").alias("value"))
@@ -66,13 +77,14 @@ POSITION = ["vehicle_id", "event_ts"]
 def receipts(batches: DataFrame, log: DataFrame, roster: DataFrame, spec: DataFrame, fixes: DataFrame, fix_log: DataFrame, watermark: DataFrame) -> DataFrame:
     """One row a batch (batch_id): packets, orphans, offered, applied, late, duplicates.
 
-    ``batches`` are signal rows and ``fixes`` position rows, both with batch_id.  Offered and applied
+    ``batches`` are signal rows, with batch_id and the packet_id of the packet that each came in, and
+    ``fixes`` position rows with batch_id.  Offered and applied
     count keys of both; a key counts as applied in its first batch.  Late counts vehicles whose first
     report in the batch is older than their watermark.
     """
     known = batches.join(roster.select("vehicle_id", F.lit(1).alias("v_")), "vehicle_id", "left").join(spec.select("signal", F.lit(1).alias("s_")), "signal", "left")
     known = known.withColumn("kept_", F.col("v_").isNotNull() & F.col("s_").isNotNull())
-    counts = known.groupBy("batch_id").agg(F.count(F.lit(1)).alias("packets"), F.count_if(~F.col("kept_")).alias("orphans"))
+    counts = known.groupBy("batch_id").agg(F.count_distinct("packet_id").alias("packets"), F.count_if(~F.col("kept_")).alias("orphans"))
     clean, placed = known.filter("kept_"), fixes.join(roster.select("vehicle_id"), "vehicle_id", "left_semi")
     offers = [(clean.groupBy("batch_id", *KEY), log, KEY), (placed.groupBy("batch_id", *POSITION), fix_log, POSITION)]
     tallies = []

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waybill.schemas import BUCKET_SEC
 
 BUCKET = ["vehicle_id", "signal", "bucket_ts"]
+ROLL_UP = [*BUCKET, "readings", "min_value", "max_value", "avg_value", "last_value", "last_ts"]
 
 
 def bucket_ts() -> Column:

@@ -85,7 +85,7 @@ class Fleet:
         e = F.col("event_id")
         again = F.explode(F.when(e % 15 == 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0)))).alias("more")
         both = self.sig.select("*", again).withColumn("value", F.col("value") + F.col("more"))
-        return both.select(F.when(e % 50 == 0, "ghost").otherwise(F.col("vehicle_id")).alias("vehicle_id"), F.when(e % 35 == 5, "bogus").otherwise(F.col("signal")).alias("signal"), "event_ts", "value", (e % 3).alias("batch_id"))
+        return both.select(F.when(e % 50 == 0, "ghost").otherwise(F.col("vehicle_id")).alias("vehicle_id"), F.when(e % 35 == 5, "bogus").otherwise(F.col("signal")).alias("signal"), "event_ts", "value", (e % 3).alias("batch_id"), F.concat_ws("/", e, F.col("more").cast("int")).alias("packet_id"))
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -195,6 +195,11 @@ class Fleet:
     def packets(self) -> DataFrame:
         return parse_packets(event_packets(self.spark, self.sf_dir))
 
+    @cached_property
+    def rejects(self) -> DataFrame:
+        """Packets that are older than half of the telemetry's time."""
+        return I.split_too_late(self.packets, self.mid)[1]
+
     @cached_property
     def receipts(self) -> DataFrame:
         return I.receipts(self.batch, self.log, self.roster, self.spec, self.fix_batch, self.fix_log, self.watermark)
@@ -303,6 +308,7 @@ QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "i6_advance_watermark": lambda f: I.advance_watermark(f.watermark, f.clean, f.fix_batch),
     "i7_offered": lambda f: _all(_n(f.clean.select(*I.KEY).distinct(), "signals"), _n(f.fix_batch.select("vehicle_id", "event_ts").distinct(), "fixes")),
     "i8_receipts": lambda f: f.receipts,
+    "i12_rejected": lambda f: f.rejects.select("vehicle_id", "event_ts", F.size("signals").alias("signals")),
     "i9_session_totals": lambda f: f.receipts.agg(*(F.sum(c).alias(c) for c in ("packets", "orphans", "offered", "applied", "late", "duplicates"))),
     "i10_batch_state": lambda f: _tables(f),
     "i11_rebuild": lambda f: _all(_n(f.latest, "latest"), _n(f.crossings, "transitions"), _n(f.inside, "containment"), _n(f.trips, "trips"), _n(f.alerts, "alerts")),

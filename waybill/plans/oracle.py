@@ -56,8 +56,8 @@ CHAIN: dict[str, str] = {
     "recent": "SELECT l.vehicle_id, l.signal, l.value FROM latest l JOIN spec p USING (signal), c WHERE l.event_ts >= c.now - to_seconds(p.max_age_sec)",
     "log": "SELECT * FROM sig WHERE event_ts <= (SELECT mid FROM c)",
     "flog": "SELECT * FROM fix WHERE event_ts <= (SELECT mid FROM c)",
-    "batch": """SELECT CASE WHEN event_id % 50 = 0 THEN 'ghost' ELSE vehicle_id END AS vehicle_id, CASE WHEN event_id % 35 = 5 THEN 'bogus' ELSE signal END AS signal, event_ts, value, event_id % 3 AS batch_id
-      FROM (SELECT * FROM sig UNION ALL SELECT event_id, vehicle_id, signal, event_ts, value + 1 FROM sig WHERE event_id % 15 = 0)""",
+    "batch": """SELECT CASE WHEN event_id % 50 = 0 THEN 'ghost' ELSE vehicle_id END AS vehicle_id, CASE WHEN event_id % 35 = 5 THEN 'bogus' ELSE signal END AS signal, event_ts, value, event_id % 3 AS batch_id, concat_ws('/', event_id, more) AS packet_id
+      FROM (SELECT *, 0 AS more FROM sig UNION ALL SELECT event_id, vehicle_id, signal, event_ts, value + 1, 1 FROM sig WHERE event_id % 15 = 0)""",
     "clean": "SELECT * FROM batch WHERE vehicle_id IN (SELECT vehicle_id FROM roster) AND signal IN (SELECT signal FROM spec)",
     "deduped": "SELECT vehicle_id, signal, event_ts, min(value) AS value, count(DISTINCT value) - 1 AS conflicts FROM clean GROUP BY vehicle_id, signal, event_ts",
     "wm": "SELECT vehicle_id, max(event_ts) AS processed_through FROM (SELECT vehicle_id, event_ts FROM log UNION ALL SELECT vehicle_id, event_ts FROM flog) GROUP BY vehicle_id",
@@ -66,7 +66,7 @@ CHAIN: dict[str, str] = {
       UNION ALL SELECT event_id % 3, concat_ws('|', vehicle_id, event_ts), event_ts <= (SELECT mid FROM c) FROM fix""",
     "offered": "SELECT batch_id, count(DISTINCT k) AS offered, count(DISTINCT k) FILTER (WHERE NOT known AND batch_id = first_batch) AS applied FROM (SELECT *, min(batch_id) OVER (PARTITION BY k) AS first_batch FROM offers) GROUP BY batch_id",
     "lates": "SELECT batch_id, count(*) AS late FROM (SELECT batch_id, vehicle_id, min(event_ts) AS t FROM (SELECT batch_id, vehicle_id, event_ts FROM clean UNION ALL SELECT event_id % 3, vehicle_id, event_ts FROM fix) GROUP BY 1, 2) JOIN wm USING (vehicle_id) WHERE t < processed_through GROUP BY 1",
-    "receipts": "SELECT batch_id, packets, packets - kept AS orphans, offered, applied, coalesce(late, 0) AS late, offered - applied AS duplicates FROM (SELECT batch_id, count(*) AS packets FROM batch GROUP BY 1) JOIN (SELECT batch_id, count(*) AS kept FROM clean GROUP BY 1) USING (batch_id) JOIN offered USING (batch_id) LEFT JOIN lates USING (batch_id)",
+    "receipts": "SELECT batch_id, packets, packets - kept AS orphans, offered, applied, coalesce(late, 0) AS late, offered - applied AS duplicates FROM (SELECT batch_id, count(DISTINCT packet_id) AS packets FROM batch GROUP BY 1) JOIN (SELECT batch_id, count(*) AS kept FROM clean GROUP BY 1) USING (batch_id) JOIN offered USING (batch_id) LEFT JOIN lates USING (batch_id)",
     "ep": _episodes("sig"),
     "ep_mid": _episodes("(SELECT * FROM sig WHERE event_ts <= (SELECT mid FROM c))"),
     "old_alerts": "SELECT concat_ws('|', vehicle_id, alert_type, epoch_ms(raised_at)) AS alert_id, vehicle_id, alert_type, severity, raised_at, escalated_at, resolved_at, CAST(NULL AS TIMESTAMP) AS dismissed_at, CAST(NULL AS VARCHAR) AS dismiss_reason FROM ep_mid",
@@ -161,6 +161,7 @@ SELECTS: dict[str, str] = {
     "i5_late_vehicles": "SELECT count(*) AS late FROM (SELECT vehicle_id, min(event_ts) AS t FROM seen GROUP BY 1) JOIN wm USING (vehicle_id) WHERE t < processed_through",
     "i6_advance_watermark": "SELECT vehicle_id, max(t) AS processed_through FROM (SELECT vehicle_id, event_ts AS t FROM seen UNION ALL SELECT vehicle_id, processed_through FROM wm) GROUP BY 1",
     "i7_offered": "SELECT (SELECT count(*) FROM deduped) AS signals, (SELECT count(*) FROM fix) AS fixes",
+    "i12_rejected": "SELECT vehicle_id, event_ts, CASE WHEN signal = 'soc' THEN 2 ELSE 1 END AS signals FROM sig, c WHERE event_ts < mid",
     "i8_receipts": "SELECT * FROM receipts",
     "i9_session_totals": "SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("packets", "orphans", "offered", "applied", "late", "duplicates")) + " FROM receipts",
     "i10_batch_state": " UNION ALL ".join(

@@ -1,31 +1,34 @@
 """Structured Streaming over packets: exactly-once log, and everything derived from it, batch by batch.
 
-A batch runs in a fixed order: stage, drop orphans, log and latest values, lateness, alerts, fences,
-trips, and the watermark last.  Logs are keyed by the batch id and read without the batch itself, and
-every derived table follows from its own old rows and the log in a way that gives the same when it is
-done twice; a vehicle whose fence state is already ahead of the batch (as after a failure between
-two tables) is replayed whole.  So a batch that is run again after a failure gives the same tables.
-Only the buckets of vehicles that a batch touches are read and written.
+A batch runs in a fixed order: stage, reject what is too old, log and latest values, lateness, alerts,
+fences, trips, and the watermark last.  Every table is read as it was before the batch and written as the
+batch's own version, so a batch that runs again, after a failure at any point, gives the same tables.
+Only the buckets of vehicles that a batch touches are read and written; the log is read for the dates
+that a batch needs.  Counts of a receipt are observed on the rows as they are written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from waybill import schemas
-from waybill.operators import alerts, geofence, ingest, retention, trips
+from waybill.functions.columns import plus_seconds
+from waybill.operators import alerts, geofence, ingest, retention, status, trips
 from waybill.sources.readers import packet_fixes, packet_signals
 from waybill.streaming.store import KeyedStore
 
 LOGS = {
     "signal_reading": "vehicle_id string, signal string, event_ts timestamp_ntz, value double",
     "location_fix": "vehicle_id string, event_ts timestamp_ntz, lat double, lon double, accuracy_m double",
-    "receipt": "vehicle_id string, packets bigint, orphans bigint, offered bigint, applied bigint, late bigint, duplicates bigint",
+    "receipt": "vehicle_id string, packets bigint, rejected bigint, orphans bigint, offered bigint, applied bigint, late bigint, duplicates bigint",
+    "rejected": "vehicle_id string, event_ts timestamp_ntz, packet string",
     "signal_rollup": "vehicle_id string, signal string, bucket_ts timestamp_ntz, readings bigint, min_value double, max_value double, avg_value double, last_value double, last_ts timestamp_ntz",
 }
+DATED = {"signal_reading": "event_ts", "location_fix": "event_ts", "rejected": "event_ts", "signal_rollup": "bucket_ts"}
 STATES = {
     "latest": LOGS["signal_reading"],
+    "last_fix": "vehicle_id string, event_ts timestamp_ntz",
     "watermark": "vehicle_id string, processed_through timestamp_ntz",
     "transition": "vehicle_id string, geofence_id string, event_ts timestamp_ntz, kind string, confidence string",
     "containment": schemas.CONTAINMENT,
@@ -37,58 +40,126 @@ NOBODY = "-"
 
 
 def open_store(spark: SparkSession, root: str, buckets: int = 16) -> KeyedStore:
-    return KeyedStore(spark, root, LOGS, STATES, buckets)
+    return KeyedStore(spark, root, LOGS, STATES, DATED, buckets)
+
+
+def _count(name: str) -> Column:
+    return F.count(F.lit(1)).alias(name)
 
 
 class FleetStream:
-    """The state of one stream; ``apply`` is the function for foreachBatch."""
+    """The state of one stream; ``apply`` is the function for foreachBatch.
+
+    ``keep_sec``: packets older than this, against the newest event time seen, are rejected and counted.
+    """
 
-    def __init__(self, store: KeyedStore, roster: DataFrame, fences: DataFrame, now: str | None = None) -> None:
-        self.store, self.roster, self.fences, self.fixed_now = store, roster, fences, now
+    def __init__(self, store: KeyedStore, roster: DataFrame, fences: DataFrame, now: str | None = None, keep_sec: int | None = None) -> None:
+        self.store, self.roster, self.fences, self.fixed_now, self.keep_sec = store, roster, fences, now, keep_sec
         self.spec = schemas.signal_spec(store.spark)
 
     def apply(self, packets: DataFrame, batch_id: int) -> None:
         s, v = self.store, batch_id
-        packets = packets.persist()
-        now = F.lit(self.fixed_now).cast("timestamp_ntz") if self.fixed_now else F.lit(str(packets.agg(F.max("event_ts")).first()[0])).cast("timestamp_ntz")
-        signals, fixes = packet_signals(packets), packet_fixes(packets)
-        clean = ingest.drop_orphans(signals, self.roster, self.spec)
-        fixes = fixes.join(self.roster.select("vehicle_id"), "vehicle_id", "left_semi").dropDuplicates(["vehicle_id", "event_ts"])
-        offered = ingest.dedupe(clean).drop("conflicts").persist()
-        t = s.touched(offered.select("vehicle_id").unionByName(fixes.select("vehicle_id")))
-        log = lambda table, before: s.log(table, before, t)
-
-        s.append("signal_reading", ingest.append_absent(offered, log("signal_reading", v), ingest.KEY), v)
-        s.append("location_fix", ingest.append_absent(fixes, log("location_fix", v), ["vehicle_id", "event_ts"]), v)
-        applied = sum(s.log(table, None, t, keep_batch=True).filter(F.col("batch") == v).count() for table in ("signal_reading", "location_fix"))
-        s.replace("latest", ingest.advance_latest(s.read("latest", t), offered), t)
-
-        watermark = s.read("watermark", t)
-        late = ingest.late_vehicles(offered, fixes, watermark).count()
-        s.replace("alert", alerts.evaluate(s.read("alert", t), alerts.conditions(s.read("latest", t), self.spec, now), now), t)
-        state = s.read("containment", t)
-        scope = self._scope(fixes, watermark, state)
-        votes = geofence.derive(log("location_fix", v + 1), self.fences, scope, state)  # never cached: Spark renews caches over a table that it writes
-        s.replace("transition", geofence.replace_transitions(s.read("transition", t), geofence.transitions(votes), scope), t)
-        s.replace("containment", geofence.replace_containment(state, geofence.containment(votes), scope), t)
+        s.vacuum(v)
+        seen = {name: Observation(f"{name}-{v}") for name in ("packets", "rejected", "rows", "offered", "placed", "late", "signals", "fixes")}
+
+        fresh, old = self._split(packets, v)
+        s.append("rejected", old.select("vehicle_id", "event_ts", F.to_json(F.struct(*packets.columns)).alias("packet")).observe(seen["rejected"], _count("n")), v)
+        counted = packets.observe(seen["packets"], _count("n"), F.max("event_ts").alias("newest"))
+        rows = packet_signals(self._split(counted, v)[0])
+        known = rows.join(self.roster.select("vehicle_id", F.lit(1).alias("v_")), "vehicle_id", "left").join(F.broadcast(self.spec.select("signal", F.lit(1).alias("s_"))), "signal", "left")  # six signals
+        known = known.withColumn("known_", F.col("v_").isNotNull() & F.col("s_").isNotNull()).observe(seen["rows"], F.count_if(~F.col("known_")).alias("orphans"))
+        offered = s.stage("signals", ingest.dedupe(known.filter("known_")).drop("conflicts").observe(seen["offered"], _count("n")))
+        one = packet_fixes(fresh).join(self.roster.select("vehicle_id"), "vehicle_id", "left_semi").groupBy("vehicle_id", "event_ts").agg(F.min(F.struct("lat", "lon", "accuracy_m")).alias("p"))
+        fixes = s.stage("fixes", one.select("vehicle_id", "event_ts", "p.*").observe(seen["placed"], _count("n")))
+
+        span = offered.select("vehicle_id", "event_ts").unionByName(fixes.select("vehicle_id", "event_ts")).groupBy("vehicle_id").agg(F.min("event_ts").alias("first_ts"))
+        watermark = s.read("watermark", before=v)
+        late = F.coalesce(F.col("first_ts") < F.col("processed_through"), F.lit(False))
+        t = s.touched(s.stage("touched", span.join(watermark, "vehicle_id", "left").observe(seen["late"], F.count_if(late).alias("n"))))
+        newest = seen["packets"].get["newest"]
+        now = F.lit(self.fixed_now or (str(newest) if newest else None)).cast("timestamp_ntz")
+        watermark = s.read("watermark", t, v)
+
+        s.append("signal_reading", ingest.append_absent(offered, s.log("signal_reading", v, t, parts=True), ingest.KEY).observe(seen["signals"], _count("n")), v)
+        s.append("location_fix", ingest.append_absent(fixes, s.log("location_fix", v, t, parts=True), ingest.POSITION).observe(seen["fixes"], _count("n")), v)
+        latest = ingest.advance_latest(s.read("latest", t, v), offered)
+        s.replace("latest", latest, t, v)
+        s.replace("last_fix", status.last_ping(s.read("last_fix", t, v), fixes).withColumnRenamed("last_ping", "event_ts"), t, v)
+        s.replace("alert", alerts.evaluate(s.read("alert", t, v), alerts.conditions(s.read("latest", t), self.spec, now), now), t, v)
+
+        state, scope = s.read("containment", t, v), geofence.batch_scope(fixes, watermark)
+        votes = geofence.derive(self._needed(scope, v, t), self.fences, scope, state)
+        s.replace("transition", geofence.replace_transitions(s.read("transition", t, v), geofence.transitions(votes), scope), t, v)
+        s.replace("containment", geofence.replace_containment(state, geofence.containment(votes), scope), t, v)
         moved = fixes.select("vehicle_id").unionByName(offered.filter("signal = 'odometer'").select("vehicle_id")).distinct()
-        mine = log("signal_reading", v + 1).join(moved, "vehicle_id", "left_semi")
-        fresh = trips.derive(s.read("transition", t), s.read("containment", t), self.fences, mine, moved)
-        s.replace("trip", trips.replace_trips(s.read("trip", t), fresh, moved), t)
+        mine = s.log("signal_reading", v + 1, t).filter("signal = 'odometer'").join(moved, "vehicle_id", "left_semi")
+        fresh_trips = trips.derive(s.read("transition", t), s.read("containment", t), self.fences, mine, moved)
+        s.replace("trip", trips.replace_trips(s.read("trip", t, v), fresh_trips, moved), t, v)
 
-        n_offered = offered.count() + fixes.count()
-        receipt = [(NOBODY, packets.count(), signals.count() - clean.count(), n_offered, applied, late, n_offered - applied)]
+        n = {name: o.get for name, o in seen.items()}
+        n_offered, applied = n["offered"]["n"] + n["placed"]["n"], n["signals"]["n"] + n["fixes"]["n"]
+        receipt = [(NOBODY, n["packets"]["n"], n["rejected"]["n"], n["rows"]["orphans"], n_offered, applied, n["late"]["n"], n_offered - applied)]
         s.append("receipt", s.spark.createDataFrame(receipt, LOGS["receipt"]), v)
-        s.replace("watermark", ingest.advance_watermark(watermark, offered, fixes), t)
-        offered.unpersist()
-        packets.unpersist()
+        s.replace("watermark", ingest.advance_watermark(watermark, offered, fixes), t, v)
+
+    def _split(self, packets: DataFrame, v: int) -> tuple[DataFrame, DataFrame]:
+        """(packets to apply, packets too old)."""
+        if self.keep_sec is None:
+            return packets, packets.filter("false")
+        last = F.greatest(packets.agg(F.max("event_ts")).scalar(), self.store.read("watermark", before=v).agg(F.max("processed_through")).scalar())
+        return ingest.split_too_late(packets, plus_seconds(last, F.lit(-self.keep_sec)))
+
+    def _needed(self, scope: DataFrame, v: int, t: list[int]) -> DataFrame:
+        """Fixes that a scope reads: from its first day on, and earlier days for the buckets of vehicles that are replayed whole."""
+        s = self.store
+        log = s.log("location_fix", v + 1, t, parts=True)
+        day = scope.filter("NOT full_replay").agg(F.coalesce(F.min("from_ts").cast("date"), F.expr("DATE'9999-12-31'"))).scalar()
+        recent = log.filter(F.col("event_date") >= day)
+        whole = s.touched(scope.filter("full_replay"))
+        older = log.filter((F.col("event_date") < day) & F.col("bucket").isin(whole)) if whole else log.filter("false")
+        return recent.unionByName(older).drop("version", "event_date", "bucket")
+
+    def rebuild(self) -> None:
+        """All state tables of all buckets from the log alone, as versions after the newest."""
+        s, every = self.store, list(range(self.store.buckets))
+        signals, fixes = s.log("signal_reading"), s.log("location_fix")
+        scope = geofence.full_scope(fixes.select("vehicle_id").distinct())
+        none = {table: s.spark.createDataFrame([], schema) for table, schema in STATES.items()}
+        newest = ingest.newest(signals)
+        now = F.lit(self.fixed_now).cast("timestamp_ntz") if self.fixed_now else newest.agg(F.max("event_ts")).scalar()
+        s.replace("latest", newest, every)
+        s.replace("last_fix", fixes.groupBy("vehicle_id").agg(F.max("event_ts").alias("event_ts")), every)
+        s.replace("alert", alerts.dismissed_as(alerts.evaluate(none["alert"], alerts.conditions(newest, self.spec, now), now), s.read("alert")), every)
+        votes = geofence.derive(fixes, self.fences, scope)
+        crossings, inside = geofence.transitions(votes), geofence.containment(votes)
+        s.replace("transition", crossings, every)
+        s.replace("containment", inside, every)
+        vehicles = geofence.full_scope(signals.select("vehicle_id").unionByName(fixes.select("vehicle_id")).distinct())
+        s.replace("trip", trips.derive(crossings, inside, self.fences, signals, vehicles), every)
+        s.replace("watermark", ingest.advance_watermark(none["watermark"], signals, fixes), every)
+
+    def edit_fences(self, fences: DataFrame) -> None:
+        """Go on with other fences: what follows from fences is derived anew from the whole log."""
+        self.fences = fences
+        s, every = self.store, list(range(self.store.buckets))
+        signals, fixes = s.log("signal_reading"), s.log("location_fix")
+        votes = geofence.derive(fixes, fences, geofence.full_scope(fixes.select("vehicle_id").distinct()))
+        crossings, inside = geofence.transitions(votes), geofence.containment(votes)
+        s.replace("transition", crossings, every)
+        s.replace("containment", inside, every)
+        s.replace("trip", trips.derive(crossings, inside, fences, signals, geofence.full_scope(signals.select("vehicle_id").unionByName(fixes.select("vehicle_id")).distinct())), every)
+
+    def dismiss(self, actions: DataFrame) -> None:
+        """Dismissals and their undoing, on the stored alerts."""
+        s = self.store
+        hit = s.read("alert").join(actions.select("alert_id"), "alert_id", "left_semi")
+        t = s.touched(hit)
+        s.replace("alert", alerts.dismiss(s.read("alert", t), actions), t)
 
-    def _scope(self, fixes: DataFrame, watermark: DataFrame, state: DataFrame) -> DataFrame:
-        """batch_scope(), with a whole replay of vehicles whose state already holds a vote of the batch's time."""
-        ahead = state.groupBy("vehicle_id").agg(F.max("pending_ts").alias("seen"))
-        rows = geofence.batch_scope(fixes, watermark).join(ahead, "vehicle_id", "left")
-        again = F.col("full_replay") | F.coalesce(F.col("seen") >= F.col("from_ts"), F.lit(False))
-        return rows.select("vehicle_id", F.when(~again, F.col("from_ts")).alias("from_ts"), again.alias("full_replay"))
+    def fleet_list(self, now: Column) -> DataFrame:
+        """The status list from kept state alone: no log is read."""
+        s = self.store
+        return status.scored(self.roster, s.read("latest"), s.read("last_fix"), s.read("alert"), now)
 
     def compact(self, horizon: Column, run: int) -> None:
         """Roll readings older than the horizon up and drop what the buckets hold, and old positions.
@@ -97,16 +168,26 @@ class FleetStream:
         under its own number, before any further batch, and then only drops what its buckets hold.
         """
         s = self.store
-        log = s.log("signal_reading", keep_batch=True)
-        mine = lambda: s.log("signal_rollup", keep_batch=True).filter(F.col("batch") == run).drop("batch")
-        if mine().isEmpty():
+        log = s.log("signal_reading")
+        mine = lambda: s.log("signal_rollup", parts=True).filter(F.col("version") == run * (1 << 20)).select(*retention.ROLL_UP)
+        if run * (1 << 20) not in s.versions("signal_rollup"):
             s.append("signal_rollup", retention.roll_up(log, horizon), run)
-        s.rewrite_log("signal_reading", retention.surviving(log, mine(), horizon))
-        s.rewrite_log("location_fix", s.log("location_fix", keep_batch=True).filter(F.col("event_ts") >= horizon))
+        s.compact("signal_reading", retention.surviving(log, mine(), horizon))
+        s.compact("location_fix", s.log("location_fix").filter(F.col("event_ts") >= horizon))
 
     def history(self) -> DataFrame:
         """Roll-ups of all runs and what is left of the log, as one history of buckets."""
         return retention.stitched(self.store.log("signal_reading"), self.store.log("signal_rollup"))
 
-    def start(self, packets: DataFrame, checkpoint: str, **trigger):
+    def start(self, packets: DataFrame, checkpoint: str, first_filter: str | None = None, **trigger):
+        """Run the stream.  ``first_filter``: for so long after its arrival a packet's exact repeats are dropped before any batch; later ones are no-ops by their keys."""
+        if first_filter:
+            packets = drop_repeats(packets, first_filter)
         return packets.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def drop_repeats(packets: DataFrame, window: str) -> DataFrame:
+    """A stream without exact repeats of packets that arrived within ``window``.  Time is that of arrival, so late packets go through."""
+    digest = F.sha2(F.encode(F.to_json(F.struct(*packets.columns)), "UTF-8"), 256)
+    named = packets.withColumn("digest_", digest).withColumn("arrived_", F.current_timestamp()).withWatermark("arrived_", window)
+    return named.dropDuplicatesWithinWatermark(["digest_"]).select(*packets.columns)
