@@ -63,7 +63,12 @@ def main() -> None:
     at = F.lit(str(kept["latest"].agg(F.max("event_ts")).first()[0])).cast("timestamp_ntz")
     scored = lambda: status.scored(kept["roster"], kept["latest"], kept["last_fix"], kept["alert"], at)
     timed(lambda: status.status_counts(scored()))
-    took["list_refresh"] = round(timed(lambda: status.status_counts(scored())) + timed(lambda: scored().filter("status = 'MOVING'").orderBy("reg_no")), 3)
+    start = time.perf_counter()
+    once = scored().persist()  # a row a vehicle; both statements read it
+    timed(lambda: status.status_counts(once))
+    timed(lambda: once.filter("status = 'MOVING'").orderBy("reg_no"))
+    took["list_refresh"] = round(time.perf_counter() - start, 3)
+    once.unpersist()
 
     # as much as the published load: 500 vehicles x 6 signals x 700 ticks = 2.1 M readings
     def written(df, name: str) -> float:

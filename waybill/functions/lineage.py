@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` written once as a reliable checkpoint in spark.checkpoint.dir, for rows that several branches read.
-
-    Where the setting is absent, a local session (tests) gets a temporary folder; a cluster must name one.
-    """
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Where the setting is absent, a local session (tests) gets a temporary one; a cluster must name one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not spark.sparkContext.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waybill-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="waybill-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` written once as a reliable checkpoint, for rows that several branches read."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint(eager=True)

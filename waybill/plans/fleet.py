@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from waybill import schemas
 from waybill.functions.columns import epoch_ms, plus_seconds, seconds_between
+from waybill.functions.lineage import shared_folder
 from waybill.operators import alerts as A
 from waybill.operators import detail as V
 from waybill.operators import geofence as G
@@ -19,6 +21,8 @@ from waybill.operators import retention as R
 from waybill.operators import status as S
 from waybill.operators import trips as T
 from waybill.operators.retention import percentiles
+from waybill.streaming import detector as D
+from waybill.streaming.pipeline import FleetStream, open_store
 from waybill.sources.readers import event_fixes, event_packets, event_signals, packet_fixes, packet_signals, parse_packets
 
 
@@ -247,6 +251,48 @@ class Fleet:
         rows = [T.replace_trips(old.select("vehicle_id", "key"), new.select("vehicle_id", "key").join(moved, "vehicle_id", "left_semi"), moved).select(F.lit(name).alias("kept_table"), "vehicle_id", "key") for name, (old, new) in ((n, (_keyed(a, n), _keyed(b, n))) for n, (a, b) in tables.items())]
         return rows[0].unionByName(rows[1])
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """All tables of the stream's store after two batches, the older half of the telemetry and the newer: kept_table, vehicle_id, key, amount."""
+        places = self.fix.select("event_id", F.struct("lat", "lon", "accuracy_m").alias("location"))
+        packets = self.sig.join(places, "event_id").select("vehicle_id", "event_ts", F.create_map("signal", "value").alias("signals"), "location")
+        stream = FleetStream(open_store(self.spark, f"{shared_folder(self.spark)}/store-{uuid.uuid4().hex}", 4), self.roster, self.fences)
+        for i, half in enumerate((F.col("event_ts") <= self.mid, F.col("event_ts") > self.mid)):
+            stream.apply(packets.filter(half), i)
+        at, none, s = (lambda c: epoch_ms(F.col(c)).cast("string")), F.lit(None).cast("double"), stream.store
+        tables = {
+            "signal_reading": (s.log("signal_reading"), ["signal", at("event_ts")], F.col("value")),
+            "location_fix": (s.log("location_fix"), [at("event_ts")], F.col("lat")),
+            "latest": (s.read("latest"), ["signal", at("event_ts")], F.col("value")),
+            "last_fix": (s.read("last_fix"), [at("event_ts")], none),
+            "watermark": (s.read("watermark"), [at("processed_through")], none),
+            "transition": (s.read("transition"), ["geofence_id", "kind", "confidence", at("event_ts")], none),
+            "containment": (s.read("containment"), ["geofence_id", "zone", "pending_zone", at("pending_ts")], none),
+            "trip": (s.read("trip"), ["trip_id", "origin_geofence_id", "dest_geofence_id", "status", "confidence"], F.col("distance_km")),
+        }
+        parts = [rows.select(F.lit(name).alias("kept_table"), "vehicle_id", F.concat_ws("|", *key).alias("key"), amount.alias("amount")) for name, (rows, key, amount) in tables.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    @cached_property
+    def keyed(self) -> DataFrame:
+        """What the keyed detector tells of the fixes as a stream of files."""
+        folder = f"{shared_folder(self.spark)}/keyed-{uuid.uuid4().hex}"
+        source, key = self.fix.drop("event_id"), "spark.sql.streaming.stateStore.providerClass"
+        source.write.parquet(f"{folder}/in")
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, D.PROVIDER)
+        try:
+            stream = self.spark.readStream.schema(source.schema).parquet(f"{folder}/in")
+            told = D.detect(stream, self.fences, self.roster)
+            write = lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+            told.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+        finally:
+            self.spark.conf.set(key, before)
+        return self.spark.read.schema(D.OUT).parquet(f"{folder}/out").drop("batch")
+
     @cached_property
     def older(self) -> tuple[DataFrame, DataFrame]:
         votes = G.derive(self.fix_log, self.fences, self.scope)
@@ -299,6 +345,7 @@ QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "s8_one_signal_scan": lambda f: f.sig.filter(ONE).filter((F.col("signal") == "soc") & (F.col("event_ts") >= f.mid)).select("event_ts", "value"),
     "s9_log_append": lambda f: f.appended,
     "s10_keyed_replace": lambda f: f.replaced,
+    "s10_stored_tables": lambda f: f.stored,
     "s11_totals": lambda f: _all(_n(f.roster, "vehicles"), _n(f.sig, "signal_rows"), _n(f.fix, "fix_rows"), f.sig.agg(F.max("event_ts").alias("newest_ts"))),
     "i1_orphans": lambda f: _all(_n(f.batch, "total"), _n(f.clean, "kept")).withColumn("orphans", F.col("total") - F.col("kept")),
     "i2_dedupe": lambda f: I.dedupe(f.clean),
@@ -354,6 +401,7 @@ QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "g12_containment": lambda f: f.inside,
     "g13_incremental_crossings": lambda f: f.resumed[0],
     "g12_incremental_containment": lambda f: f.resumed[1],
+    "g11_keyed_crossings": lambda f: D.crossings(f.keyed),
     "g14_recompute": lambda f: f.crossings.groupBy("geofence_id", "kind", "confidence").agg(F.count(F.lit(1)).alias("n")),
     "g15_occupancy": lambda f: G.occupancy(f.fences, f.inside).orderBy(F.desc("active"), "name"),
     "g16_current_fence": lambda f: G.current_fence(f.fences, f.inside),

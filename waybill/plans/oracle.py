@@ -153,6 +153,13 @@ SELECTS: dict[str, str] = {
     "s10_keyed_replace": """SELECT * FROM (WITH moved AS (SELECT DISTINCT vehicle_id FROM sig WHERE event_ts > (SELECT mid FROM c)), halves AS (SELECT *, vehicle_id IN (SELECT vehicle_id FROM moved) AS is_moved FROM sig)
       SELECT 'latest' AS kept_table, vehicle_id, concat(vehicle_id, '|', signal, '|', epoch_ms(max(event_ts))) AS key FROM halves GROUP BY vehicle_id, signal
       UNION ALL SELECT 'trip', vehicle_id, trip_id FROM trip WHERE vehicle_id IN (SELECT vehicle_id FROM moved) UNION ALL SELECT 'trip', vehicle_id, trip_id FROM trip WHERE vehicle_id NOT IN (SELECT vehicle_id FROM moved))""",
+    "s10_stored_tables": """SELECT 'signal_reading' AS kept_table, vehicle_id, concat_ws('|', signal, epoch_ms(event_ts)) AS key, value AS amount FROM sig
+      UNION ALL SELECT 'location_fix', vehicle_id, concat(epoch_ms(event_ts)), lat FROM fix UNION ALL SELECT 'latest', vehicle_id, concat_ws('|', signal, epoch_ms(event_ts)), value FROM latest
+      UNION ALL SELECT 'last_fix', vehicle_id, concat(epoch_ms(max(event_ts))), NULL FROM fix GROUP BY vehicle_id
+      UNION ALL SELECT 'watermark', vehicle_id, concat(epoch_ms(max(event_ts))), NULL FROM sig GROUP BY vehicle_id
+      UNION ALL SELECT 'transition', vehicle_id, concat_ws('|', geofence_id, kind, confidence, epoch_ms(event_ts)), NULL FROM trans
+      UNION ALL SELECT 'containment', vehicle_id, concat_ws('|', geofence_id, zone, pending_zone, epoch_ms(pending_ts)), NULL FROM cont
+      UNION ALL SELECT 'trip', vehicle_id, concat_ws('|', trip_id, origin_geofence_id, dest_geofence_id, status, confidence), distance_km FROM trip""",
     "s11_totals": "SELECT (SELECT count(*) FROM roster) AS vehicles, (SELECT count(*) FROM sig) AS signal_rows, (SELECT count(*) FROM fix) AS fix_rows, (SELECT max(event_ts) FROM sig) AS newest_ts",
     "i1_orphans": "SELECT (SELECT count(*) FROM batch) AS total, (SELECT count(*) FROM clean) AS kept, (SELECT count(*) FROM batch) - (SELECT count(*) FROM clean) AS orphans",
     "i2_dedupe": "SELECT * FROM deduped",
@@ -225,13 +232,14 @@ SELECTS: dict[str, str] = {
     "g12_containment": "SELECT * FROM cont",
     "g13_incremental_crossings": "SELECT * FROM trans",
     "g12_incremental_containment": "SELECT * FROM cont",
+    "g11_keyed_crossings": "SELECT * FROM trans",
     "g14_recompute": "SELECT geofence_id, kind, confidence, count(*) AS n FROM trans GROUP BY 1, 2, 3",
     "g15_occupancy": "SELECT f.geofence_id, name, active_to IS NULL AS active, (SELECT count(*) FROM cont WHERE cont.geofence_id = f.geofence_id AND zone = 'IN') AS vehicles FROM fences f ORDER BY active DESC, name",
     "g16_current_fence": "SELECT vehicle_id, geofence_id, name, radius_m FROM cont JOIN fences USING (geofence_id) WHERE zone = 'IN' AND active_to IS NULL QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY radius_m, geofence_id) = 1",
     "g17_recent_crossings": "SELECT * FROM trans QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_ts DESC, geofence_id) <= 8",
     "g18_upsert_fences": "SELECT geofence_id, name, lat, lon, CASE WHEN CAST(radius_m AS INTEGER) % 3 = 0 THEN radius_m * 2 ELSE radius_m END AS radius_m, active_from, active_to, CASE WHEN CAST(radius_m AS INTEGER) % 3 = 0 THEN (SELECT mid FROM c) ELSE updated_at END AS updated_at FROM own",
     "g19_switch_fences": "SELECT geofence_id, active_from, active_to FROM switched",
-    "g19_rejected": "SELECT 'gf-nowhere' AS geofence_id FROM own LIMIT 1",
+    "g19_rejected": "SELECT a.geofence_id FROM (SELECT geofence_id FROM own UNION ALL SELECT 'gf-nowhere') a ANTI JOIN own o ON o.geofence_id = a.geofence_id",
     "g20_fence_problems": "SELECT geofence_id, CASE WHEN trim(name) = '' THEN 'name' WHEN lat NOT BETWEEN -90 AND 90 THEN 'lat' WHEN lon NOT BETWEEN -180 AND 180 THEN 'lon' WHEN radius_m NOT BETWEEN 1 AND 200000 THEN 'radius_m' END AS problem FROM own",
     "g21_active_fences": "SELECT count(*) AS active FROM switched WHERE active_to IS NULL",
     "g21_fence_by_id": "SELECT * FROM own WHERE geofence_id = 'gf-v7'",
