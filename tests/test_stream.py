@@ -194,6 +194,12 @@ def test_too_old_packets_are_rejected_and_counted(spark, world):
     assert got == [(3, 1, 6, 6, 0), (2, 1, 3, 3, 0)]
     assert sorted((r.vehicle_id, json.loads(r.packet)["signals"]["odometer"]) for r in store.log("rejected").collect()) == [("v1", 101.0), ("v2", 101.0)]
     assert store.log("location_fix").count() == 3
+    before = state_of(stream)
+    stream.apply(parsed(spark, []), 2)  # an empty batch changes nothing
+    stream.apply(parsed(spark, [packet("v1", 101, 2000, 1) | {"signals": {}, "location": None}, packet("ghost", 101, 2000, 1) | {"location": None}]), 3)  # no known rows at all
+    assert state_of(stream) == before
+    got = [(r.packets, r.rejected, r.orphans, r.offered, r.applied, r.late) for r in store.log("receipt", parts=True).orderBy("version").collect()]
+    assert got[2:] == [(0, 0, 0, 0, 0, 0), (2, 0, 2, 0, 0, 0)]
 
 
 def test_first_filter(spark, world, tmp_path, monkeypatch):

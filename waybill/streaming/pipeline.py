@@ -9,6 +9,7 @@ that a batch needs.  Counts of a receipt are observed on the rows as they are wr
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,14 @@ def _count(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
+def _told(observation: Observation) -> dict:
+    """What was observed.  Rows that Spark finds to be none before it runs them are not observed: there are none."""
+    try:
+        return observation.get
+    except Py4JJavaError:
+        return {}
+
+
 class FleetStream:
     """The state of one stream; ``apply`` is the function for foreachBatch.
 
@@ -60,15 +69,18 @@ class FleetStream:
     def apply(self, packets: DataFrame, batch_id: int) -> None:
         s, v = self.store, batch_id
         s.vacuum(v)
-        seen = {name: Observation(f"{name}-{v}") for name in ("packets", "rejected", "rows", "offered", "placed", "late", "signals", "fixes")}
+        seen = {name: Observation(f"{name}-{v}") for name in ("packets", "rejected", "offered", "placed", "late", "signals", "fixes")}
 
+        # observed where they are written, at the top of a plan: what stands below an empty join may never run
+        packets = s.stage("packets", packets.observe(seen["packets"], _count("n"), F.max("event_ts").alias("newest")))
         fresh, old = self._split(packets, v)
         s.append("rejected", old.select("vehicle_id", "event_ts", F.to_json(F.struct(*packets.columns)).alias("packet")).observe(seen["rejected"], _count("n")), v)
-        counted = packets.observe(seen["packets"], _count("n"), F.max("event_ts").alias("newest"))
-        rows = packet_signals(self._split(counted, v)[0])
-        known = rows.join(self.roster.select("vehicle_id", F.lit(1).alias("v_")), "vehicle_id", "left").join(F.broadcast(self.spec.select("signal", F.lit(1).alias("s_"))), "signal", "left")  # six signals
-        known = known.withColumn("known_", F.col("v_").isNotNull() & F.col("s_").isNotNull()).observe(seen["rows"], F.count_if(~F.col("known_")).alias("orphans"))
-        offered = s.stage("signals", ingest.dedupe(known.filter("known_")).drop("conflicts").observe(seen["offered"], _count("n")))
+        rows = packet_signals(fresh)
+        told = rows.join(self.roster.select("vehicle_id", F.lit(1).alias("v_")), "vehicle_id", "left").join(F.broadcast(self.spec.select("signal", F.lit(1).alias("s_"))), "signal", "left")  # six signals
+        known = F.col("v_").isNotNull() & F.col("s_").isNotNull()
+        keys = told.groupBy(*ingest.KEY, known.alias("known_")).agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("copies_"))
+        counts = (F.count_if("known_").alias("n"), F.coalesce(F.sum(F.when(~F.col("known_"), F.col("copies_"))), F.lit(0)).alias("orphans"))
+        offered = s.stage("signals", keys.observe(seen["offered"], *counts)).filter("known_").select(*rows.columns)
         one = packet_fixes(fresh).join(self.roster.select("vehicle_id"), "vehicle_id", "left_semi").groupBy("vehicle_id", "event_ts").agg(F.min(F.struct("lat", "lon", "accuracy_m")).alias("p"))
         fixes = s.stage("fixes", one.select("vehicle_id", "event_ts", "p.*").observe(seen["placed"], _count("n")))
 
@@ -76,7 +88,7 @@ class FleetStream:
         watermark = s.read("watermark", before=v)
         late = F.coalesce(F.col("first_ts") < F.col("processed_through"), F.lit(False))
         t = s.touched(s.stage("touched", span.join(watermark, "vehicle_id", "left").observe(seen["late"], F.count_if(late).alias("n"))))
-        newest = seen["packets"].get["newest"]
+        newest = _told(seen["packets"]).get("newest")
         now = F.lit(self.fixed_now or (str(newest) if newest else None)).cast("timestamp_ntz")
         watermark = s.read("watermark", t, v)
 
@@ -96,9 +108,9 @@ class FleetStream:
         fresh_trips = trips.derive(s.read("transition", t), s.read("containment", t), self.fences, mine, moved)
         s.replace("trip", trips.replace_trips(s.read("trip", t, v), fresh_trips, moved), t, v)
 
-        n = {name: o.get for name, o in seen.items()}
-        n_offered, applied = n["offered"]["n"] + n["placed"]["n"], n["signals"]["n"] + n["fixes"]["n"]
-        receipt = [(NOBODY, n["packets"]["n"], n["rejected"]["n"], n["rows"]["orphans"], n_offered, applied, n["late"]["n"], n_offered - applied)]
+        n = {name: _told(o).get("n") or 0 for name, o in seen.items()}
+        n_offered, applied = n["offered"] + n["placed"], n["signals"] + n["fixes"]
+        receipt = [(NOBODY, n["packets"], n["rejected"], _told(seen["offered"]).get("orphans") or 0, n_offered, applied, n["late"], n_offered - applied)]
         s.append("receipt", s.spark.createDataFrame(receipt, LOGS["receipt"]), v)
         s.replace("watermark", ingest.advance_watermark(watermark, offered, fixes), t, v)
 
