@@ -6,6 +6,7 @@ import random
 import re
 import string
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -60,26 +61,68 @@ def test_suffix_dedup(docs, empty):
 
 
 def test_induced_sorting(monkeypatch):
-    for trial in range(60):
-        text = [rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(1, 70))] * rng.randint(1, 2) + [0]
-        monkeypatch.setattr(induced, "CHUNK", rng.choice([3, 1 << 18]))
-        order, common = induced.suffix_order(np.array(text, np.uint16), 10**6, rng.choice([100, 1 << 26]), rng.choice([2, 1 << 20]))
+    for trial in range(120):
+        text = [rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(1, 70))] * rng.randint(1, 3) + [0]
+        monkeypatch.setattr(induced, "CHUNK", rng.choice([3, 7, 1 << 16]))
+        monkeypatch.setattr(induced, "NAME_ROUNDS", rng.choice([0, 1, 48]))
+        monkeypatch.setattr(induced.Range, "BLOCK", rng.choice([1, 2, 32]))
+        order, common = induced.suffix_order(np.array(text, np.uint16), 10**6, rng.choice([100, 1 << 26]), rng.choice([1, 2, 5, 1 << 20]))
         assert list(order) == sorted(range(len(text)), key=lambda i: text[i:])
         for a, b, c in zip(order, order[1:], common[1:]):
             x, y = text[a:], text[b:]
             assert c == next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
-def test_induced_sorting_of_a_large_shard():
-    """A shard of a hundred times the queues' budget: every repeat is found, in bounded time."""
+class Watched(induced.Scratch):
+    made: list = []
+
+    def __init__(self, memory):
+        super().__init__(memory)
+        self.made.append(self)
+
+
+def _shard(n):
     g = np.random.default_rng(1)
-    text = g.integers(97, 123, 1_000_000).astype(np.uint16)
-    text[600_000:604_000] = text[1000:5000]
+    text = g.integers(97, 123, n).astype(np.uint16)
+    text[n // 2 : n // 2 + 4000] = text[1000:5000]
+    expected = np.zeros(n + 1, bool)
+    expected[1000:4601] = expected[n // 2 : n // 2 + 3601] = True
+    return np.append(text, 0).astype(np.uint16), expected
+
+
+def test_induced_sorting_spills_and_recurses_at_the_defaults(monkeypatch):
+    monkeypatch.setattr(induced, "Scratch", Watched)
+    p = suffix_dedup.SuffixParams()
+    text, expected = _shard(p.shard)
+    assert (induced.repeated_starts(text, p.length, p.memory) == expected).all()
+    assert Watched.made[-1].spills > 0 and Watched.made[-1].levels > 0
+
+
+def test_induced_sorting_of_a_large_shard():
+    """Shards of five and twenty times the budget: every repeat is found, and what lies in memory hardly grows with the shard."""
+    peaks = []
+    for n in (200_000, 800_000):
+        text, expected = _shard(n)
+        tracemalloc.start()
+        hit = induced.repeated_starts(text, 400, 40_000)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert (hit == expected).all()
+    assert peaks[1] < 16_000_000 and peaks[1] < 2 * peaks[0]
+
+
+def test_induced_recursion_over_a_million_names():
+    g = np.random.default_rng(2)
+    names = np.append(np.unique(g.integers(0, 200_000, 1_000_000), return_inverse=True)[1] + 1, 0)
+    scratch = induced.Scratch(1 << 20)
     start = time.process_time()
-    hit = induced.repeated_starts(np.append(text, 0).astype(np.uint16), 400, 160_000)
-    expected = np.zeros(len(hit), bool)
-    expected[1000:4601] = expected[600_000:603_601] = True
-    assert (hit == expected).all() and time.process_time() - start < 200
+    order, _ = induced.recursive_order(names, 400, scratch, 1 << 10)
+    assert time.process_time() - start < 60
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    a, b = np.array(order[1:-1]), np.array(order[2:])  # neighbours are in order by symbol, then by the rest's rank
+    assert ((names[a] < names[b]) | ((names[a] == names[b]) & (rank[a + 1] < rank[b + 1]))).all()
+    scratch.close()
 
 
 def test_near_duplicates(docs, empty):

@@ -53,7 +53,7 @@ class SuffixParams:
     gram: int = 24
     shard: int = 1 << 21
     shards: int = 20_000
-    memory: int = 1 << 26
+    memory: int = 1 << 20
     crowd: int = 2_000
 
 
