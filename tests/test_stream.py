@@ -59,7 +59,7 @@ def rows(df):
 
 def state_of(stream):
     s = stream.store
-    return {t: rows(s.log(t)) for t in ("signal_reading", "location_fix")} | {t: rows(s.read(t)) for t in ("latest", "last_fix", "watermark", "transition", "containment", "alert", "trip")}
+    return {t: rows(s.log(t)) for t in ("signal_reading", "location_fix")} | {t: rows(s.read(t)) for t in ("latest", "last_fix", "watermark", "transition", "containment", "alert", "trip", "odometer")}
 
 
 def test_any_order_gives_the_batch_state(spark, world):
@@ -230,3 +230,36 @@ def test_dismissals_fences_and_the_list_over_the_store(spark, world):
     assert rows(stream.store.read("transition")) == rows(G.transitions(votes)) == [] and {r.zone for r in stream.store.read("containment").collect()} == {"IN"}
     stream.rebuild()
     assert {r.vehicle_id: r.dismiss_reason for r in stream.store.read("alert").collect()} == {"v1": "known: seen", "v2": None}
+
+
+def test_distances_from_kept_readings(spark, world, monkeypatch):
+    """A batch reads the odometer of its new instants' days alone, and trips keep their distances once old readings are rolled up."""
+    new, _, roster, fences, _ = world
+    stream, asked = new(), []
+    days = stream.store.days
+    monkeypatch.setattr(stream.store, "days", lambda rows, at: asked.append(days(rows, at)) or asked[-1])
+    far = 3 * 1440
+    away = [packet("v1", far + i, d, 50 + i) for i, d in enumerate([300, 250, 1400, 2200, 2600])]
+    for i, part in enumerate([packets("v1", "v2"), away[:2], away[2:], [packet("v1", far + 5, 2700, 60)]]):
+        stream.apply(parsed(spark, part), i)
+    first, later = START.date(), (START + dt.timedelta(days=3)).date()
+    assert asked[0] == [first] and first not in asked[1] and asked[2:] == [[later], []]
+    reading = stream._readings(spark.createDataFrame([("v1", START + dt.timedelta(days=3))], "vehicle_id string, at timestamp_ntz"), 4, [0, 1, 2, 3])
+    assert "event_date" in reading._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("DataFilters")[0]
+    signals, fixes = stream.store.log("signal_reading"), stream.store.log("location_fix")
+    votes = G.derive(fixes, fences, G.full_scope(roster))
+    expected = rows(T.derive(G.transitions(votes), G.containment(votes), fences, signals, G.full_scope(roster)))
+    before = state_of(stream)
+    assert before["trip"] == expected and sum(r.distance_km is not None for r in stream.store.read("trip").collect()) >= 3
+    stream.rebuild()
+    assert state_of(stream)["odometer"] == before["odometer"]
+    # a reading that arrives late lies between an instant and what was known of it
+    stream.apply(parsed(spark, [packet("v1", 9.5, 250, 9) | {"signals": {"odometer": 109.25}, "location": None}]), 4)
+    log = stream.store.log("signal_reading")
+    assert rows(stream.store.read("trip")) == rows(T.derive(G.transitions(votes), G.containment(votes), fences, log, G.full_scope(roster)))
+    told = {r.trip_id: (r.start_ts, r.distance_km) for r in stream.store.read("trip").collect()}
+    stream.compact(F.expr("TIMESTAMP_NTZ'2024-01-03 00:00:00'"), 4)
+    stream.apply(parsed(spark, [packet("v1", far + 6, 2700, 70)]), 5)
+    after = {r.trip_id: (r.start_ts, r.distance_km) for r in stream.store.read("trip").collect()}
+    ended = {k: x for k, x in told.items() if x[0] < START + dt.timedelta(days=2)}
+    assert ended and all(after[k] == x for k, x in ended.items())

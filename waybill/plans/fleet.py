@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from waybill import schemas
 from waybill.functions.columns import epoch_ms, plus_seconds, seconds_between
-from waybill.functions.lineage import shared_folder
+from waybill.functions.lineage import cut, shared_folder
 from waybill.operators import alerts as A
 from waybill.operators import detail as V
 from waybill.operators import geofence as G
@@ -191,6 +191,18 @@ class Fleet:
     def trips(self) -> DataFrame:
         return T.derive(self.crossings, self.inside, self.fences, self.sig, self.scope)
 
+    @cached_property
+    def resumed_distances(self) -> DataFrame:
+        """Trips measured from the kept readings of the older half, the newer half, and the log of the new instants' days."""
+        outing, log = T.derived_outings(self.crossings, self.inside, self.fences, self.scope), T.odometer(self.sig)
+        older = cut(T.distances(T.derived_outings(*self.older, self.fences, self.scope), log.filter(F.col("event_ts") <= self.mid)))
+        kept = T.kept_readings(older, log.filter(F.col("event_ts") <= self.mid))
+        day = F.col("event_ts").cast("date")
+        days = T.new_instants(outing, older).select(F.col("at").cast("date").alias("day")).distinct()
+        near = log.join(days, day == F.col("day"), "left_semi")
+        readings = kept.unionByName(log.filter(F.col("event_ts") > self.mid)).unionByName(near).distinct()
+        return T.trips(T.distances(outing, readings))
+
     @cached_property
     def buckets(self) -> DataFrame:
         return R.roll_up(self.sig.drop("event_id"), self.mid)
@@ -268,6 +280,7 @@ class Fleet:
             "watermark": (s.read("watermark"), [at("processed_through")], none),
             "transition": (s.read("transition"), ["geofence_id", "kind", "confidence", at("event_ts")], none),
             "containment": (s.read("containment"), ["geofence_id", "zone", "pending_zone", at("pending_ts")], none),
+            "odometer": (s.read("odometer"), [at("event_ts")], F.col("value")),
             "trip": (s.read("trip"), ["trip_id", "origin_geofence_id", "dest_geofence_id", "status", "confidence"], F.col("distance_km")),
         }
         parts = [rows.select(F.lit(name).alias("kept_table"), "vehicle_id", F.concat_ws("|", *key).alias("key"), amount.alias("amount")) for name, (rows, key, amount) in tables.items()]
@@ -419,6 +432,8 @@ QUERIES: dict[str, Callable[[Fleet], DataFrame]] = {
     "t5_edges": lambda f: f.edges,
     "t6_outings": lambda f: T.outings(f.edges),
     "t7_distances": lambda f: f.trips.select("trip_id", "distance_km"),
+    "t7_kept_readings": lambda f: T.kept_readings(T.distances(T.derived_outings(f.crossings, f.inside, f.fences, f.scope), T.odometer(f.sig)), T.odometer(f.sig)),
+    "t7_resumed_distances": lambda f: f.resumed_distances.select("trip_id", "distance_km"),
     "t8_trips": lambda f: f.trips,
     "t9_incremental_trips": lambda f: f.resumed[2],
     "t10_fleet_trips": lambda f: T.fleet_list(f.trips, f.fences, 50),

@@ -131,6 +131,8 @@ CHAIN: dict[str, str] = {
     "outing": """SELECT d.vehicle_id, d.outing, d.event_ts AS start_ts, d.left_fence AS origin, a.event_ts AS end_ts, a.reached_fence AS dest, d.doubtful OR coalesce(a.doubtful, FALSE) AS doubtful
       FROM edge d LEFT JOIN edge a ON a.vehicle_id = d.vehicle_id AND a.outing = d.outing AND NOT a.departs WHERE d.departs""",
     "odometer": "SELECT o.vehicle_id, o.outing, max({t: s.event_ts, v: s.value}) FILTER (WHERE s.event_ts <= o.start_ts) AS s, max({t: s.event_ts, v: s.value}) FILTER (WHERE o.end_ts IS NULL OR s.event_ts <= o.end_ts) AS e, any_value(o.start_ts) AS start_ts FROM outing o JOIN sig s ON s.vehicle_id = o.vehicle_id AND s.signal = 'odometer' GROUP BY o.vehicle_id, o.outing",
+    "kept": """SELECT vehicle_id, event_ts, value FROM sig WHERE signal = 'odometer' QUALIFY row_number() OVER (PARTITION BY vehicle_id, CAST(event_ts AS DATE) ORDER BY event_ts DESC) = 1
+      UNION SELECT vehicle_id, s.t, s.v FROM odometer WHERE s IS NOT NULL UNION SELECT d.vehicle_id, d.e.t, d.e.v FROM odometer d JOIN outing o USING (vehicle_id, outing) WHERE o.end_ts IS NOT NULL AND d.e IS NOT NULL""",
     "trip": """SELECT concat(vehicle_id, '|', epoch_ms(o.start_ts)) AS trip_id, vehicle_id, origin AS origin_geofence_id, o.start_ts, dest AS dest_geofence_id, end_ts, if(end_ts IS NULL, 'IN_PROGRESS', 'COMPLETED') AS status,
       round(if(d.e.t >= o.start_ts, d.e.v - d.s.v, NULL), 6) AS distance_km, if(doubtful, 'low', 'high') AS confidence FROM outing o LEFT JOIN odometer d USING (vehicle_id, outing)""",
     "rolled": f"SELECT vehicle_id, signal, time_bucket(INTERVAL 5 MINUTE, event_ts) AS bucket_ts, {_AGGS} FROM sig WHERE event_ts < (SELECT mid FROM c) GROUP BY 1, 2, 3 HAVING count(*) > 1",
@@ -159,7 +161,8 @@ SELECTS: dict[str, str] = {
       UNION ALL SELECT 'watermark', vehicle_id, concat(epoch_ms(max(event_ts))), NULL FROM sig GROUP BY vehicle_id
       UNION ALL SELECT 'transition', vehicle_id, concat_ws('|', geofence_id, kind, confidence, epoch_ms(event_ts)), NULL FROM trans
       UNION ALL SELECT 'containment', vehicle_id, concat_ws('|', geofence_id, zone, pending_zone, epoch_ms(pending_ts)), NULL FROM cont
-      UNION ALL SELECT 'trip', vehicle_id, concat_ws('|', trip_id, origin_geofence_id, dest_geofence_id, status, confidence), distance_km FROM trip""",
+      UNION ALL SELECT 'trip', vehicle_id, concat_ws('|', trip_id, origin_geofence_id, dest_geofence_id, status, confidence), distance_km FROM trip
+      UNION ALL SELECT 'odometer', vehicle_id, concat(epoch_ms(event_ts)), value FROM kept""",
     "s11_totals": "SELECT (SELECT count(*) FROM roster) AS vehicles, (SELECT count(*) FROM sig) AS signal_rows, (SELECT count(*) FROM fix) AS fix_rows, (SELECT max(event_ts) FROM sig) AS newest_ts",
     "i1_orphans": "SELECT (SELECT count(*) FROM batch) AS total, (SELECT count(*) FROM clean) AS kept, (SELECT count(*) FROM batch) - (SELECT count(*) FROM clean) AS orphans",
     "i2_dedupe": "SELECT * FROM deduped",
@@ -250,6 +253,8 @@ SELECTS: dict[str, str] = {
     "t5_edges": "SELECT * FROM edge",
     "t6_outings": "SELECT * FROM outing",
     "t7_distances": "SELECT trip_id, distance_km FROM trip",
+    "t7_kept_readings": "SELECT * FROM kept",
+    "t7_resumed_distances": "SELECT trip_id, distance_km FROM trip",
     "t8_trips": "SELECT * FROM trip",
     "t9_incremental_trips": "SELECT * FROM trip",
     "t10_fleet_trips": "SELECT trip.*, o.name AS origin_name, d.name AS dest_name FROM trip LEFT JOIN fences o ON o.geofence_id = origin_geofence_id LEFT JOIN fences d ON d.geofence_id = dest_geofence_id ORDER BY status = 'COMPLETED', start_ts DESC, trip_id LIMIT 50",

@@ -4,7 +4,7 @@ A batch runs in a fixed order: stage, reject what is too old, log and latest val
 fences, trips, and the watermark last.  Every table is read as it was before the batch and written as the
 batch's own version, so a batch that runs again, after a failure at any point, gives the same tables.
 Only the buckets of vehicles that a batch touches are read and written; the log is read for the dates
-that a batch needs.  Counts of a receipt are observed on the rows as they are written.
+that a batch needs, the odometer's past from the readings that are kept of it.  Counts of a receipt are observed on the rows as they are written.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from waybill import schemas
 from waybill.functions.columns import plus_seconds
+from waybill.functions.lineage import cut
 from waybill.operators import alerts, geofence, ingest, retention, status, trips
 from waybill.sources.readers import packet_fixes, packet_signals
-from waybill.streaming.store import KeyedStore
+from waybill.streaming.store import STEP, KeyedStore
 
 LOGS = {
     "signal_reading": "vehicle_id string, signal string, event_ts timestamp_ntz, value double",
@@ -35,6 +36,7 @@ STATES = {
     "containment": schemas.CONTAINMENT,
     "alert": "alert_id string, vehicle_id string, alert_type string, severity string, raised_at timestamp_ntz, escalated_at timestamp_ntz, resolved_at timestamp_ntz, dismissed_at timestamp_ntz, dismiss_reason string",
     "trip": "trip_id string, vehicle_id string, origin_geofence_id string, start_ts timestamp_ntz, dest_geofence_id string, end_ts timestamp_ntz, status string, distance_km double, confidence string",
+    "odometer": "vehicle_id string, event_ts timestamp_ntz, value double",
 }
 #: Receipts belong to a batch and to no vehicle.
 NOBODY = "-"
@@ -104,9 +106,9 @@ class FleetStream:
         s.replace("transition", geofence.replace_transitions(s.read("transition", t, v), geofence.transitions(votes), scope), t, v)
         s.replace("containment", geofence.replace_containment(state, geofence.containment(votes), scope), t, v)
         moved = fixes.select("vehicle_id").unionByName(offered.filter("signal = 'odometer'").select("vehicle_id")).distinct()
-        mine = s.log("signal_reading", v + 1, t).filter("signal = 'odometer'").join(moved, "vehicle_id", "left_semi")
-        fresh_trips = trips.derive(s.read("transition", t), s.read("containment", t), self.fences, mine, moved)
-        s.replace("trip", trips.replace_trips(s.read("trip", t, v), fresh_trips, moved), t, v)
+        outing, old_trips = trips.derived_outings(s.read("transition", t), s.read("containment", t), self.fences, moved), s.read("trip", t, v)
+        readings = self._readings(trips.new_instants(outing, old_trips), v, t).join(moved, "vehicle_id", "left_semi")
+        self._measure(outing, readings, old_trips, s.read("odometer", t, v), moved, t, v)
 
         n = {name: _told(o).get("n") or 0 for name, o in seen.items()}
         n_offered, applied = n["offered"] + n["placed"], n["signals"] + n["fixes"]
@@ -131,6 +133,21 @@ class FleetStream:
         older = log.filter((F.col("event_date") < day) & F.col("bucket").isin(whole)) if whole else log.filter("false")
         return recent.unionByName(older).drop("version", "event_date", "bucket")
 
+    def _readings(self, instants: DataFrame, v: int, t: list[int]) -> DataFrame:
+        """Odometer readings that answer for old instants and ``instants``: those kept, the batch's own, and the log of the new instants' days."""
+        s = self.store
+        log = s.log("signal_reading", v + 1, t, parts=True).filter("signal = 'odometer'")
+        if s.versions("odometer", v * STEP) or not s.versions("trip", v * STEP):
+            log = log.filter((F.col("version") == v * STEP) | F.col("event_date").isin(s.days(instants, "at")))
+        # trips of a store from before readings were kept: the whole log, once
+        return log.select("vehicle_id", "event_ts", "value").unionByName(s.read("odometer", t, v)).distinct()
+
+    def _measure(self, outing: DataFrame, readings: DataFrame, old_trips: DataFrame, old_readings: DataFrame, scope: DataFrame, t: list[int], v: int | None = None) -> None:
+        """Trips and kept readings of the scope's vehicles anew."""
+        measured = cut(trips.distances(outing, readings))
+        self.store.replace("trip", trips.replace_trips(old_trips, trips.trips(measured), scope), t, v)
+        self.store.replace("odometer", trips.replace_trips(old_readings, trips.kept_readings(measured, readings), scope), t, v)
+
     def rebuild(self) -> None:
         """All state tables of all buckets from the log alone, as versions after the newest."""
         s, every = self.store, list(range(self.store.buckets))
@@ -147,7 +164,7 @@ class FleetStream:
         s.replace("transition", crossings, every)
         s.replace("containment", inside, every)
         vehicles = geofence.full_scope(signals.select("vehicle_id").unionByName(fixes.select("vehicle_id")).distinct())
-        s.replace("trip", trips.derive(crossings, inside, self.fences, signals, vehicles), every)
+        self._measure(trips.derived_outings(crossings, inside, self.fences, vehicles), trips.odometer(signals), none["trip"], none["odometer"], vehicles, every)
         s.replace("watermark", ingest.advance_watermark(none["watermark"], signals, fixes), every)
 
     def edit_fences(self, fences: DataFrame) -> None:
@@ -159,7 +176,9 @@ class FleetStream:
         crossings, inside = geofence.transitions(votes), geofence.containment(votes)
         s.replace("transition", crossings, every)
         s.replace("containment", inside, every)
-        s.replace("trip", trips.derive(crossings, inside, fences, signals, geofence.full_scope(signals.select("vehicle_id").unionByName(fixes.select("vehicle_id")).distinct())), every)
+        vehicles = geofence.full_scope(signals.select("vehicle_id").unionByName(fixes.select("vehicle_id")).distinct())
+        readings = trips.odometer(signals).unionByName(s.read("odometer")).distinct()  # the kept ones may be older than the log
+        self._measure(trips.derived_outings(crossings, inside, fences, vehicles), readings, s.read("trip").limit(0), s.read("odometer"), vehicles, every)
 
     def dismiss(self, actions: DataFrame) -> None:
         """Dismissals and their undoing, on the stored alerts."""

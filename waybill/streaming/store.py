@@ -63,6 +63,10 @@ class KeyedStore:
         """The buckets of some vehicles: as many numbers as there are buckets at most."""
         return sorted(r[0] for r in vehicles.select(bucket_of(self.buckets)).distinct().collect())
 
+    def days(self, rows: DataFrame, at: str) -> list:
+        """The dates of ``at``: a batch's new instants have few, and there are no more than the log has days."""
+        return sorted(r[0] for r in rows.select(F.col(at).cast("date")).distinct().collect())
+
     # rows of one batch, before they are applied
     def stage(self, name: str, rows: DataFrame) -> DataFrame:
         """``rows`` written once and read back; the next batch's take their place."""
