@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waybill.llm import byte_bpe, decontaminate, html_text, induced, language, near_dup, order_minhash, pii, secrets, suffix_dedup, toxicity
 
@@ -190,6 +191,33 @@ def test_pii_finds_unseen_identifiers(spark):
     got = {r.doc_id: r.n_found for r in pii.pii_report(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS seed", "'x' AS core")).collect()}
     assert np.mean([got[i] == 1 for i in unseen]) >= 0.9
     assert not any(got[i] for i in got if i not in unseen)
+    many = pii.pii_report(spark.createDataFrame(rows, "doc_id bigint, text string"), pii.PiiParams(broadcast=0)).collect()
+    assert {r.doc_id: r.n_found for r in many} == got
+
+
+def test_pii_contexts_on_the_right(spark):
+    """Words after an identifier bear it out as words before it do; one word and two, on each side."""
+    one = spark.createDataFrame([("ask aa bb 12345678 cc dd now",)], "text string")
+    (m,) = one.select(F.explode(pii.instances(F.col("text"), pii.base_spans(F.col("text")))).alias("w")).select("w.*").collect()
+    assert (m.left2, m.left, m.right, m.right2) == ("aa", "bb", "cc", "dd")
+    value = lambda i: f"10.{i}.{i % 7}.9" if i % 2 == 0 else f"10.{i}.{i % 7}.999"
+    rows = [(i, f"{prose(12)} {value(i)} belongs truly {prose(12)}") for i in range(120)] + [(1000 + i, f"{prose(9)} {rng.randrange(10**5, 10**6)} {prose(9)}") for i in range(100)]
+    got = {r.doc_id: r.n_found for r in pii.pii_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert np.mean([got[i] == 1 for i in range(1, 120, 2)]) >= 0.9 and not any(got[i] for i in got if i >= 1000 or i % 2 == 0)
+
+
+def test_phrases_are_counted_before_they_are_shuffled(spark):
+    """Few phrases and many give the counts of a plain reading; of many, each task shuffles a row a phrase and no row a word."""
+    texts = [" ".join(rng.choice(["sun", "moon", "sea"]) for _ in range(400)) for _ in range(40)] + ["", "sun"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    phrases = spark.createDataFrame([("sun",), ("sun moon",), ("never",)], "phrase string")
+    words = [t.split() for t in texts]
+    expected = {"sun": sum(w.count("sun") for w in words), "sun moon": sum(a == "sun" and b == "moon" for w in words for a, b in zip(w, w[1:]))}
+    for few in (True, False):
+        found = pii.phrase_counts(F.col("text"), rows, phrases, few)
+        assert {r.phrase: r.times for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan[plan.index("Exchange hashpartitioning(phrase") :]
 
 
 def test_decontamination(spark, docs, empty):

@@ -74,6 +74,11 @@ def valid_phone(match: Column) -> Column:
     return F.length(_digits(match)).between(10, 15)
 
 
+def _tail(items: Column) -> Column:
+    """All but the first.  The length is the array's own: slice() adds start and length as 32-bit numbers where it is not compiled, as inside zip_with()."""
+    return F.slice(items, 2, F.size(items))
+
+
 def _matches(text: Column, pattern: str, keep, after: bool = False) -> Column:
     """The leftmost matches that pass ``keep``, in order: m, start, and the text before (and after) it up to its neighbours.
 
@@ -83,7 +88,7 @@ def _matches(text: Column, pattern: str, keep, after: bool = False) -> Column:
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("before")))  # the last has no match
     if after:
-        pairs = F.zip_with(pairs, F.slice(between, 2, (1 << 31) - 1), lambda x, a: F.struct(x["m"].alias("m"), x["before"].alias("before"), a.alias("after")))
+        pairs = F.zip_with(pairs, _tail(between), lambda x, a: F.struct(x["m"].alias("m"), x["before"].alias("before"), a.alias("after")))
     held = "array<struct<m:string,start:int,before:string" + (",after:string>>" if after else ">>")
     start = lambda acc, x: acc["at"] + F.length(x["before"])
     rest = lambda x: [x["after"].alias("after")] if after else []
@@ -148,13 +153,18 @@ def patterns_of(mentions: DataFrame) -> DataFrame:
     return mentions.select("core", "text_key", "seed", rows).select("p.*", "core", "text_key", "seed").filter("phrase <> ''")
 
 
-def phrase_counts(texts: Column, rows: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, times): how often each of ``phrases`` (one or two words) stands in the whole corpus."""
+def phrase_counts(texts: Column, rows: DataFrame, phrases: DataFrame, few: bool) -> DataFrame:
+    """(phrase, times): how often each of ``phrases`` (one or two words) stands in the whole corpus.
+
+    ``few``: they are sent to every task, and the corpus' words are not shuffled.  Otherwise the words are
+    counted first, task by task before their shuffle, and their counts meet the phrases where they lie.
+    """
     words = F.split(F.trim(F.lower(F.regexp_replace(texts, r"[^\p{L}\p{N}=:#\s]+", ""))), r"\s+")
     rows = rows.select(words.alias("w"))
-    pairs = F.zip_with("w", F.slice("w", 2, (1 << 31) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = F.zip_with("w", _tail(F.col("w")), lambda a, b: F.concat(a, F.lit(" "), b))
     each = rows.select(F.explode(F.concat("w", pairs)).alias("phrase"))
-    return each.join(phrases, "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("times"))
+    counted = lambda some: some.groupBy("phrase").agg(F.count(F.lit(1)).alias("times"))
+    return counted(each.join(F.broadcast(phrases), "phrase")) if few else counted(each).join(phrases, "phrase")
 
 
 def discover(mentions: DataFrame, texts: DataFrame, p: PiiParams) -> DataFrame:
@@ -177,9 +187,8 @@ def discover(mentions: DataFrame, texts: DataFrame, p: PiiParams) -> DataFrame:
     beside = met.groupBy("phrase", "pattern").agg(F.sum("times").alias("here")).groupBy("phrase").agg(F.max("here").alias("here"))
     beside = cut(beside)
     wanted = beside.select("phrase")
-    if wanted.count() <= p.broadcast:  # few rows of a written table; more phrases meet the corpus by shuffle
-        wanted = F.broadcast(wanted)
-    special = beside.join(phrase_counts(F.col("text"), texts, wanted), "phrase").filter(F.col("here") >= F.col("times") * p.special)
+    few = wanted.count() <= p.broadcast  # rows of a written table
+    special = beside.join(phrase_counts(F.col("text"), texts, wanted, few), "phrase").filter(F.col("here") >= F.col("times") * p.special)
     edges = cut(met.join(special.select("phrase"), "phrase").select("pattern", "core", F.col("seed").cast("double").alias("seed")))
     known, mark = edges.groupBy("core").agg(F.max("seed").alias("score"), F.max("seed").alias("seed")), None
     for _ in range(p.rounds):
