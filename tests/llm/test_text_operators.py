@@ -61,6 +61,59 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.repeat_report(empty).count() == 0
 
 
+def _near_copies(n):
+    """Regions as sort_shards has them: passages with changes, runs of one letter, repeated lines; and the starts that repeat."""
+    g = random.Random(n)
+    passage = "".join(g.choice("abcd") for _ in range(150))
+    rows = []
+    for _ in range(n):
+        t = list(passage[g.randint(0, 40) : g.randint(110, 150)])
+        for _ in range(g.choice([0, 1, 1, 2])):
+            t[g.randrange(len(t))] = g.choice("xyz")
+        rows.append("".join(t).encode())
+    rows += [b"q" * 90, b"".join(b"line of %d words " % (k % 3) for k in range(20)), rows[0], bytes(g.choice(b"efgh") for _ in range(100))]
+    seen = collections.Counter(t[k : k + 40] for t in rows for k in range(len(t) - 39))
+    return rows, [{k for k in range(len(t) - 39) if seen[t[k : k + 40]] > 1} for t in rows]
+
+
+def test_suffix_dedup_sorts_only_what_may_repeat(monkeypatch):
+    for n, cores in ((1, 8), (5, 1), (12, 3), (30, 8), (30, 100)):
+        p = suffix_dedup.SuffixParams(length=40, gram=6, block=1 << (n % 9), cores=cores)
+        rows, expected = _near_copies(n)
+        for collide in (False, True):  # hashes that are all equal cost time and change nothing
+            with monkeypatch.context() as m:
+                if collide:
+                    m.setattr(suffix_dedup, "range_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+                known, open_ = suffix_dedup.narrowed(rows, p)
+            got = [set() for _ in rows]
+            for r, a, b in known:
+                got[r] |= set(range(a, b))
+            pieces = [np.append(np.frombuffer(rows[r][a : b + 39], np.uint8).astype(np.uint16) + 2, 1).astype(np.uint16) for r, a, b in open_]
+            hit, at = induced.repeated_starts(np.concatenate([*pieces, np.zeros(1, np.uint16)]).astype(np.uint16), 40) if pieces else [], 0
+            for r, a, b in open_:
+                got[r] |= {a + k for k in range(b - a) if hit[at + k]}
+                at += b - a + 40
+            assert got == expected
+            assert collide or sum(b - a + 39 for _, a, b in open_) < sum(map(len, rows)) and not {n, n + 3} & {r for r, _, _ in open_}
+
+
+def test_suffix_dedup_near_copies_beyond_a_crowd(spark):
+    """Few crowded cores are met where their rows lie, the others by a shuffle: a table with both, equal to counting all strings."""
+    g = random.Random(3)
+    texts = []
+    for passages, copies in ((1, 60), (6, 4)):
+        for _ in range(passages):
+            passage = prose(130)
+            for _ in range(copies):
+                at = g.randrange(len(passage))
+                texts.append((passage[:at] + "#" + passage[at + g.randint(0, 3) :])[g.randint(0, 30) :])
+    seen = collections.Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+    expected = {i: len(set().union(*(range(k, k + 400) for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1))) for i, t in enumerate(texts)}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for crowd in (3, 12):
+        assert {r.doc_id: r.n_removed for r in suffix_dedup.repeat_report(table, suffix_dedup.SuffixParams(crowd=crowd)).collect()} == expected
+
+
 def test_induced_sorting(monkeypatch):
     for trial in range(120):
         text = [rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(1, 70))] * rng.randint(1, 3) + [0]
