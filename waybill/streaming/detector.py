@@ -1,10 +1,14 @@
-"""The fence detector in its keyed form: one state a vehicle and fence, kept by Spark's RocksDB state store.
+"""The fence detector in its keyed form: one state a vehicle, kept by Spark's RocksDB state store.
 
-The state is the last vote, the zone that stands, and the votes so far by their time.  Votes after the
-last one are folded into the state; one from before it makes the pair's votes be folded again from the
-first (a late fix replays its pair), and a repeated one is passed over.  So the tables that follow equal
-the batch form's, whatever the order in which fixes arrive (tested), and a stream that is stopped goes on
-from its checkpoint.
+The state is, for each fence, the last vote and the zone that stands, and the votes so far, filed by day.
+Votes after the last one are folded into the state; one from before it makes the pair's votes be folded
+again from the first (a late fix replays its pair), and a repeated one is passed over.  So the tables that
+follow equal the batch form's, whatever the order in which fixes arrive (tested), and a stream that is
+stopped goes on from its checkpoint.
+
+What a batch costs in the Python workers goes by vehicles and days, not by votes: tasks pack the votes of a
+pair into binary rows before the shuffle, a day's votes are one entry of the state, and of each stretch of
+equal votes only the first two and the last are folded one by one.
 
 Each turn of a pair gives its new crossings and one row of its state.  A replay gives all crossings of the
 pair under a new ``revision``, which replaces the older ones; ``crossings()`` and ``containment()`` read
@@ -13,21 +17,30 @@ the rows that count.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
-from typing import TYPE_CHECKING, Any
+from typing import Any
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from waybill.operators import geofence
 from waybill.schemas import GAP_SEC
 
-if TYPE_CHECKING:
-    import pandas as pd
-
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "vehicle_id string, geofence_id string, turn bigint, revision bigint, event_ts timestamp_ntz, kind string, confidence string, zone string, pending_zone string, pending_ts timestamp_ntz"
+_OUT = Row(*(c.split()[0] for c in OUT.split(", ")))
+
+#: Votes in packed rows: 8 bytes each, microseconds times 4, plus 2 for IN, plus 1 if decisive.
+PACKED = "vehicle_id string, geofence_id string, votes binary"
+IN, DECISIVE = 2, 1
+#: A task packs so many votes at once; a packed row holds so many at most.
+AT_ONCE, A_ROW = 1 << 20, 1 << 10
+#: Votes in a day's entry of the state: 8 bytes each, the fence's place in the head, microseconds of the day, and the same two bits.
+DAY_US, DAY_BITS = 86_400_000_000, 39
 
 #: The state between votes: last vote (zone, microseconds), zone that stands, turns so far, turn of the last replay.
 Head = tuple[str | None, int | None, str | None, int, int]
@@ -48,41 +61,122 @@ def fold(votes: list[tuple[int, str, bool]], head: Head) -> tuple[list[tuple[int
     return crossed, (last, last_at, stands, turn, revision)
 
 
+def turning(pair: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """Which of votes in order (by pair, then time) fold() has to see: the first, the second and the last of each stretch of equal zones."""
+    first = np.ones(len(votes), dtype=bool)
+    first[1:] = (pair[1:] != pair[:-1]) | ((votes[1:] ^ votes[:-1]) & IN != 0)
+    kept = first.copy()
+    kept[1:] |= first[:-1]
+    kept[:-1] |= first[1:]
+    kept[-1:] = True
+    return kept
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes (vehicle_id, geofence_id, event_ts, code) as rows of PACKED, some AT_ONCE votes at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= AT_ONCE:
+            yield _pack(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield _pack(pa.Table.from_batches(held))
+
+
+def _pack(table: pa.Table) -> pa.RecordBatch:
+    vehicle, fence = (table.column(c).combine_chunks().dictionary_encode() for c in geofence.PAIR)
+    pair = vehicle.indices.to_numpy().astype(np.int64) * len(fence.dictionary) + fence.indices.to_numpy()
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    at, code = table.column("event_ts").cast(pa.int64()).to_numpy(), table.column("code").to_numpy()
+    votes = (at * 4 + code)[order]
+    place = np.arange(len(pair))
+    begun = np.maximum.accumulate(np.where(np.r_[True, pair[1:] != pair[:-1]], place, 0))
+    starts = np.flatnonzero((place - begun) % A_ROW == 0)
+    offsets = (np.r_[starts, len(pair)] * votes.itemsize).astype(np.int32)
+    rows = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(votes)])
+    which, of = np.divmod(pair[starts], len(fence.dictionary))
+    return pa.RecordBatch.from_arrays([vehicle.dictionary.take(pa.array(which)), fence.dictionary.take(pa.array(of)), rows], names=[c.split()[0] for c in PACKED.split(", ")])
+
+
+def _moment(us: int | None) -> dt.datetime | None:
+    return None if us is None else dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)
+
+
 class Detector(StatefulProcessor):
-    """State of one vehicle and fence."""
+    """State of one vehicle."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "last string, last_at bigint, stands string, turn bigint, revision bigint")
-        self.votes = handle.getMapState("votes", "at bigint", "zone string, decisive boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        import pandas as pd
-
-        head: Head = tuple(self.head.get()) if self.head.exists() else (None, None, None, 0, 0)
-        new: dict[int, tuple[str, bool]] = {}
-        for part in rows:
-            at = part["event_ts"].astype("datetime64[us]").astype("int64")
-            for t, zone, decisive in zip(at, part["zone"], part["decisive"], strict=True):
-                new.setdefault(int(t), (str(zone), bool(decisive)))
-        last_at = head[1]
-        late = last_at is not None and any(t <= last_at and not self.votes.containsKey((t,)) for t in new)
-        fresh = {t: v for t, v in new.items() if last_at is None or t > last_at or (late and not self.votes.containsKey((t,)))}
-        for t, v in fresh.items():
-            self.votes.updateValue((t,), v)
-        turn = head[3] + 1
-        if late:
-            told = sorted((k[0], v[0], v[1]) for k, v in self.votes.iterator())
-            head = (None, None, None, turn, turn)
-        else:
-            told = sorted((t, *v) for t, v in fresh.items())
-            head = (*head[:3], turn, head[4])
-        crossed, head = fold(told, head)
-        self.head.update(head)
-        moment = lambda us: None if us is None else pd.Timestamp(us, unit="us")
-        found = [(*key, turn, head[4], moment(t), kind, sure, None, None, None) for t, kind, sure in crossed]
-        found.append((*key, turn, head[4], None, None, None, head[2], head[0], moment(head[1])))
-        out = pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")])
-        yield out.astype({"event_ts": "datetime64[us]", "pending_ts": "datetime64[us]"})
+        self.head = handle.getValueState("head", "pairs array<struct<geofence_id string, last string, last_at bigint, stands string, turn bigint, revision bigint>>")
+        self.votes = handle.getMapState("votes", "day bigint", "votes binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        stored = self.head.get()
+        heads: dict[str, Head] = {p[0]: tuple(p[1:]) for p in stored[0]} if stored else {}
+        places = {fence: i for i, fence in enumerate(heads)}
+        found = [(places.setdefault(row[1], len(places)), np.frombuffer(row[2], np.int64)) for row in rows]
+        pair, votes = np.repeat([i for i, _ in found], [len(v) for _, v in found]), np.concatenate([v for _, v in found])
+        order = np.lexsort((votes, pair))
+        pair, votes = pair[order], votes[order]
+        once = np.ones(len(votes), dtype=bool)
+        once[1:] = (pair[1:] != pair[:-1]) | (votes[1:] >> 2 != votes[:-1] >> 2)
+        touched = np.unique(pair).tolist()
+        pair, votes = pair[once], votes[once]
+
+        fences = list(places)
+        known = [heads.get(fence, (None, None, None, 0, 0)) for fence in fences]
+        ends = [head[1] for head in known if head[1] is not None]
+        day, us = np.divmod(votes >> 2, DAY_US)
+        filed = (pair << DAY_BITS) | (us << 2) | (votes & 3)
+        days = {d: self._of_day(d, ends) for d in np.unique(day).tolist()}
+        new = np.ones(len(votes), dtype=bool)
+        for d, kept in days.items():
+            if len(kept):
+                here = day == d
+                new[here] = ~np.isin(filed[here] >> 2, kept >> 2)
+        for d, kept in days.items():
+            added = filed[new & (day == d)]
+            if len(added):
+                self.votes.updateValue((d,), (np.concatenate([kept, added]).tobytes(),))
+
+        pair, votes = pair[new], votes[new]
+        last = np.array([np.iinfo(np.int64).min if head[1] is None else head[1] for head in known])
+        late = np.unique(pair[votes >> 2 <= last[pair]])
+        if len(late):
+            pair, votes = self._again(late, pair, votes)
+        replayed = set(late.tolist())
+        kept = turning(pair, votes)
+        pair, votes = pair[kept], votes[kept]
+        told = list(zip((votes >> 2).tolist(), np.where(votes & IN, "IN", "OUT").tolist(), (votes & DECISIVE != 0).tolist(), strict=True))
+        low, high = (np.searchsorted(pair, touched, side).tolist() for side in ("left", "right"))
+        for i, a, b in zip(touched, low, high, strict=True):
+            turn = known[i][3] + 1
+            crossed, head = fold(told[a:b], (None, None, None, turn, turn) if i in replayed else (*known[i][:3], turn, known[i][4]))
+            known[i] = head
+            for t, kind, sure in crossed:
+                yield _OUT(*key, fences[i], turn, head[4], _moment(t), kind, sure, None, None, None)
+            yield _OUT(*key, fences[i], turn, head[4], None, None, None, head[2], head[0], _moment(head[1]))
+        self.head.update(([(fence, *head) for fence, head in zip(fences, known, strict=True)],))
+
+    def _of_day(self, day: int, ends: list[int]) -> np.ndarray:
+        """The votes filed under a day; days after the last vote's have none."""
+        kept = self.votes.getValue((day,)) if ends and day <= max(ends) // DAY_US else None
+        return np.frombuffer(kept[0] if kept else b"", np.int64)
+
+    def _again(self, late: np.ndarray, pair: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, votes) in order, with all votes of the pairs in ``late``."""
+        on_time = ~np.isin(pair, late)
+        pairs, parts = [pair[on_time]], [votes[on_time]]
+        for (day,), (kept,) in self.votes.iterator():
+            filed = np.frombuffer(kept, np.int64)
+            filed = filed[np.isin(filed >> DAY_BITS, late)]
+            pairs.append(filed >> DAY_BITS)
+            parts.append((filed & ((1 << DAY_BITS) - 1)) + day * DAY_US * 4)
+        pair, votes = np.concatenate(pairs), np.concatenate(parts)
+        order = np.lexsort((votes, pair))
+        return pair[order], votes[order]
 
     def close(self) -> None:
         pass
@@ -90,8 +184,11 @@ class Detector(StatefulProcessor):
 
 def detect(fixes: DataFrame, fences: DataFrame, roster: DataFrame) -> DataFrame:
     """A stream of rows (OUT) from a stream of fixes; the session's state store must be RocksDB (PROVIDER)."""
-    votes = geofence.opinions(geofence.probes(fixes, fences, geofence.full_scope(roster)))
-    return votes.groupBy(*geofence.PAIR).transformWithStateInPandas(statefulProcessor=Detector(), outputStructType=OUT, outputMode="Update", timeMode="None")
+    # a vehicle's fixes come together first, so that a packed row holds many votes
+    votes = geofence.opinions(geofence.probes(fixes.repartition("vehicle_id"), fences, geofence.full_scope(roster)))
+    code = F.when(F.col("zone") == "IN", IN).otherwise(0) + F.when(F.col("decisive"), DECISIVE).otherwise(0)
+    rows = votes.select(*geofence.PAIR, "event_ts", code.alias("code")).mapInArrow(packed, PACKED)
+    return rows.groupBy("vehicle_id").transformWithState(statefulProcessor=Detector(), outputStructType=OUT, outputMode="Update", timeMode="None")
 
 
 def crossings(rows: DataFrame) -> DataFrame:
