@@ -1,14 +1,16 @@
 """The fence detector in its keyed form: one state a vehicle, kept by Spark's RocksDB state store.
 
-The state is, for each fence, the last vote and the zone that stands, and the votes so far, filed by day.
+The state is, for each fence, the last vote and the zone that stands, and the votes so far; once there are
+some thousands of these, they are filed by time.
 Votes after the last one are folded into the state; one from before it makes the pair's votes be folded
 again from the first (a late fix replays its pair), and a repeated one is passed over.  So the tables that
 follow equal the batch form's, whatever the order in which fixes arrive (tested), and a stream that is
 stopped goes on from its checkpoint.
 
-What a batch costs in the Python workers goes by vehicles and days, not by votes: tasks pack the votes of a
-pair into binary rows before the shuffle, a day's votes are one entry of the state, and of each stretch of
-equal votes only the first two and the last are folded one by one.
+What a batch costs in the Python workers goes by vehicles, not by votes: tasks pack the votes of a pair into
+binary rows before the shuffle, an entry of the state holds thousands of votes and a turn mostly reads and
+writes one, of each stretch of equal votes only the first two and the last are folded one by one, and what a
+turn tells leaves as binary rows too, from which tasks make rows of OUT.
 
 Each turn of a pair gives its new crossings and one row of its state.  A replay gives all crossings of the
 pair under a new ``revision``, which replaces the older ones; ``crossings()`` and ``containment()`` read
@@ -17,7 +19,6 @@ the rows that count.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 from typing import Any
 
@@ -32,18 +33,24 @@ from waybill.schemas import GAP_SEC
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "vehicle_id string, geofence_id string, turn bigint, revision bigint, event_ts timestamp_ntz, kind string, confidence string, zone string, pending_zone string, pending_ts timestamp_ntz"
-_OUT = Row(*(c.split()[0] for c in OUT.split(", ")))
 
 #: Votes in packed rows: 8 bytes each, microseconds times 4, plus 2 for IN, plus 1 if decisive.
 PACKED = "vehicle_id string, geofence_id string, votes binary"
 IN, DECISIVE = 2, 1
 #: A task packs so many votes at once; a packed row holds so many at most.
 AT_ONCE, A_ROW = 1 << 20, 1 << 10
-#: Votes in a day's entry of the state: 8 bytes each, the fence's place in the head, microseconds of the day, and the same two bits.
-DAY_US, DAY_BITS = 86_400_000_000, 39
+#: Votes are filed when they are more than so many, by spans of 2^38 microseconds (three days) in parts of so many at most; the fence's place in the head stands above a vote's lower bits.
+SPAN_BITS, A_PART = 40, 1 << 12
+WITHIN = (1 << SPAN_BITS) - 1
+#: What a turn tells: fives of numbers (place among ``fences``, turn, revision, microseconds, and these bits), so many a row.
+TOLD = "vehicle_id string, fences array<string>, told binary"
+CROSSED, ENTERS, SURE, STANDS, STANDS_IN = 1, 2, 4, 8, 16
+A_TELL = 1 << 8
+_TOLD = Row("vehicle_id", "fences", "told")
 
 #: The state between votes: last vote (zone, microseconds), zone that stands, turns so far, turn of the last replay.
 Head = tuple[str | None, int | None, str | None, int, int]
+NO_HEAD: Head = (None, None, None, 0, 0)
 
 
 def fold(votes: list[tuple[int, str, bool]], head: Head) -> tuple[list[tuple[int, str, str]], Head]:
@@ -101,94 +108,136 @@ def _pack(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([vehicle.dictionary.take(pa.array(which)), fence.dictionary.take(pa.array(of)), rows], names=[c.split()[0] for c in PACKED.split(", ")])
 
 
-def _moment(us: int | None) -> dt.datetime | None:
-    return None if us is None else dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of TOLD as rows of OUT."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, A_TELL):
+            yield _unpack(batch.slice(start, A_TELL))
+
+
+def _unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    vehicle, fences, told = batch.columns
+    parts = told.to_pylist()
+    owner = np.repeat(np.arange(len(parts)), [len(x) // 40 for x in parts])
+    place, turn, revision, at, bits = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 5).T
+    offsets = fences.offsets.to_numpy()
+    has = lambda bit: bits & bit != 0
+    either = lambda names, bit, here: pa.array(names).take(pa.array(has(bit).astype(np.int64), mask=~here))
+    moment = lambda here: pa.array(at, pa.int64(), mask=~here).cast(pa.timestamp("us"))
+    crossed, zones = has(CROSSED), ["OUT", "IN"]
+    columns = [vehicle.take(pa.array(owner)), fences.flatten().take(pa.array(offsets[owner] - offsets[0] + place)), pa.array(turn), pa.array(revision), moment(crossed), either(["EXIT", "ENTRY"], ENTERS, crossed), either(["low", "high"], SURE, crossed)]
+    columns += [either(zones, STANDS_IN, ~crossed & has(STANDS)), either(zones, ENTERS, ~crossed), moment(~crossed)]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in OUT.split(", ")])
+
+
+def _in_order(pair: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((votes, pair))
+    return pair[order], votes[order]
+
+
+def _filed(pair: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    return (pair << SPAN_BITS) | (votes & WITHIN)
 
 
 class Detector(StatefulProcessor):
     """State of one vehicle."""
 
+    def __init__(self, part: int = A_PART) -> None:
+        self.most = part
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "pairs array<struct<geofence_id string, last string, last_at bigint, stands string, turn bigint, revision bigint>>")
-        self.votes = handle.getMapState("votes", "day bigint", "votes binary")
+        #: fences by place, the newest span and its last part, and the votes that are not filed yet
+        self.head = handle.getValueState("head", "pairs array<struct<geofence_id string, last string, last_at bigint, stands string, turn bigint, revision bigint>>, span bigint, part bigint, open_pair binary, open_votes binary")
+        self.votes = handle.getMapState("votes", "span bigint, part bigint", "votes binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        stored = self.head.get()
-        heads: dict[str, Head] = {p[0]: tuple(p[1:]) for p in stored[0]} if stored else {}
-        places = {fence: i for i, fence in enumerate(heads)}
+        pairs, span, part, *kept = self.head.get() or ([], None, -1, b"", b"")
+        places, heads = {p[0]: i for i, p in enumerate(pairs)}, [tuple(p[1:]) for p in pairs]
         found = [(places.setdefault(row[1], len(places)), np.frombuffer(row[2], np.int64)) for row in rows]
-        pair, votes = np.repeat([i for i, _ in found], [len(v) for _, v in found]), np.concatenate([v for _, v in found])
-        order = np.lexsort((votes, pair))
-        pair, votes = pair[order], votes[order]
-        once = np.ones(len(votes), dtype=bool)
-        once[1:] = (pair[1:] != pair[:-1]) | (votes[1:] >> 2 != votes[:-1] >> 2)
-        touched = np.unique(pair).tolist()
-        pair, votes = pair[once], votes[once]
-
-        fences = list(places)
-        known = [heads.get(fence, (None, None, None, 0, 0)) for fence in fences]
-        ends = [head[1] for head in known if head[1] is not None]
-        day, us = np.divmod(votes >> 2, DAY_US)
-        filed = (pair << DAY_BITS) | (us << 2) | (votes & 3)
-        days = {d: self._of_day(d, ends) for d in np.unique(day).tolist()}
+        heads += [NO_HEAD] * (len(places) - len(heads))
+        touched = sorted({i for i, _ in found})
+        pair, votes = _in_order(np.repeat([i for i, _ in found], [len(v) for _, v in found]), np.concatenate([v for _, v in found]))
         new = np.ones(len(votes), dtype=bool)
-        for d, kept in days.items():
-            if len(kept):
-                here = day == d
-                new[here] = ~np.isin(filed[here] >> 2, kept >> 2)
-        for d, kept in days.items():
-            added = filed[new & (day == d)]
-            if len(added):
-                self.votes.updateValue((d,), (np.concatenate([kept, added]).tobytes(),))
+        new[1:] = (pair[1:] != pair[:-1]) | (votes[1:] >> 2 != votes[:-1] >> 2)
+        late, opened = np.array([], np.int64), (np.frombuffer(kept[0], np.int32).astype(np.int64), np.frombuffer(kept[1], np.int64))
+        if pairs:
+            last = np.array([np.iinfo(np.int64).min if head[1] is None else head[1] for head in heads])
+            behind = votes >> 2 <= last[pair]
+            for s in np.unique(votes[behind] >> SPAN_BITS).tolist():
+                here = np.flatnonzero(behind & (votes >> SPAN_BITS == s))
+                of_span = opened[1] >> SPAN_BITS == s
+                seen = [_filed(opened[0][of_span], opened[1][of_span]), *(self._parts(s) if span is not None and s <= span else [])]
+                new[here] &= ~np.isin(_filed(pair[here], votes[here]) >> 2, np.concatenate(seen) >> 2)
+            late = np.unique(pair[behind & new])
 
         pair, votes = pair[new], votes[new]
-        last = np.array([np.iinfo(np.int64).min if head[1] is None else head[1] for head in known])
-        late = np.unique(pair[votes >> 2 <= last[pair]])
+        opened = (np.concatenate([opened[0], pair]), np.concatenate([opened[1], votes]))
         if len(late):
-            pair, votes = self._again(late, pair, votes)
-        replayed = set(late.tolist())
+            pair, votes = self._again(late, pair, votes, opened)
+        if len(opened[1]) > self.most:
+            span, part = self._file(*opened, span, part)
+            opened = (opened[0][:0], opened[1][:0])
+        replayed, fences, told = set(late.tolist()), list(places), []
         kept = turning(pair, votes)
         pair, votes = pair[kept], votes[kept]
-        told = list(zip((votes >> 2).tolist(), np.where(votes & IN, "IN", "OUT").tolist(), (votes & DECISIVE != 0).tolist(), strict=True))
+        each = [(v >> 2, "IN" if v & IN else "OUT", v & DECISIVE != 0) for v in votes.tolist()]
         low, high = (np.searchsorted(pair, touched, side).tolist() for side in ("left", "right"))
-        for i, a, b in zip(touched, low, high, strict=True):
-            turn = known[i][3] + 1
-            crossed, head = fold(told[a:b], (None, None, None, turn, turn) if i in replayed else (*known[i][:3], turn, known[i][4]))
-            known[i] = head
-            for t, kind, sure in crossed:
-                yield _OUT(*key, fences[i], turn, head[4], _moment(t), kind, sure, None, None, None)
-            yield _OUT(*key, fences[i], turn, head[4], None, None, None, head[2], head[0], _moment(head[1]))
-        self.head.update(([(fence, *head) for fence, head in zip(fences, known, strict=True)],))
-
-    def _of_day(self, day: int, ends: list[int]) -> np.ndarray:
-        """The votes filed under a day; days after the last vote's have none."""
-        kept = self.votes.getValue((day,)) if ends and day <= max(ends) // DAY_US else None
-        return np.frombuffer(kept[0] if kept else b"", np.int64)
-
-    def _again(self, late: np.ndarray, pair: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for n, (i, a, b) in enumerate(zip(touched, low, high, strict=True)):
+            turn = heads[i][3] + 1
+            crossed, heads[i] = fold(each[a:b], (None, None, None, turn, turn) if i in replayed else (*heads[i][:3], turn, heads[i][4]))
+            zone, at, stands, _, revision = heads[i]
+            told += [(n, turn, revision, t, CROSSED | (ENTERS if kind == "ENTRY" else 0) | (SURE if sure == "high" else 0)) for t, kind, sure in crossed]
+            told.append((n, turn, revision, at, (ENTERS if zone == "IN" else 0) | (0 if stands is None else STANDS) | (STANDS_IN if stands == "IN" else 0)))
+        self.head.update(([(fence, *head) for fence, head in zip(fences, heads, strict=True)], span, part, opened[0].astype(np.int32).tobytes(), opened[1].tobytes()))
+        for i in range(0, len(told), A_TELL):
+            some = np.array(told[i : i + A_TELL], np.int64)
+            first, last = int(some[0, 0]), int(some[-1, 0])
+            some[:, 0] -= first
+            yield _TOLD(*key, [fences[j] for j in touched[first : last + 1]], some.tobytes())
+
+    def _parts(self, span: int) -> list[np.ndarray]:
+        """All that is filed under a span, by part."""
+        found: list[np.ndarray] = []
+        while (kept := self.votes.getValue((span, len(found)))) is not None:
+            found.append(np.frombuffer(kept[0], np.int64))
+        return found
+
+    def _file(self, pair: np.ndarray, votes: np.ndarray, span: int | None, part: int) -> tuple[int, int]:
+        """Files votes as new parts of their spans; the newest span and its last part."""
+        order = np.argsort(votes)
+        filed, spans = _filed(pair, votes)[order], votes[order] >> SPAN_BITS
+        for some, s in zip(np.split(filed, np.flatnonzero(np.diff(spans)) + 1), np.unique(spans).tolist(), strict=True):
+            n = 0 if span is None or s > span else part + 1 if s == span else len(self._parts(s))
+            for i in range(0, len(some), self.most):
+                self.votes.updateValue((s, n), (some[i : i + self.most].tobytes(),))
+                n += 1
+            if span is None or s >= span:
+                span, part = s, n - 1
+        return span, part
+
+    def _again(self, late: np.ndarray, pair: np.ndarray, votes: np.ndarray, opened: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(pair, votes) in order, with all votes of the pairs in ``late``."""
-        on_time = ~np.isin(pair, late)
-        pairs, parts = [pair[on_time]], [votes[on_time]]
-        for (day,), (kept,) in self.votes.iterator():
+        on_time, still_open = ~np.isin(pair, late), np.isin(opened[0], late)
+        pairs, parts = [pair[on_time], opened[0][still_open]], [votes[on_time], opened[1][still_open]]
+        for (span, _), (kept,) in self.votes.iterator():
             filed = np.frombuffer(kept, np.int64)
-            filed = filed[np.isin(filed >> DAY_BITS, late)]
-            pairs.append(filed >> DAY_BITS)
-            parts.append((filed & ((1 << DAY_BITS) - 1)) + day * DAY_US * 4)
-        pair, votes = np.concatenate(pairs), np.concatenate(parts)
-        order = np.lexsort((votes, pair))
-        return pair[order], votes[order]
+            filed = filed[np.isin(filed >> SPAN_BITS, late)]
+            pairs.append(filed >> SPAN_BITS)
+            parts.append((span << SPAN_BITS) | (filed & WITHIN))
+        return _in_order(np.concatenate(pairs), np.concatenate(parts))
 
     def close(self) -> None:
         pass
 
 
-def detect(fixes: DataFrame, fences: DataFrame, roster: DataFrame) -> DataFrame:
+def detect(fixes: DataFrame, fences: DataFrame, roster: DataFrame, part: int = A_PART) -> DataFrame:
     """A stream of rows (OUT) from a stream of fixes; the session's state store must be RocksDB (PROVIDER)."""
     # a vehicle's fixes come together first, so that a packed row holds many votes
     votes = geofence.opinions(geofence.probes(fixes.repartition("vehicle_id"), fences, geofence.full_scope(roster)))
     code = F.when(F.col("zone") == "IN", IN).otherwise(0) + F.when(F.col("decisive"), DECISIVE).otherwise(0)
     rows = votes.select(*geofence.PAIR, "event_ts", code.alias("code")).mapInArrow(packed, PACKED)
-    return rows.groupBy("vehicle_id").transformWithState(statefulProcessor=Detector(), outputStructType=OUT, outputMode="Update", timeMode="None")
+    told = rows.groupBy("vehicle_id").transformWithState(statefulProcessor=Detector(part), outputStructType=TOLD, outputMode="Update", timeMode="None")
+    return told.mapInArrow(unpacked, OUT)
 
 
 def crossings(rows: DataFrame) -> DataFrame:
